@@ -50,42 +50,46 @@ def _matches(c: Column, pattern: str) -> Column:
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """The columns of df plus the statistics of a text column."""
     t = F.col(text)
-    ink = _kept(t, r"\s+")
-    letters = _kept(t, r"[^\p{L}\p{M}]+")
-    n_words = _matches(t, r"\S+")
-    n_lines = _matches(t, r"(?m)^.*\S.*$")
-    cjk = _kept(t, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+")
-    mostly_cjk = cjk * 2 > letters
-    low = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1)
-    common = F.array(*[F.lit(w) for w in dict.fromkeys(COMMON_WORDS.split())])
-    n_low = F.size(low)
-    common_words = F.size(F.filter(low, lambda w: F.array_contains(common, w)))
-    cells = F.split(F.trim(t), r"[\s,;|]+")
-    numeric = F.size(F.filter(cells, lambda c: c.rlike(r"\A(?:[-+]?[0-9][0-9.]*|n/a|-)\z")))
-    items = F.split(t, r"[\n;]")
-    full = F.filter(items, lambda x: F.trim(x) != "")
-    item = F.size(F.filter(full, lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}")))
-    lines = F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != "")
-    row = F.size(F.filter(lines, lambda x: x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
-    long_tokens = _kept(F.array_join(F.regexp_extract_all(t, F.lit(r"(\S{30,})"), 1), ""), r"\P{ASCII}+")
-    sequence = F.filter(low, lambda w: w.rlike(r"\A[acgtun]{6,}\z"))
-    return df.withColumns(
+    words = [w for w in dict.fromkeys(COMMON_WORDS.split())]
+    # first the parts that several statistics share, each made once
+    base = df.withColumns(
         {
-            "n_chars": F.length(t).cast("bigint"),
-            "word_count": n_words.cast("bigint"),
-            "line_count": n_lines.cast("bigint"),
-            "mean_word_len": _share(ink, n_words),
-            "symbol_ratio": _share(_kept(t, r"[\p{L}\p{M}\p{Nd}\s.,;:!?'\"()\-、。，；：！？「」（）“”’«»]+"), ink),
-            "punct_line_ratio": _share(_matches(t, r"(?m)[.!?。！？:;…][\"'»”’)」]?[ \t]*$"), n_lines),
-            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), cjk)).otherwise(_share(common_words, n_low)),
-            "numeric_ratio": _share(numeric, F.size(cells)),
-            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size(F.array_distinct(low)), n_low)),
-            "item_ratio": _share(item, F.size(full)),
-            "row_ratio": _share(row, F.size(lines)),
-            "sequence_ratio": _share(F.length(F.array_join(sequence, "")), letters),
-            "long_token_ratio": _share(long_tokens, ink),
+            "_ink": _kept(t, r"\s+"),
+            "_letters": _kept(t, r"[^\p{L}\p{M}]+"),
+            "_cjk": _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+"),
+            "_words": _matches(t, r"\S+"),
+            "_low": F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1),
+            "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
+            "_items": F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != ""),
         }
     )
+    c = F.col
+    mostly_cjk = c("_cjk") * 2 > c("_letters")
+    n_low = F.size("_low")
+    common_words = F.size(F.filter("_low", lambda w: w.isin(words)))
+    cells = _matches(t, r"[^\s,;|]+")
+    numeric = _matches(t, r"(?<![^\s,;|])(?:[-+]?[0-9][0-9.]*|n/a|-)(?![^\s,;|])")
+    item = F.size(F.filter("_items", lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}")))
+    row = F.size(F.filter("_lines", lambda x: x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
+    long_tokens = F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"([\x21-\x7E]{30,})"), 1), ""))
+    sequence = F.length(F.array_join(F.regexp_extract_all(F.lower(t), F.lit(r"(?<!\p{L})([acgtun]{6,})(?!\p{L})"), 1), ""))
+    return base.withColumns(
+        {
+            "n_chars": F.length(t).cast("bigint"),
+            "word_count": c("_words").cast("bigint"),
+            "line_count": F.size("_lines").cast("bigint"),
+            "mean_word_len": _share(c("_ink"), c("_words")),
+            "symbol_ratio": _share(_kept(t, r"[\p{L}\p{M}\p{Nd}\s.,;:!?'\"()\-、。，；：！？「」（）“”’«»]+"), c("_ink")),
+            "punct_line_ratio": _share(_matches(t, r"(?m)[.!?。！？:;…][\"'»”’)」]?[ \t]*$"), F.size("_lines")),
+            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(common_words, n_low)),
+            "numeric_ratio": _share(numeric, cells),
+            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size(F.array_distinct("_low")), n_low)),
+            "item_ratio": _share(item, F.size("_items")),
+            "row_ratio": _share(row, F.size("_lines")),
+            "sequence_ratio": _share(sequence, c("_letters")),
+            "long_token_ratio": _share(long_tokens, c("_ink")),
+        }
+    ).drop("_ink", "_letters", "_cjk", "_words", "_low", "_lines", "_items")
 
 
 def language(lang: Column) -> Column:

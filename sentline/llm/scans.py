@@ -22,7 +22,7 @@ from .common import source_texts, spread, text_hash
 STROKES = (("'l'", "t"), ("'", ""), ("\\/", "v"), ("w", "vv"), ("m", "rn"), ("n", "ii"), ("u", "ii"), ("ü", "ii"), ("ñ", "ri"), ("h", "li"), ("d", "cl"))
 GLYPHS = {"i": "|!", "l": "1", "o": "0ø", "s": "5$", "6": "béßö", "q": "9g", "a": "@", "t": "fſ", "c": "e", "&": "å"}
 ODD = r"[0-9@$|!&\\/ſ']"
-CUT_MARKS = "-‐­¬"
+CUT_MARKS = "-\u2010\xad\xac"
 # Words after which or before which an open hyphen is no cut.
 CONJUNCTIONS = ("and", "or", "og", "eller", "und", "oder", "bzw.", "sowie", "y", "e", "o", "u", "et", "ou", "i", "и", "или", "to", "bis", "nor", "als")
 RATIO, RATIO_IN_CONTEXT = 20, 4

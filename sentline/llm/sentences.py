@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import table
 from .common import field_texts
 
@@ -46,66 +47,99 @@ def dictionary(abbreviations: DataFrame) -> list[str]:
 
 
 def _abbreviation_pattern(entries: list[str], z: str) -> str:
-    """Regex of everything up to the last dot of any entry; a blank may stand before each dot."""
-    alts = []
-    for e in sorted(entries, key=lambda x: (-len(x), x)):
+    """Regex of everything up to the last dot of any entry, as a tree of common beginnings; a blank may stand
+    before each dot. Its length is bounded, so that it can look behind."""
+    tree: dict = {}
+    for e in entries:
         body = e[:-1] if e.endswith(".") else e
-        forms = {body, body[:1].upper() + body[1:]}
-        for b in sorted(forms):
-            parts = []
+        for b in {body, body[:1].upper() + body[1:]}:
+            node = tree
             for ch in b:
-                parts.append(r" ?[.\x{E000}]" if ch == "." else " ?" if ch == " " else ("\\" + ch if ch in r"\^$|?*+()[]{}" else ch))
-            alts.append(z.join(parts))
-    return "|".join(alts)
+                node = node.setdefault(ch, {})
+            node[""] = {}
+
+    def atom(ch: str) -> str:
+        return r" ?[.\x{E000}]" if ch == "." else " ?" if ch == " " else ("\\" + ch if ch in r"\^$|?*+()[]{}" else ch)
+
+    def regex(node: dict, first: bool) -> str:
+        alts = ["" if ch == "" else ("" if first else z) + atom(ch) + regex(sub, False) for ch, sub in sorted(node.items(), reverse=True)]
+        return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+
+    return regex(tree, True)
+
+
+PLAIN_BLANKS = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}" + MARK + "]"
+
+
+def _r(c: Column, pat: str, to: str) -> Column:
+    return F.regexp_replace(c, F.lit(pat), F.lit(to))
+
+
+def _where(c: Column, mark: str, fn) -> Column:
+    """fn(c) for texts that hold a mark; the others skip its regex."""
+    return let(c, lambda x: F.when(x.contains(mark), fn(x)).otherwise(x))
+
+
+def plain(p: Column) -> Column:
+    """A paragraph in which every blank is a plain one, of the same length."""
+    m = F.replace(p, F.lit("\n"), F.lit(" "))
+    return let(m, lambda x: F.when(x.rlike(PLAIN_BLANKS), F.translate(x, BLANKS + MARK, " " * len(BLANKS) + MARK_STANDIN)).otherwise(x))
 
 
 def mask(p: Column, entries: list[str], invisible: bool) -> Column:
-    """A paragraph with blanks made plain in which each mark that ends no sentence is a placeholder."""
-    z, zc = (f"{INKLESS}*", INKLESS[1:-1]) if invisible else ("", "")
-    r = lambda c, pat, to: F.regexp_replace(c, F.lit(pat), F.lit(to))
-    m = F.translate(p, BLANKS + MARK, " " * len(BLANKS) + MARK_STANDIN)
-    # decimals, addresses, inner dots
-    m = r(m, rf"(?<=[\p{{L}}\p{{M}}\p{{Nd}}]{'' if not invisible else INKLESS + '{0,3}'})\.(?={z}[\p{{L}}\p{{Nd}}])", DOT)
-    m = r(m, r"(?<=\S)[?!](?=[\p{L}\p{Nd}]+=)", STOP)
-    # scripts in which the dot is an abbreviation mark only
-    m = r(m, rf"(?<=[ऀ-ॣ०-ॿ฀-๿]{'' if not invisible else INKLESS + '{0,3}'})( ?)\.", "$1" + DOT)
-    # abbreviations of the dictionary, then initials and other single letters
-    m = r(m, rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}{zc}])((?:{_abbreviation_pattern(entries, z)}){z} ?)\.(?= *\S)", "$1" + DOT)
-    m = r(m, rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’{zc}])(\p{{Lu}}\p{{M}}*{z} ?)\.(?= *\S)", "$1" + DOT)
-    m = r(m, rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’%°\x{{E000}}{zc}])(?<![paт] ?[.\x{{E000}}] )((?!г)\p{{L}}{z} ?)\.(?= *\S)", "$1" + DOT)
-    # rank numbers
-    m = r(m, rf"(?<![\p{{L}}])((?i:{BEFORE_RANK}) +[0-9]{{1,2}} ?)\.(?= *\p{{L}})", "$1" + DOT)
-    m = r(m, rf"((?<![\p{{Nd}}.,\x{{E000}}])[0-9]{{1,2}} ?)\.(?= *(?:{MONTHS})\b)", "$1" + DOT)
+    """A plain paragraph in which each mark that ends no sentence is a placeholder of the same length.
+
+    Every pattern starts with the mark itself and looks behind from there, so that a text costs by its marks.
+    """
+    z, zc = (INKLESS + "{0,3}", INKLESS[1:-1]) if invisible else ("", "")
+    no_word = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’{zc}])"
+
+    def dots(m: Column) -> Column:
+        # decimals, addresses, inner dots
+        m = _r(m, rf"\.(?<=[\p{{L}}\p{{M}}\p{{Nd}}]{z}\.)(?={z}[\p{{L}}\p{{Nd}}])", DOT)
+        # scripts in which the dot is an abbreviation mark only; the dictionary; initials and other single letters; rank numbers
+        m = _r(m, rf"\.(?<=[\x{{900}}-\x{{963}}\x{{966}}-\x{{97F}}\x{{E00}}-\x{{E7F}}]{z} ?\.)", DOT)
+        m = _r(m, rf"\.(?= *\S)(?<=(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}{zc}])(?:{_abbreviation_pattern(entries, z)}){z} ?\.)", DOT)
+        m = _r(m, rf"\.(?= *\S)(?<={no_word}\p{{Lu}}\p{{M}}{{0,2}}{z} ?\.)", DOT)
+        m = _r(m, rf"\.(?= *\S)(?<=(?<![\p{{L}}\p{{M}}\p{{Nd}}'’%°\x{{E000}}{zc}])(?<![paт] ?[.\x{{E000}}] )(?!г)\p{{L}}{z} ?\.)", DOT)
+        m = _r(m, rf"\.(?= *\p{{L}})(?<=(?<!\p{{L}})(?i:{BEFORE_RANK}) {{1,3}}[0-9]{{1,2}} ?\.)", DOT)
+        return _r(m, rf"\.(?= *(?:{MONTHS})\b)(?<=(?<![\p{{Nd}}.,\x{{E000}}])[0-9]{{1,2}} ?\.)", DOT)
+
+    m = _where(p, ".", dots)
+    m = _where(m, "=", lambda c: _r(c, r"[?!](?<=\S[?!])(?=[\p{L}\p{Nd}]+=)", STOP))
     # inside brackets
-    m = r(m, rf"[.!?;。！？](?<=\([^()]{{0,{SPAN}}})(?=[^()]{{1,{SPAN}}}\))(?! ?\))", STOP)
-    m = r(m, rf"[.!?;。！？](?<=（[^（）]{{0,{SPAN}}})(?=[^（）]{{0,{SPAN}}}）)", STOP)
-    m = r(m, rf"[.!?;。！？](?<=\[[^\[\]]{{0,{SPAN}}})(?=[^\[\]]{{1,{SPAN}}}\])(?! ?\])", STOP)
+    m = _where(m, "(", lambda c: _r(c, rf"[.!?;。！？](?=[^()]{{1,{SPAN}}}\))(?! ?\))(?<=\([^()]{{0,{SPAN}}})", STOP))
+    m = _where(m, "（", lambda c: _r(c, rf"[.!?;。！？](?=[^（）]{{0,{SPAN}}}）)(?<=（[^（）]{{0,{SPAN}}})", STOP))
+    m = _where(m, "[", lambda c: _r(c, rf"[.!?;。！？](?=[^\[\]]{{1,{SPAN}}}\])(?! ?\])(?<=\[[^\[\]]{{0,{SPAN}}})", STOP))
     # inside quotations: all but the last mark; an opening mark doesn't follow a word or mark directly
     pre = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArabic}\p{IsDevanagari}\p{Nd}.,!?؟।;…\x{E001}])"
     for o, c in (("“", "”"), ("„", "“”"), ("«", "»"), ("»(?! )", "«"), ("‘", "’"), ("「", "」"), ("『", "』"), ("‹", "›")):
         n = f"{o[0]}{c}"
-        m = r(m, rf"[.!?;…。！？؟।](?<={pre}{o}[^{n}]{{0,{SPAN}}})(?=[^{n}]{{1,{SPAN}}}[{c}])(?! ?[.!?…。！？]*{z} ?[{c}])", STOP)
-    m = r(m, rf"[.!?…](?<=(?:^| |:|\()\"[^\"]{{0,{SPAN}}})(?=[^\"]{{1,{SPAN}}}\")(?! ?\")", STOP)
+        pat = rf"[.!?;…。！？؟।](?=[^{n}]{{1,{SPAN}}}[{c}])(?! ?[.!?…。！？]*{z} ?[{c}])(?<={pre}{o}[^{n}]{{0,{SPAN}}})"
+        m = _where(m, o[0], lambda x, pat=pat: _r(x, pat, STOP))
+    m = _where(m, '"', lambda c: _r(c, rf"[.!?…](?=[^\"]{{1,{SPAN}}}\")(?! ?\")(?<=(?:^| |:|\()\"[^\"]{{0,{SPAN}}})", STOP))
     # the last mark in a quotation that opens a unit and is followed by caseless reporting words
     opened = r"(?:^|[.!?…。！？؟।”」』»][ ”」』»]{0,3}) {0,9}"
     for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("‘", "’")):
-        m = r(m, rf"[.!?…。！？؟।](?= ?{c} *[\p{{Lo}}\p{{M}}])(?<={opened}{o}[^{o}{c}]{{0,{SPAN}}})", STOP)
-    m = r(m, r"[.!?…。！？](?=[」』] *(?:と|って|という|など))", STOP)
-    return m
+        pat = rf"[.!?…。！？؟।](?= ?{c} *[\p{{Lo}}\p{{M}}])(?<={opened}{o}[^{o}{c}]{{0,{SPAN}}})"
+        m = _where(m, o, lambda x, pat=pat: _r(x, pat, STOP))
+    return _where(m, "」", lambda c: _r(c, r"[.!?…。！？](?=[」』] *(?:と|って|という|など))", STOP))
 
 
 def mark(m: Column) -> Column:
     """The boundary mark put after each unit of a masked paragraph."""
-    r = lambda c, pat, to: F.regexp_replace(c, F.lit(pat), F.lit(to))
     closers = r"(?: ?[»”’“›\"')\]」』）]+(?![\p{L}\p{Nd}]))*"
     z = f"{INKLESS}*"
+    start = r"(?:»(?=[\p{L}\p{Nd}¿¡])|[^\p{Ll}\s,;:.!?…—–\-»”)\]\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}])"
     # scripts with blanks between words: the next character must not go on in lower case or with a mark
-    m = r(m, rf"((?:[.!?…؟।]|(?<=\p{{IsGreek}}\p{{M}}{{0,2}} ?{INKLESS}{{0,3}})[;;])(?: ?[.!?…؟])*{z}{closers}{z})(?= +{z}(?:»(?=[\p{{L}}\p{{Nd}}¿¡])|[^\p{{Ll}}\s,;:.!?…—–\-»”)\]\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]))", "$1" + MARK)
-    m = r(m, rf"([।]{z})(?=[^\s”’»\"')])", "$1" + MARK)
+    m = _r(m, rf"((?:[.!?…؟।]|[;;](?<=\p{{IsGreek}}\p{{M}}{{0,2}} ?{INKLESS}{{0,3}}[;;]))(?: ?[.!?…؟])*{z}{closers}{z})(?= +{z}{start})", "$1" + MARK)
+    m = _where(m, "।", lambda c: _r(c, rf"([।]{z})(?=[^\s”’»\"'])", "$1" + MARK))
     # scripts without blanks
-    m = r(m, r"([。！？｡][。！？｡!?]*(?: ?[”’」』）»]+)*)(?=[^”’」』）»。！？｡\s]|\s+[^\s”」』）])", "$1" + MARK)
+    cjk = lambda c: _r(c, r"([。！？｡][。！？｡!?]*(?: ?[”’」』）»]+)*)(?=[^”’」』）»。！？｡\s]|\s+[^\s”」』）])", "$1" + MARK)
+    m = let(m, lambda x: F.when(x.rlike("[。！？｡]"), cjk(x)).otherwise(x))
     # Thai: a blank between two Thai words
-    return r(m, rf"(?<=[ก-๛]{z[:-1]}{{0,3}})( +{z})(?=[ก-๛])", MARK + "$1")
+    thai = lambda c: _r(c, rf"( +{z})(?=[ก-๛])(?<=[ก-๛]{INKLESS}{{0,3}} {{1,20}}{INKLESS}{{0,3}})", MARK + "$1")
+    return let(m, lambda x: F.when(x.rlike("[ก-๛]"), thai(x)).otherwise(x))
 
 
 def _starts(lens: Column) -> Column:
@@ -123,11 +157,12 @@ def sentence_units(texts: DataFrame, entries: list[str], keep: tuple[str, ...] =
     """text plus the columns to keep -> those columns, start_pos, end_pos, unit: one row per sentence unit."""
     cols = [F.col(c) for c in keep]
     t = texts.filter("text IS NOT NULL AND text <> ''")
-    plain = F.translate("text", MARK, MARK_STANDIN)
-    paras = F.regexp_replace(plain, F.lit(r"(?=\n[ \t\r\x{A0}\x{3000}]*\n)"), F.lit(MARK))
+    clean = F.replace("text", F.lit(MARK), F.lit(MARK_STANDIN))
+    paras = F.regexp_replace(clean, F.lit(r"(?=\n[ \t\r\x{A0}\x{3000}]*\n)"), F.lit(MARK))
     t = t.select(*cols, F.posexplode(_pieces(paras)).alias("para_no", "x")).select(*cols, "para_no", F.col("x.piece").alias("para"), F.col("x.off").alias("para_off"))
-    masked = F.when(F.col("para").rlike(INKLESS), mask(F.col("para"), entries, True)).otherwise(mask(F.col("para"), entries, False))
-    t = t.select(*cols, "para_off", "para", mark(masked).alias("m"))
+    t = t.select(*cols, "para_off", "para", plain(F.col("para")).alias("p"))
+    masked = F.when(F.col("p").rlike(INKLESS), mask(F.col("p"), entries, True)).otherwise(mask(F.col("p"), entries, False))
+    t = t.select(*cols, "para_off", "para", masked.alias("k")).select(*cols, "para_off", "para", mark(F.col("k")).alias("m"))
     t = t.select(*cols, "para_off", "para", F.explode(_pieces(F.col("m"))).alias("x"))
     t = t.select(*cols, "para", "para_off", F.col("x.piece").alias("piece"), F.col("x.off").alias("off"))
     lead = F.length("piece") - F.length(F.ltrim("piece"))
