@@ -51,45 +51,54 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """The columns of df plus the statistics of a text column."""
     t = F.col(text)
     words = [w for w in dict.fromkeys(COMMON_WORDS.split())]
-    # first the parts that several statistics share, each made once
+    c = F.col
+    gone = t
+    for blank in (" ", "\n", "\t", "\r", "\f", "\u00a0", "\u3000"):
+        gone = F.replace(gone, F.lit(blank), F.lit(""))
+    # first the parts that several statistics share, each made once; whole texts are scanned as seldom as can be
     base = df.withColumns(
         {
-            "_ink": _kept(t, r"\s+"),
-            "_letters": _kept(t, r"[^\p{L}\p{M}]+"),
-            "_cjk": _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+"),
-            "_words": _matches(t, r"\S+"),
+            "_ink": F.length(gone),
+            "_tokens": F.filter(F.split(t, r"\s+"), lambda x: x != ""),
             "_low": F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1),
             "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
             "_items": F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != ""),
         }
     )
-    c = F.col
+    # texts of two bytes a character at most hold too few ideographs to be mostly such
+    cjk = F.when(F.octet_length(t) > 1.9 * F.length(t), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0))
+    base = base.withColumns({"_cjk": cjk, "_letters": F.length(F.array_join("_low", "")), "_distinct": F.array_distinct("_low")})
     mostly_cjk = c("_cjk") * 2 > c("_letters")
-    n_low = F.size("_low")
+    n_low, n_words = F.size("_low"), F.size("_tokens")
     common_words = F.size(F.filter("_low", lambda w: w.isin(words)))
-    cells = _matches(t, r"[^\s,;|]+")
-    numeric = _matches(t, r"(?<![^\s,;|])(?:[-+]?[0-9][0-9.]*|n/a|-)(?![^\s,;|])")
+    cells = F.size(F.filter("_tokens", lambda x: ~x.isin("|", ";", ","))) + _matches(t, r"[,;|]+(?=[^\s,;|])")
+    numeric = _matches(t, r"(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])(?<=(?:^|[\s,;|])[-+]?(?:[0-9.]{1,20}|-|n/a))")
+    # the ASCII marks are one bit class; the others are looked for where there can be any
+    marks = _matches(t, r"[-.,;:!?'\"()]") + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
+    digits = F.length(t) - F.length(F.regexp_replace(t, F.lit("[0-9]+"), F.lit("")))
+    symbols = F.greatest(c("_ink") - c("_letters") - marks - digits, F.lit(0))
     item = F.size(F.filter("_items", lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}")))
     row = F.size(F.filter("_lines", lambda x: x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
-    long_tokens = F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"([\x21-\x7E]{30,})"), 1), ""))
-    sequence = F.length(F.array_join(F.regexp_extract_all(F.lower(t), F.lit(r"(?<!\p{L})([acgtun]{6,})(?!\p{L})"), 1), ""))
+    ended = F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(2)).rlike(r"[.!?。！？:;…][\"'»”’)」]?\z")))
+    long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[\x21-\x7E]{30}")), ""))
+    sequence = F.length(F.array_join(F.filter("_distinct", lambda w: w.rlike(r"\A[acgtun]{6,}\z")), ""))
     return base.withColumns(
         {
             "n_chars": F.length(t).cast("bigint"),
-            "word_count": c("_words").cast("bigint"),
+            "word_count": n_words.cast("bigint"),
             "line_count": F.size("_lines").cast("bigint"),
-            "mean_word_len": _share(c("_ink"), c("_words")),
-            "symbol_ratio": _share(_kept(t, r"[\p{L}\p{M}\p{Nd}\s.,;:!?'\"()\-、。，；：！？「」（）“”’«»]+"), c("_ink")),
-            "punct_line_ratio": _share(_matches(t, r"(?m)[.!?。！？:;…][\"'»”’)」]?[ \t]*$"), F.size("_lines")),
+            "mean_word_len": _share(c("_ink"), n_words),
+            "symbol_ratio": _share(symbols, c("_ink")),
+            "punct_line_ratio": _share(ended, F.size("_lines")),
             "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(common_words, n_low)),
             "numeric_ratio": _share(numeric, cells),
-            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size(F.array_distinct("_low")), n_low)),
+            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size("_distinct"), n_low)),
             "item_ratio": _share(item, F.size("_items")),
             "row_ratio": _share(row, F.size("_lines")),
             "sequence_ratio": _share(sequence, c("_letters")),
             "long_token_ratio": _share(long_tokens, c("_ink")),
         }
-    ).drop("_ink", "_letters", "_cjk", "_words", "_low", "_lines", "_items")
+    ).drop("_ink", "_letters", "_cjk", "_tokens", "_low", "_distinct", "_lines", "_items")
 
 
 def language(lang: Column) -> Column:

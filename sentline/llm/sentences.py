@@ -97,13 +97,18 @@ def mask(p: Column, entries: list[str], invisible: bool) -> Column:
     def dots(m: Column) -> Column:
         # decimals, addresses, inner dots
         m = _r(m, rf"\.(?<=[\p{{L}}\p{{M}}\p{{Nd}}]{z}\.)(?={z}[\p{{L}}\p{{Nd}}])", DOT)
-        # scripts in which the dot is an abbreviation mark only; the dictionary; initials and other single letters; rank numbers
-        m = _r(m, rf"\.(?<=[\x{{900}}-\x{{963}}\x{{966}}-\x{{97F}}\x{{E00}}-\x{{E7F}}]{z} ?\.)", DOT)
-        m = _r(m, rf"\.(?= *\S)(?<=(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}{zc}])(?:{_abbreviation_pattern(entries, z)}){z} ?\.)", DOT)
-        m = _r(m, rf"\.(?= *\S)(?<={no_word}\p{{Lu}}\p{{M}}{{0,2}}{z} ?\.)", DOT)
-        m = _r(m, rf"\.(?= *\S)(?<=(?<![\p{{L}}\p{{M}}\p{{Nd}}'’%°\x{{E000}}{zc}])(?<![paт] ?[.\x{{E000}}] )(?!г)\p{{L}}{z} ?\.)", DOT)
-        m = _r(m, rf"\.(?= *\p{{L}})(?<=(?<!\p{{L}})(?i:{BEFORE_RANK}) {{1,3}}[0-9]{{1,2}} ?\.)", DOT)
-        return _r(m, rf"\.(?= *(?:{MONTHS})\b)(?<=(?<![\p{{Nd}}.,\x{{E000}}])[0-9]{{1,2}} ?\.)", DOT)
+        # scripts in which the dot is an abbreviation mark only; the dictionary; initials; other single letters; rank numbers
+        behind = "|".join(
+            (
+                rf"[\x{{900}}-\x{{963}}\x{{966}}-\x{{97F}}\x{{E00}}-\x{{E7F}}]{z}",
+                rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}{zc}])(?:{_abbreviation_pattern(entries, z)}){z}",
+                rf"{no_word}\p{{Lu}}\p{{M}}{{0,2}}{z}",
+                rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’%°\x{{E000}}{zc}])(?<![paт] ?[.\x{{E000}}] )(?!г)\p{{L}}{z}",
+                rf"(?<!\p{{L}})(?i:{BEFORE_RANK}) {{1,3}}[0-9]{{1,2}}",
+                rf"(?<![\p{{Nd}}.,\x{{E000}}])[0-9]{{1,2}}(?= ?\. *(?:{MONTHS})\b)",
+            )
+        )
+        return _r(m, rf"\.(?= *\S)(?<=(?:{behind}) ?\.)", DOT)
 
     m = _where(p, ".", dots)
     m = _where(m, "=", lambda c: _r(c, r"[?!](?<=\S[?!])(?=[\p{L}\p{Nd}]+=)", STOP))
