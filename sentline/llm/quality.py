@@ -77,7 +77,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     marks = _matches(t, r"[-.,;:!?'\"()]") + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
     digits = F.length(t) - F.length(F.regexp_replace(t, F.lit("[0-9]+"), F.lit("")))
     symbols = F.greatest(c("_ink") - c("_letters") - marks - digits, F.lit(0))
-    item = F.size(F.filter("_items", lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}")))
+    item = F.filter("_items", lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}"))
     row = F.size(F.filter("_lines", lambda x: x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
     ended = F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(2)).rlike(r"[.!?。！？:;…][\"'»”’)」]?\z")))
     long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[\x21-\x7E]{30}")), ""))
@@ -93,7 +93,8 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(common_words, n_low)),
             "numeric_ratio": _share(numeric, cells),
             "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size("_distinct"), n_low)),
-            "item_ratio": _share(item, F.size("_items")),
+            "item_ratio": _share(F.size(item), F.size("_items")),
+            "item_share": _share(F.length(F.array_join(item, "")), F.length(t)),
             "row_ratio": _share(row, F.size("_lines")),
             "sequence_ratio": _share(sequence, c("_letters")),
             "long_token_ratio": _share(long_tokens, c("_ink")),
@@ -150,7 +151,7 @@ def kind_of_tail() -> Column:
     """What a document in the tails is, by the shape of its lines."""
     c = F.col
     table_ = (c("row_ratio") >= 0.6) & (c("numeric_ratio") >= 0.45)
-    list_ = (c("item_ratio") >= 0.6) & (c("symbol_ratio") < 0.25) & (c("sequence_ratio") < 0.3)
+    list_ = (c("item_ratio") >= 0.6) & (c("item_share") >= 0.5) & (c("symbol_ratio") < 0.25) & (c("sequence_ratio") < 0.3)
     junk = (
         (c("long_token_ratio") >= 0.5)
         | (c("sequence_ratio") >= 0.3)

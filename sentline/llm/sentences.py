@@ -133,7 +133,7 @@ def mask(p: Column, entries: list[str], invisible: bool) -> Column:
 
 def mark(m: Column) -> Column:
     """The boundary mark put after each unit of a masked paragraph."""
-    closers = r"(?: ?[»”’“›\"')\]」』）]+(?![\p{L}\p{Nd}]))*"
+    closers = r"(?:«(?![\p{L}\p{Nd}])| ?[»”’“›\"')\]」』）]+(?![\p{L}\p{Nd}]))*"
     z = f"{INKLESS}*"
     start = r"(?:»(?=[\p{L}\p{Nd}¿¡])|[^\p{Ll}\s,;:.!?…—–\-»”)\]\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}])"
     # scripts with blanks between words: the next character must not go on in lower case or with a mark
@@ -172,7 +172,7 @@ def sentence_units(texts: DataFrame, entries: list[str], keep: tuple[str, ...] =
     t = t.select(*cols, "para", "para_off", F.col("x.piece").alias("piece"), F.col("x.off").alias("off"))
     lead = F.length("piece") - F.length(F.ltrim("piece"))
     t = t.select(*cols, "para", "para_off", (F.col("off") + lead).alias("a"), F.length(F.trim("piece")).alias("n")).filter("n > 0")
-    return t.select(*cols, (F.col("para_off") + F.col("a")).cast("bigint").alias("start_pos"), (F.col("para_off") + F.col("a") + F.col("n")).cast("bigint").alias("end_pos"), F.expr("substring(para, a + 1, n)").alias("unit"))
+    return t.select(*cols, (F.col("para_off") + F.col("a")).cast("bigint").alias("start_pos"), (F.col("para_off") + F.col("a") + F.col("n")).cast("bigint").alias("end_pos"), F.replace(F.expr("substring(para, a + 1, n)"), F.lit(MARK_STANDIN), F.lit(MARK)).alias("unit"))
 
 
 def p4_units(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_statistics(spark):
     df = spark.createDataFrame([("One two, three.\nFour: % five",)], "text string")
     r = L.text_statistics(df).first()
     assert (r.word_count, r.line_count) == (6, 2)
-    assert r.mean_word_len == 22 / 6 and r.punct_line_ratio == 0.5 and r.symbol_ratio == 1 / 22
+    assert r.mean_word_len == 23 / 6 and r.punct_line_ratio == 0.5 and r.symbol_ratio == 1 / 23
 
 
 def test_percentiles_follow_the_exact_rank(spark):

@@ -28,7 +28,7 @@ CASES = [
     ("Tokenised z . B . Text , Nr . 5 . Ende .", ["Tokenised z . B . Text , Nr . 5 .", "Ende ."]),
     ("Who ... and why?! Well ... yes.", ["Who ... and why?!", "Well ... yes."]),
     ("S‍ee Fi­g. 3. Ne​xt.", ["S‍ee Fi­g. 3.", "Ne​xt."]),
-    ("", []), (None, []), (" \n\n ", []), (" a. B", [" a.", "B"]),
+    ("", []), (None, []), (" \n\n ", []), ("\ue0ff It. Be", ["\ue0ff It.", "Be"]),
 ]
 
 
