@@ -59,7 +59,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     base = df.withColumns(
         {
             "_ink": F.length(gone),
-            "_tokens": F.filter(F.split(t, r"\s+"), lambda x: x != ""),
+            "_tokens": F.split(F.btrim(t, F.lit(" \n\t\r\f")), r"\s+"),
             "_low": F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1),
             "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
             "_items": F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != ""),
@@ -73,12 +73,14 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     common_words = F.size(F.filter("_low", lambda w: w.isin(words)))
     cells = F.size(F.filter("_tokens", lambda x: ~x.isin("|", ";", ","))) + _matches(t, r"[,;|]+(?=[^\s,;|])")
     numeric = _matches(t, r"(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])(?<=(?:^|[\s,;|])[-+]?(?:[0-9.]{1,20}|-|n/a))")
-    # the ASCII marks are one bit class; the others are looked for where there can be any
-    marks = _matches(t, r"[-.,;:!?'\"()]") + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
-    digits = F.length(t) - F.length(F.regexp_replace(t, F.lit("[0-9]+"), F.lit("")))
-    symbols = F.greatest(c("_ink") - c("_letters") - marks - digits, F.lit(0))
-    item = F.filter("_items", lambda x: x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"[.!?。！？:]\s*\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}"))
-    row = F.size(F.filter("_lines", lambda x: x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
+    # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
+    known = F.length(t) - F.length(F.regexp_replace(t, F.lit(r"[-.,;:!?'\"()0123456789]+"), F.lit("")))
+    known = known + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
+    symbols = F.greatest(c("_ink") - c("_letters") - known, F.lit(0))
+    # lines of tables and lists don't end like sentences; that is looked at first
+    open_end = lambda x: ~F.right(F.rtrim(x), F.lit(1)).isin(*".!?。！？:")
+    item = F.filter("_items", lambda x: open_end(x) & x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}"))
+    row = F.size(F.filter("_lines", lambda x: open_end(x) & x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
     ended = F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(2)).rlike(r"[.!?。！？:;…][\"'»”’)」]?\z")))
     long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[\x21-\x7E]{30}")), ""))
     sequence = F.length(F.array_join(F.filter("_distinct", lambda w: w.rlike(r"\A[acgtun]{6,}\z")), ""))
