@@ -103,12 +103,12 @@ def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, i
 
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_coverage: float = 0.0, seed: int = SEED) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> doc_id, item_id, n_tiles, longest, matched, coverage."""
+    seed = min(seed, min_words)
     docs, its = spread(documents.select("doc_id", "text").filter("text IS NOT NULL")), items.select("item_id", "text").filter("text IS NOT NULL")
     item_seeds = seeds(its, "item_id", "text", seed)
     if is_small(its):  # the size of the item table is checked; a larger one is joined by shuffle
         item_seeds = F.broadcast(item_seeds)
-    hits = seeds(docs, "doc_id", "text", seed).join(item_seeds, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_seeds"))
-    hits = hits.filter(F.col("n_seeds") >= min(min_words - seed + 1, 8))
+    hits = seeds(docs, "doc_id", "text", seed).join(item_seeds, "h").select("doc_id", "item_id").distinct()  # a passage that repeats itself may share one seed only
     small = is_small(its)
     pairs = docs.join(hits, "doc_id").join(F.broadcast(its.withColumnRenamed("text", "item_text")) if small else its.withColumnRenamed("text", "item_text"), "item_id")
 

@@ -21,7 +21,7 @@ def brute(docs, items, n):
 def test_against_brute_force(spark):
     rnd = random.Random(3)
     vocab = ["alpha", "beta", "gamma", "delta", "eps"]
-    items = [(k, " ".join(rnd.choice(vocab) + str(rnd.randrange(9)) for _ in range(40))) for k in range(6)] + [(90, None), (91, ""), (92, "short one")]
+    items = [(k, " ".join(rnd.choice(vocab) + str(rnd.randrange(9)) for _ in range(40))) for k in range(6)] + [(90, None), (91, ""), (92, "short one"), (93, "same " * 30)]
     docs = []
     for d in range(60):
         base = [rnd.choice(vocab) + str(rnd.randrange(9)) for _ in range(50)]
@@ -30,7 +30,7 @@ def test_against_brute_force(spark):
         at = rnd.randrange(0, 41 - n) if n else 0
         passage = [w.upper() + rnd.choice(("", ",", "...", "\n")) for w in items[k][1].split()[at : at + n]]
         docs.append((d, " ".join(base[:25] + passage + base[25:])))
-    docs += [(100, None), (101, ""), (102, docs[5][1])]
+    docs += [(100, None), (101, ""), (102, docs[5][1]), (103, "x " + "Same, " * 16), (104, "same " * 14)]
     got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute(docs, items, 15)
 
