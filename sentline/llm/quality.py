@@ -71,8 +71,9 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     mostly_cjk = c("_cjk") * 2 > c("_letters")
     n_low, n_words = F.size("_low"), F.size("_tokens")
     common_words = F.size(F.filter("_low", lambda w: w.isin(words)))
+    # cells: words and what delimiters part inside of them, without delimiters that stand alone
     cells = F.size(F.filter("_tokens", lambda x: ~x.isin("|", ";", ","))) + _matches(t, r"[,;|]+(?=[^\s,;|])")
-    numeric = _matches(t, r"(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])(?<=(?:^|[\s,;|])[-+]?(?:[0-9.]{1,20}|-|n/a))")
+    numeric = _matches(t, r"(?=[-0-9n])(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])(?<=(?:^|[\s,;|])[-+]?(?:[0-9.]{1,20}|-|n/a))")
     # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
     known = F.length(t) - F.length(F.regexp_replace(t, F.lit(r"[-.,;:!?'\"()0123456789]+"), F.lit("")))
     known = known + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
@@ -81,9 +82,11 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     open_end = lambda x: ~F.right(F.rtrim(x), F.lit(1)).isin(*".!?。！？:")
     item = F.filter("_items", lambda x: open_end(x) & x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}"))
     row = F.size(F.filter("_lines", lambda x: open_end(x) & x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
-    ended = F.size(F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(2)).rlike(r"[.!?。！？:;…][\"'»”’)」]?\z")))
+    stops, quotes = ".!?。！？:;…", "\"'»”’)」"
+    last, last_but = lambda x: F.right(F.rtrim(x), F.lit(1)), lambda x: F.left(F.right(F.rtrim(x), F.lit(2)), F.lit(1))
+    ended = F.size(F.filter("_lines", lambda x: last(x).isin(*stops) | (last(x).isin(*quotes) & last_but(x).isin(*stops))))
     long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[\x21-\x7E]{30}")), ""))
-    sequence = F.length(F.array_join(F.filter("_distinct", lambda w: w.rlike(r"\A[acgtun]{6,}\z")), ""))
+    sequence = F.length(F.array_join(F.filter("_distinct", lambda w: (F.octet_length(w) >= 6) & w.rlike(r"\A[acgtun]{6,}\z")), ""))
     return base.withColumns(
         {
             "n_chars": F.length(t).cast("bigint"),
