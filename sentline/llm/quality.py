@@ -2,8 +2,9 @@
 
 Statistics are SQL expressions. For each language a mergeable KLL sketch of every statistic is built
 over all documents; the sketch gives medians and quartiles, by which values become robust z-scores and
-percentiles. A document in the tail of a statistic that prose keeps within bounds is a candidate,
-and the shape of its lines tells which kind it is.
+percentiles. The shape of a document's lines tells which kind it is, however many of its kind a language
+holds; only signs that depend on the language, few common words and few distinct words in a very long
+text, ask for the tail of a statistic or for a reference in which prose does have common words.
 
 A null or empty text has null statistics and no kind. Ties and repeated rows count as often as they come.
 """
@@ -32,6 +33,8 @@ CJK_COMMON = "的是在和了有不一之其所以于与及或该中上为被而
 STATS = ("mean_word_len", "symbol_ratio", "punct_line_ratio", "common_ratio", "numeric_ratio", "unique_ratio")
 Z_TAIL = 3.5
 GRID = 200  # quantiles kept of each sketch
+LEAST_GROUP = 50  # documents of a language below which all languages are the reference
+KNOWN = 0.1  # share of common words that the best tenth of a reference reaches if its common words are listed
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -114,17 +117,32 @@ def language(lang: Column) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """Per language one KLL sketch of each statistic, and its quantiles in an even grid. Sketches merge, so partial
-    aggregation happens before the shuffle, whatever the size of a language."""
-    k = stats.groupBy("language").agg(*[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in STATS])
+    """Per language one KLL sketch of each statistic, its quantiles in an even grid (q_), and those of the reference (r_):
+    of the language, or of all documents where it has few. Sketches merge, so partial aggregation happens before the
+    shuffle, whatever the size of a language."""
+    k = stats.rollup("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in STATS])
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    return k.select("language", *[F.kll_sketch_get_quantile_double(f"sk_{s}", grid).alias(f"q_{s}") for s in STATS])
+    k = k.select("language", "n", *[F.kll_sketch_get_quantile_double(f"sk_{s}", grid).alias(f"q_{s}") for s in STATS])
+    whole = k.filter("language IS NULL").select(*[F.col(f"q_{s}").alias(f"a_{s}") for s in STATS])
+    few = F.col("n") < LEAST_GROUP
+    return k.filter("language IS NOT NULL").crossJoin(whole).select("language", *[f"q_{s}" for s in STATS], *[F.when(few, F.col(f"a_{s}")).otherwise(F.col(f"q_{s}")).alias(f"r_{s}") for s in STATS])
 
 
 def _at_most(value: Column):
     return lambda x: x <= value
 
 
+def _quantile(s: str, p: float) -> Column:
+    return F.element_at(f"r_{s}", int(p * GRID) + 1)
+
+
+def _spread(s: str) -> Column:
+    """Standard deviation by the half on the side of prose, which other kinds don't widen."""
+    low, high = _quantile(s, 0.5) - _quantile(s, 0.25), _quantile(s, 0.75) - _quantile(s, 0.5)
+    half = low if s in ("symbol_ratio", "numeric_ratio") else F.least(low, high) if s == "mean_word_len" else high
+    return F.greatest(half * 2 / 1.349, F.lit(0.01))
+
+
 def graded(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) -> statistics, robust z-scores, percentiles and kind."""
     base = spread(documents.select("doc_id", "text", "lang").filter("text IS NOT NULL AND text <> ''"))
@@ -134,8 +152,7 @@ def graded(documents: DataFrame) -> DataFrame:
     st = st.join(F.broadcast(sketches(st)), "language")
     z = {}
     for s in STATS:
-        q = lambda p, s=s: F.element_at(f"q_{s}", int(p * GRID) + 1)
-        z[f"z_{s}"] = (F.col(s) - q(0.5)) / F.greatest((q(0.75) - q(0.25)) / 1.349, F.lit(0.01))
+        z[f"z_{s}"] = (F.col(s) - _quantile(s, 0.5)) / _spread(s)
         z[f"pct_{s}"] = F.size(F.filter(f"q_{s}", _at_most(F.col(s)))) / F.lit(GRID + 1.0)
     st = st.withColumns(z)
     tails = [
@@ -149,20 +166,22 @@ def graded(documents: DataFrame) -> DataFrame:
         F.col("pct_unique_ratio") <= 0.02,
     ]
     st = st.withColumn("in_tail", reduce(lambda a, b: a | b, tails))
-    return st.withColumn("kind", F.when(F.col("in_tail"), kind_of_tail()).otherwise("prose"))
+    return st.withColumn("kind", kind())
 
 
-def kind_of_tail() -> Column:
-    """What a document in the tails is, by the shape of its lines."""
+def kind() -> Column:
+    """What a document is, by the shape of its lines."""
     c = F.col
     table_ = (c("row_ratio") >= 0.6) & (c("numeric_ratio") >= 0.45)
     list_ = (c("item_ratio") >= 0.6) & (c("item_share") >= 0.5) & (c("symbol_ratio") < 0.25) & (c("sequence_ratio") < 0.3)
+    # prose of n words has some multiple of sqrt(n) distinct ones, in any language
+    repeats = c("unique_ratio") * c("unique_ratio") * c("word_count") < 16
     junk = (
         (c("long_token_ratio") >= 0.5)
         | (c("sequence_ratio") >= 0.3)
         | (c("symbol_ratio") >= 0.25)
-        | ((c("common_ratio") < 0.03) & (c("word_count") >= 5) & (c("punct_line_ratio") < 0.5))
-        | ((c("unique_ratio") < 0.04) & (c("word_count") >= 20))
+        | ((c("common_ratio") < 0.03) & (c("word_count") >= 5) & (c("punct_line_ratio") < 0.5) & (c("in_tail") | (_quantile("common_ratio", 0.9) >= KNOWN)))
+        | ((c("unique_ratio") < 0.04) & (c("word_count") >= 20) & (c("in_tail") | repeats))
     )
     return F.when(table_, "table").when(list_, "list").when(junk, "junk").otherwise("prose")
 

@@ -45,3 +45,32 @@ def test_percentiles_follow_the_exact_rank(spark):
 
 def test_empty_table(spark):
     assert L.graded(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+def test_a_third_of_a_language_is_no_prose(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bcdfghklmnprstvz") for _ in range(rnd.randrange(3, 9)))
+    forms = {
+        "list": lambda: "\n".join(f"{i} drive {word()} with the {word()}" for i in range(10, 40, 2)),
+        "table": lambda: "\n".join(f"No {i} | {rnd.randrange(90)} | {rnd.randrange(9)} | n/a | 3.5" for i in range(12)),
+        "junk": lambda: "\n".join(" ".join(word() for _ in range(8)) for _ in range(6)),
+    }
+    rows, want = [], {}
+    for lang, (kind, text) in zip(("en", "de", "fr"), forms.items()):
+        for k in range(120):
+            n = len(rows)
+            if k % 3 == 0:
+                want[n] = kind
+            rows.append((n, text() if k % 3 == 0 else PROSE + f" The pump number {k} was tested by the keeper of the mill.", lang))
+    g = L.graded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {r.doc_id: r.kind for r in g.filter("kind <> 'prose'").collect()} == want
+
+
+def test_language_of_one_document(spark):
+    rows, kinds = corpus()
+    alone = {"it": 202, "nl": 201, "sv": 206, "pl": 205}
+    texts = {k: t for k, t, _ in rows}
+    more = [(400 + i, texts[k], lang) for i, (lang, k) in enumerate(alone.items())] + [(410, PROSE, "cs")]
+    g = L.graded(spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r.kind for r in g.filter("doc_id >= 400").collect()}
+    assert got == {400 + i: kinds[k] for i, k in enumerate(alone.values())} | {410: "prose"}
