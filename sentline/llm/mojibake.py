@@ -7,6 +7,9 @@ than once) that explains an aligned pair gains support. Scripts without ASCII le
 when stripped; there the twin is the frequent token that a hypothesis yields. Learned transformations are
 then applied to all other tokens, with the counts of tokens and characters of the corpus as the judge.
 
+A token of a script without blanks may hold a garbled sentence next to a clean one. Besides the whole, its
+pieces count as tokens: cut at sentence marks of such scripts and where they meet other characters outside ASCII.
+
 Null and empty texts give no rows. Numeric character references count as the characters they name.
 Replacement characters and C1 controls are traces that can't be restored. Repeated deliveries count once.
 """
@@ -37,6 +40,14 @@ BROKEN = "[\\x{80}-\\x{84}\\x{86}-\\x{9F}\\x{FFFD}]"
 TOKEN = r"(\S*(?:[^\x00-\x7F]|&#[0-9]{2,6};)\S*)"
 EDGE = r"^[\x21-\x25\x27-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+|[\x21-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+$"
 
+# Scripts without blanks with their marks and width forms (also Hangul), as a class in Java and in Python.
+UNBROKEN = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xD7FF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF))
+WIDE = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNBROKEN)
+WIDE_PY = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in UNBROKEN)
+SENTENCE_END = "。！？．"
+QUOTE_EDGE = "“”‘’…—–·"  # marks of clean text, and bytes of garbled text
+LEAST_PREFIX = 10  # bytes that must decode in a piece of which only the first part is garbled
+
 
 @lru_cache(None)
 def _table(codec: str) -> tuple[dict[str, int], str]:
@@ -84,12 +95,68 @@ def undo(s: str, chain: str) -> str | None:
     written, _, times = written.partition("*")
     for _ in range(int(times or 1)):
         b = to_bytes(s, read)
-        s = None if b is None else from_bytes(b, written)
+        c = None if b is None else from_bytes(b, written)
+        if c is None and b is not None and written == "utf_8" and not times:
+            head, rest = undo_prefix(s, b, read)
+            c = head and head + rest
+        s = c
         if s is None:
             return None
     return s
 
 
+def undo_prefix(s: str, b: bytes, read: str) -> tuple[str | None, str]:
+    """(restored part, rest as it is) of a text whose first part alone is UTF-8 read in an encoding of a script without
+    blanks; (None, "") if there is no such part."""
+    if read not in (*MULTI, "cp874"):
+        return None, ""
+    try:
+        b.decode("utf_8")
+    except UnicodeDecodeError as e:
+        head = b[: e.start]
+        while len(head) >= LEAST_PREFIX and not head.isascii():
+            rest = from_bytes(b[len(head) :], read)
+            if rest is not None and s.endswith(rest):
+                c = head.decode("utf_8")
+                return (c, rest) if len(c.encode("ascii", "ignore")) * 2 < len(c) else (None, "")
+            # a character of the text holds bytes of both parts: it goes with the rest
+            head = head[:-1]
+            while head and (head[-1] & 0xC0) == 0x80 and not _whole(head):
+                head = head[:-1]
+            if head and head[-1] >= 0xC0:
+                head = head[:-1]
+    return None, ""
+
+
+def _whole(b: bytes) -> bool:
+    try:
+        b.decode("utf_8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def pieces_of(token: str) -> list[str]:
+    """Where a token of a script without blanks may change between clean and garbled; joined they are the token."""
+    return re.findall(f"[{WIDE_PY}]+(?:[\x00-\x7f]+[{WIDE_PY}]+)*|[^{WIDE_PY}]+", token)
+
+
+def undo_pieces(token: str, chain: str) -> str | None:
+    """undo() on those pieces of a token that allow it; None if none does."""
+    whole = undo(token, chain)
+    if whole is not None or not re.search(f"[{WIDE_PY}]", token):
+        return whole
+    out = []
+    for piece in pieces_of(token):
+        for part in re.findall(f"[^{SENTENCE_END}]+[{SENTENCE_END}]*|[{SENTENCE_END}]+", piece):
+            lead, core, tail = re.fullmatch(f"([{QUOTE_EDGE}]*)(.*?)([{QUOTE_EDGE}]*)", part, re.S).groups()
+            r = undo(part, chain) if not part.isascii() else None
+            c = undo(core, chain) if r is None and core and not core.isascii() else None
+            out.append(r if r is not None else part if c is None else lead + c + tail)
+    joined = "".join(out)
+    return None if joined == token else joined
+
+
 def hypotheses(token: str) -> Iterator[tuple[str, str]]:
     """(chain, restored) of every transformation that a token allows."""
     s = html.unescape(token) if "&#" in token else token
@@ -102,6 +169,11 @@ def hypotheses(token: str) -> Iterator[tuple[str, str]]:
             if written == read or (read in MULTI and written != "utf_8"):
                 continue
             c = from_bytes(b, written)
+            if c is None and written == "utf_8":
+                c, _ = undo_prefix(s, b, read)  # judged by what was garbled
+                if c is not None:
+                    yield f"{read}>utf_8", c
+                continue
             if c is None or c in seen or any("\x7f" <= x <= "\x9f" or x == "�" for x in c if written != "utf_8"):
                 continue
             if written == "utf_8":
@@ -118,10 +190,24 @@ def hypotheses(token: str) -> Iterator[tuple[str, str]]:
             yield f"{read}>{written}", c
 
 
+def _pieces(t):
+    """The pieces of a token that holds characters of scripts without blanks, also without marks at their edges."""
+    narrow = F.regexp_extract_all(t, F.lit(f"([^{WIDE}]+)"), 1)
+    bare = F.transform(narrow, lambda x: F.regexp_replace(x, f"^[{QUOTE_EDGE}]+|[{QUOTE_EDGE}]+$", ""))
+    wide = F.regexp_extract_all(t, F.lit(f"([{WIDE}\\x00-\\x7F&&[^{SENTENCE_END}]]+[{SENTENCE_END}]*)"), 1)
+    # one or two characters at a cut prove nothing: their few bytes are valid in many an encoding
+    wide = F.filter(wide, lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{M}]|[A-Za-z]", "")) >= 3)
+    all_ = F.filter(F.concat(narrow, bare, wide), lambda x: x.rlike(r"[^\x00-\x7F]|&#") & (x != t))
+    return F.when(t.rlike(f"[{WIDE}]"), all_).otherwise(F.array().cast("array<string>"))
+
+
 def file_tokens(texts: DataFrame) -> DataFrame:
-    """Distinct (file_id, tok) of tokens with characters outside ASCII; digits masked."""
-    toks = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TOKEN), 1), lambda t: F.when(t.contains("&#"), t).otherwise(F.regexp_replace(F.regexp_replace(t, EDGE, ""), "[0-9]+", "0"))))
-    return spread(texts.filter("text IS NOT NULL")).select("file_id", F.explode(toks).alias("tok")).filter("tok <> ''").distinct()
+    """file_id, tok, whole: distinct tokens with characters outside ASCII, digits masked; pieces of them are not whole."""
+    mask = lambda t: F.when(t.contains("&#"), t).otherwise(F.regexp_replace(F.regexp_replace(t, EDGE, ""), "[0-9]+", "0"))
+    toks = F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 1))
+    per = spread(texts.filter("text IS NOT NULL")).select("file_id", toks.alias("toks"))
+    both = F.concat(F.transform("toks", lambda t: F.struct(mask(t).alias("tok"), F.lit(1).alias("whole"))), F.transform(F.flatten(F.transform("toks", _pieces)), lambda t: F.struct(mask(t).alias("tok"), F.lit(0).alias("whole"))))
+    return per.select("file_id", F.inline(F.array_distinct(both))).filter("tok <> ''").groupBy("file_id", "tok").agg(F.max("whole").alias("whole"))
 
 
 def _skeleton(c):
@@ -129,8 +215,9 @@ def _skeleton(c):
 
 
 def vocabulary(toks: DataFrame) -> DataFrame:
-    """tok, n: files that hold it, skel: what is left when characters outside ASCII are stripped."""
-    return toks.groupBy("tok").agg(F.count("*").alias("n")).withColumn("skel", _skeleton(F.col("tok")))
+    """tok, n: files that hold it, whole: those that hold it as a whole token, skel: what is left when characters outside
+    ASCII are stripped."""
+    return toks.groupBy("tok").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).withColumn("skel", _skeleton(F.col("tok")))
 
 
 def candidates(vocab: DataFrame) -> DataFrame:
@@ -194,7 +281,7 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The files' tokens, the learned transformations (chain, support), and the garbled tokens (g, chain, c)."""
     toks = materialise(file_tokens(texts))
     vocab = materialise(vocabulary(toks))
-    common = vocab.select(F.explode(F.array_distinct(F.split(F.regexp_replace("tok", r"[\x00-\x7F]+", ""), ""))).alias("ch"), "n").filter("ch <> ''").groupBy("ch").agg(F.sum("n").alias("ch_n"))
+    common = vocab.select(F.explode(F.array_distinct(F.split(F.regexp_replace("tok", r"[\x00-\x7F]+", ""), ""))).alias("ch"), "whole").filter("ch <> ''").groupBy("ch").agg(F.sum("whole").alias("ch_n"))
     pairs = aligned(vocab)
     judged = materialise(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
     support = (
@@ -232,6 +319,17 @@ def restored_texts(texts: DataFrame) -> DataFrame:
     broken = F.col("text").rlike(BROKEN)
     t = texts.filter("text IS NOT NULL").withColumn("h", text_hash("text")).dropDuplicates(["file_id", "h"]).join(per, "file_id", "left").filter(F.col("found").isNotNull() | broken)
 
+    def keys_of(p: str) -> Iterator[str]:
+        if not re.search(f"[{WIDE_PY}]", p):
+            return
+        mask = lambda x: x if "&#" in x else re.sub("[0-9]+", "0", re.sub(EDGE, "", x))
+        for x in re.findall(f"[^{WIDE_PY}]+", p):
+            yield mask(x)
+            yield mask(x.strip(QUOTE_EDGE))
+        for x in re.findall(f"[{WIDE_PY}\x00-\x7f]+", p):
+            for y in re.findall(f"[^{SENTENCE_END}]+[{SENTENCE_END}]*", x):
+                yield mask(y)
+
     def fix(text: str, chain_of: dict[str, str]) -> str:
         out = []
         for part in re.split(r"((?<=[.!?。！？])\s+|\n+)", text):
@@ -239,13 +337,15 @@ def restored_texts(texts: DataFrame) -> DataFrame:
             pieces = re.split(r"(\s+)", part)
             for p in pieces:
                 key = p if "&#" in p else re.sub("[0-9]+", "0", re.sub(EDGE, "", p))
+                if key not in chain_of:
+                    key = next((k for k in keys_of(p) if k in chain_of), key)
                 if key in chain_of:
                     marks[chain_of[key]] = marks.get(chain_of[key], 0) + 1
             if marks:
                 chain = max(marks, key=lambda k: (marks[k], k))
                 fixed = []
                 for p in pieces:
-                    r = undo(html.unescape(p) if "&#" in p else p, chain) if not p.isascii() or "&#" in p else None
+                    r = undo_pieces(html.unescape(p) if "&#" in p else p, chain) if not p.isascii() or "&#" in p else None
                     fixed.append(p if r is None else r)
                 part = "".join(fixed)
             out.append(part)

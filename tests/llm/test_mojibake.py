@@ -78,3 +78,28 @@ def test_twice():
 
 def test_empty_table(spark):
     assert L.garbled_files(spark.createDataFrame([], "file_id bigint, text string")).count() == 0
+
+
+def test_one_garbled_sentence_in_a_line_without_blanks(spark):
+    zh = ["我们在河边测量了桥的高度。", "他们昨天在城里看了新的机器。"]
+    ja = ["私たちは昨日この機械を調べました。", "彼は町で新しい橋を見ました。"]
+    texts = [(n, a + b) for n, (a, b) in enumerate([zh, zh[::-1], ja, ja[::-1]] * 4)]
+    bad = {}
+    cases = [(zh, "gbk", "cp1252"), (ja, "euc_jp", "cp1252"), (zh, "utf-8", "cp1252"), (zh, "utf-8", "gbk"), (ja, "euc_jp", "mac_roman")]
+    for (a, b), w, r in cases:
+        g = a.encode(w).decode("gbk", "ignore") if r == "gbk" else garble(a, w, r)
+        for text, clean in ((g + b, a + b), (b + g, b + a), (b + "“" + g + "”" + b, b + "“" + a + "”" + b)):
+            if r == "gbk" and "“" in text or any("\x80" <= x <= "\x9f" for x in text):
+                continue
+            n = 100 + len(bad)
+            texts.append((n, text))
+            bad[n] = clean if r != "gbk" else None
+    df = spark.createDataFrame(texts, "file_id bigint, text string")
+    assert len(bad) > 6 and {r.file_id for r in L.garbled_files(df).collect()} == set(bad)
+    got = {r.file_id: r.restored for r in L.restored_texts(df).collect()}
+    assert {k: got[k] for k, v in bad.items() if v} == {k: v for k, v in bad.items() if v}
+
+
+def test_single_character_at_a_cut_is_no_case(spark):
+    texts = [(n, "Η γέφυρα και η αντλία η μία") for n in range(6)] + [(9, "他说：“快去灯塔。”管\n理员问道。")]
+    assert L.garbled_files(spark.createDataFrame(texts, "file_id bigint, text string")).count() == 0
