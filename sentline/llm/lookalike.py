@@ -127,29 +127,60 @@ def canonical_segment(seg: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def splice(text: str, pattern: re.Pattern) -> str:
-    return pattern.sub(lambda m: canonical_segment(m.group()), text)
-
-
-def stable_form(text: Column) -> Column:
-    """Text in stable form; only texts that fail the quick check go through Python."""
-    pat = segment_pattern()
+def _by_segment(text: Column, found: str, pattern: str, form) -> Column:
+    """Text with form() applied to the segments of a Python pattern; only texts with a match of the Java regex go
+    through Python."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rx = re.compile(pat)
+        rx = re.compile(pattern)
         for s in batches:
-            yield s.map(lambda t: None if t is None else splice(t, rx))
+            yield s.map(lambda t: None if t is None else rx.sub(lambda m: form(m.group()), t))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(run, "string")
-    return F.coalesce(udf(F.when(text.rlike(unstable_pattern()), text)), text)
+    return F.coalesce(udf(F.when(text.rlike(found), text)), text)
+
+
+def stable_form(text: Column) -> Column:
+    """Text in stable form; only texts that fail the quick check go through Python."""
+    return _by_segment(text, unstable_pattern(), segment_pattern(), canonical_segment)
+
+
+def _look_table() -> dict[int, str]:
+    return {ord(c): k for k, v in LOOKALIKES.items() for c in v}
+
+
+@lru_cache(1 << 16)
+def look_segment(seg: str) -> str:
+    """The look key of letters with their marks: decomposed, look-alikes put as one, composed."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", seg).translate(_look_table()))
+
+
+@lru_cache(1)
+def composed() -> tuple[dict[str, str], str]:
+    """Letters with marks whose base letter is a look-alike: those whose key is one character, with that, and the others."""
+    one, others, table = {}, "", _look_table()
+    for cp in range(0x80, 0x30000):
+        ch = chr(cp)
+        if 0xD800 <= cp < 0xE000 or cp in table or not unicodedata.decomposition(ch) or not unicodedata.is_normalized("NFC", ch):
+            continue
+        key = look_segment(ch)
+        if key != ch and len(key) == 1:
+            one[ch] = key
+        elif key != ch:
+            others += ch
+    return one, others
 
 
 def look_key(stable: Column) -> Column:
-    """The stable form with each look-alike put as the one character that stands for its shape."""
-    src = "".join(v for v in LOOKALIKES.values())
-    dst = "".join(k * len(v) for k, v in LOOKALIKES.items())
-    return F.translate(stable, src, dst)
+    """The stable form with each look-alike put as the one character that stands for its shape, with or without marks.
+    Only texts with marks that stand alone, or with letters whose key has such, go through Python."""
+    one, others = composed()
+    src = "".join(v for v in LOOKALIKES.values()) + "".join(one)
+    dst = "".join(k * len(v) for k, v in LOOKALIKES.items()) + "".join(one.values())
+    marks = classes()[1]
+    found = f"[{java_class(marks)}{java_class(_ranges(sorted(map(ord, others))))}]"
+    return _by_segment(F.translate(stable, src, dst), found, f"[^{_py_class(marks)}]?[{_py_class(marks)}]+|[{others}]", look_segment)
 
 
 def readable(key: Column) -> Column:
@@ -157,13 +188,18 @@ def readable(key: Column) -> Column:
     or Greek has, the shapes shared with Latin go back to that script."""
     cyr = {k: next(c for c in v if "Ѐ" <= c <= "ԯ") for k, v in LOOKALIKES.items() if any("Ѐ" <= c <= "ԯ" for c in v)}
     gre = {k: next(c for c in v if "Ͱ" <= c <= "Ͽ") for k, v in LOOKALIKES.items() if any("Ͱ" <= c <= "Ͽ" for c in v)}
+    for c, k in composed()[0].items():
+        if "Ѐ" <= c <= "ԯ":
+            cyr.setdefault(k, c)
+        elif "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "\u1fff":
+            gre.setdefault(k, c)
     # Latin letters that have no twin tell a Latin word
     words = F.split(key, r"(?<=[^\p{L}])(?=\p{L})|(?<=\p{L})(?=[^\p{L}])")
     back = lambda w, m: F.translate(w, "".join(m), "".join(m.values()))
     mostly_cyr = F.length(F.regexp_replace(key, r"[^\p{IsCyrillic}]", "")) > F.length(F.regexp_replace(key, r"[^A-Za-z]", ""))
 
     def word(w: Column) -> Column:
-        shared = "".join(k for k in LOOKALIKES if k.isalpha())
+        shared = "".join(k for k in {**LOOKALIKES, **cyr} if k.isalpha()) + "\u0300-\u036f"
         return (
             F.when(w.rlike(r"\p{IsCyrillic}"), back(w, cyr))
             .when(w.rlike(r"\p{IsGreek}") & (F.length(w) > 1), back(w, gre))
@@ -171,7 +207,9 @@ def readable(key: Column) -> Column:
             .otherwise(w)
         )
 
-    return F.array_join(F.transform(words, word), "")
+    marks = classes()[1]
+    back_text = F.array_join(F.transform(words, word), "")
+    return _by_segment(back_text, f"[{java_class(marks)}]", f"[^{_py_class(marks)}]?[{_py_class(marks)}]+", lambda x: unicodedata.normalize("NFC", x))
 
 
 def canonical_texts(texts: DataFrame) -> DataFrame:

@@ -52,3 +52,13 @@ def test_pairs_against_brute_force(spark, tmp_path):
             if texts[a] != texts[b] and look(texts[a]) == look(texts[b]):
                 want.add((field, a + off, b + off))
     assert got == want
+
+
+def test_accented_letters_of_other_scripts(spark):
+    groups = [["café", "cafе́", "саfе́"], ["Ångström", "А̊ngstrӧm", "Angström".replace("A", "Α̊")], ["ó", "ό", "о́"], ["y̆", "ў", "ў"], ["cafe"], ["cafè"], ["й", "й"]]
+    rows = [(g, t) for g, ts in enumerate(groups) for t in ts]
+    got = spark.createDataFrame(rows, "g int, text string").select("g", L.look_key(L.stable_form(F.col("text"))).alias("key")).collect()
+    assert len({(r.g, r.key) for r in got}) == len({r.key for r in got}) == len(groups)
+    words = ["Ελληνικό νερό", "Быў дождж", "Это новый ӧвтас", "Ελληνικό νερό", "Быў дождж".replace("ў", "y̆")]
+    out = [r.canonical for r in L.canonical_texts(spark.createDataFrame(list(enumerate(words)), "id int, text string").selectExpr("'f' AS field", "id", "text")).orderBy("id").collect()]
+    assert out == [*words[:3], words[0], words[1]]
