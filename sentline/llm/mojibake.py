@@ -5,7 +5,8 @@ near-twin, the frequent token that is the same once such characters are stripped
 stripped characters are aligned; a transformation (bytes of one encoding read as another, maybe more
 than once) that explains an aligned pair gains support. Scripts without ASCII letters have nothing left
 when stripped; there the twin is the frequent token that a hypothesis yields. Learned transformations are
-then applied to all other tokens, with the counts of tokens and characters of the corpus as the judge.
+then applied to all other tokens, with the counts of tokens and characters of the corpus as the judge. One that is
+spread widely is taken whatever the ratio of a token and its twin, if it makes likelier pairs of characters.
 
 A token of a script without blanks may hold a garbled sentence next to a clean one. Besides the whole, its
 pieces count as tokens: cut at sentence marks of such scripts and where they meet other characters outside ASCII.
@@ -36,6 +37,8 @@ RATIO = 3  # a clean twin is at least so many times as frequent as what is resto
 LEAST = 3  # and occurs in at least so many files
 COMMON_CHAR = 5  # a character of a restored text occurs in at least so many tokens' files
 MIN_SUPPORT = 2  # distinct pairs that a transformation between one-byte encodings must explain
+WIDE_SUPPORT = 10  # distinct tokens with a more frequent twin that a one-byte transformation needs to be taken whatever the ratio
+LIKELIER = 1.5  # pairs of characters of what is then restored are so many times as frequent as those of the token
 BROKEN = "[\\x{80}-\\x{84}\\x{86}-\\x{9F}\\x{FFFD}]"
 TOKEN = r"(\S*(?:[^\x00-\x7F]|&#[0-9]{2,6};)\S*)"
 EDGE = r"^[\x21-\x25\x27-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+|[\x21-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+$"
@@ -274,7 +277,44 @@ def _judge(cand: DataFrame, vocab: DataFrame, common: DataFrame) -> DataFrame:
     from_wide = F.col("chain").rlike("^(gbk|big5|shift_jis|euc_jp|euc_kr)>")
     valid = need.join(ok, ["g", "chain"]).filter((F.col("least") >= COMMON_CHAR) & ((utf8 & ~from_wide & shorter) | (utf8 & from_wide & (F.col("kinds") >= 3)) | (~utf8 & far & (F.col("kinds") >= 4))))
     cols = ["g", "n", "chain", "c"]
-    return c.filter("twin").select(*cols, F.col("c_n").alias("score"), F.lit(True).alias("twin")).unionByName(valid.select(*cols, F.col("least").alias("score"), F.lit(False).alias("twin")))
+    # a twin that is more frequent, but not by the ratio, only tells how widely a one-byte transformation is spread
+    near = ~F.col("twin") & ~F.col("multi") & (F.length(letters) >= 3) & (F.coalesce("c_n", F.lit(0)) >= LEAST) & (F.col("c_n") > F.col("n"))
+    by = c.withColumn("near", F.coalesce(near, F.lit(False))).filter("twin OR near")
+    return by.select(*cols, F.col("c_n").alias("score"), "twin", "near").unionByName(valid.select(*cols, F.col("least").alias("score"), F.lit(False).alias("twin"), F.lit(False).alias("near")))
+
+
+def _couples(c):
+    """Pairs of neighbouring characters, word edges included, with one outside ASCII."""
+    t = F.concat(F.lit(" "), c, F.lit(" "))
+    return F.filter(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))), lambda x: x.rlike(r"[^\x00-\x7F]"))
+
+
+def spread_widely(vocab: DataFrame, chains: list[str]) -> DataFrame:
+    """g, chain, c, score of tokens that a widely supported one-byte transformation turns into likelier ones, whatever
+    the ratio of the two: judged by the pairs of characters of the corpus."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for g in b.tok:
+                for chain in chains:
+                    c = undo(html.unescape(g) if "&#" in g else g, chain)
+                    if c is not None and c != g and not any("\x7f" <= x <= "\x9f" or x == "\ufffd" for x in c):
+                        rows.append((g, chain, re.sub("[0-9]+", "0", c)))
+            yield pd.DataFrame(rows, columns=["g", "chain", "c"])
+
+    known = vocab.filter("whole > 0").select(F.explode(_couples(F.col("tok"))).alias("two"), "whole").groupBy("two").agg(F.sum("whole").alias("two_n"))
+    letters = F.length(F.regexp_replace("g", r"[^\p{L}\p{M}]", ""))
+    cand = vocab.select("tok").mapInPandas(run, "g string, chain string, c string").filter(F.length(F.regexp_replace("c", r"[^\p{L}]", "")) >= 3).filter((letters >= 3) | F.col("g").rlike("[A-Za-z]{2}"))
+
+    def rated(of: str) -> DataFrame:
+        e = cand.select("g", "chain", "c", F.explode(_couples(F.col(of))).alias("two")).join(known, "two", "left")
+        return e.groupBy("g", "chain", "c").agg(F.avg(F.log(F.coalesce("two_n", F.lit(0)) + 1)).alias(f"like_{of}"), F.min(F.coalesce("two_n", F.lit(0))).alias(f"least_{of}"))
+
+    r = rated("c").join(rated("g").drop("least_g"), ["g", "chain", "c"]).join(vocab.select(F.col("tok").alias("c"), F.col("n").alias("c_n")), "c", "left")
+    # one accent in a word fits many languages, so a word that nowhere else occurs must be all in letters outside ASCII
+    seen = F.col("c_n").isNotNull() | F.col("c").rlike(r"\A\p{IsCyrillic}{4,}\z|\A\p{IsGreek}{4,}\z")
+    return r.filter((F.col("least_c") >= COMMON_CHAR) & (F.col("like_c") - F.col("like_g") >= F.log(F.lit(LIKELIER))) & seen).select("g", "chain", "c", F.coalesce("c_n", F.lit(0)).alias("score"))
 
 
 def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -283,16 +323,27 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     vocab = materialise(vocabulary(toks))
     common = vocab.select(F.explode(F.array_distinct(F.split(F.regexp_replace("tok", r"[\x00-\x7F]+", ""), ""))).alias("ch"), "whole").filter("ch <> ''").groupBy("ch").agg(F.sum("whole").alias("ch_n"))
     pairs = aligned(vocab)
-    judged = materialise(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
+    multi = F.split("chain", ">")[1].isin(*MULTI)
+    evidence = materialise(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
+    judged = evidence.filter("NOT near").drop("near")
+    # at most as many rows as there are pairs of encodings
+    wide = evidence.filter((F.col("twin") | F.col("near")) & ~multi).groupBy("chain").agg(F.count_distinct("g").alias("s")).filter(F.col("s") >= WIDE_SUPPORT)
+    wide_s = {r.chain: r.s for r in wide.collect()}
     support = (
         pairs.distinct().groupBy("chain").agg(F.count("*").alias("s"))
         .unionByName(judged.filter(~F.col("g").rlike("[A-Za-z]")).groupBy("chain").agg(F.count("*").alias("s")))
         .groupBy("chain").agg(F.sum("s").alias("support"))
     )
-    multi = F.split("chain", ">")[1].isin(*MULTI)
     learned = support.filter((F.col("support") >= MIN_SUPPORT) | multi)
+    hits = judged.join(learned, "chain").select("g", "chain", "c", "twin", "score", "support")
+    if wide_s:
+        # support of this kind holds for tokens judged by pairs of characters only
+        by_wide = texts.sparkSession.createDataFrame(list(wide_s.items()), "chain string, support bigint")
+        found = spread_widely(vocab, sorted(wide_s)).join(hits.select("g").distinct(), "g", "left_anti")
+        hits = hits.unionByName(found.join(F.broadcast(by_wide), "chain").withColumn("twin", F.lit(False)))
+        learned = learned.unionByName(by_wide).groupBy("chain").agg(F.max("support").alias("support"))
     # the one-byte readings of a token that more tokens share come first
-    g = judged.join(learned, "chain").groupBy("g").agg(F.max_by(F.struct("chain", "c"), F.struct("twin", "score", "support", "chain")).alias("best"))
+    g = hits.groupBy("g").agg(F.max_by(F.struct("chain", "c"), F.struct("twin", "score", "support", "chain")).alias("best"))
     return toks, learned, g.select("g", "best.chain", "best.c")
 
 

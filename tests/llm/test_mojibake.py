@@ -103,3 +103,18 @@ def test_one_garbled_sentence_in_a_line_without_blanks(spark):
 def test_single_character_at_a_cut_is_no_case(spark):
     texts = [(n, "Η γέφυρα και η αντλία η μία") for n in range(6)] + [(9, "他说：“快去灯塔。”管\n理员问道。")]
     assert L.garbled_files(spark.createDataFrame(texts, "file_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("written, read", [("koi8_r", "cp1251"), ("cp1252", "cp437")])
+def test_a_third_of_the_files_garbled_by_one_chain(spark, written, read):
+    ru = ["Затем насос снова проверили, хотя работа шла рано утром.", "Никто не знал, почему журнал оказался здесь.", "Старый мастер долго чинил мельницу возле реки."]
+    de = ["Später wurde die Tür am Güterbahnhof geöffnet.", "Der Wärter hat Stücke gezählt, während die Brücke größer war.", "Über die Mühle führte früher eine schöne Straße."]
+    texts, bad = [], set()
+    for n in range(36):
+        t = (ru if written == "koi8_r" else de)[n // 3 % 3]
+        if n % 3 == 0:
+            bad.add(n)
+            t = garble(t, written, read)
+        texts.append((n, t))
+    df = spark.createDataFrame(texts, "file_id bigint, text string")
+    assert {r.file_id for r in L.garbled_files(df).collect()} == bad
