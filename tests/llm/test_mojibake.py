@@ -118,3 +118,9 @@ def test_a_third_of_the_files_garbled_by_one_chain(spark, written, read):
         texts.append((n, t))
     df = spark.createDataFrame(texts, "file_id bigint, text string")
     assert {r.file_id for r in L.garbled_files(df).collect()} == bad
+
+
+def test_long_token(spark):
+    a, b = "我们在河边测量了桥的高度，", "他们昨天在城里看了新的机器，"
+    texts = [(n, a + b) for n in range(6)] + [(9, garble((a + b) * 200, "gbk", "cp1252"))]
+    assert [r.file_id for r in L.garbled_files(spark.createDataFrame(texts, "file_id bigint, text string")).collect()] == [9]
