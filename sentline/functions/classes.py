@@ -6,8 +6,9 @@ QUOTE = r""""'«»‘’‚‛“”„‟\x{2B9}-\x{2BD}"""
 QUANTITY = r"$%€ƒ‰¢£¥"
 LBRACKET, RBRACKET = r"(\[{", r")\]}"
 FLAT_SPACE = r" \t\x0B\f\x{A0}"
-BULLETS = "-*•‣◦"
+BULLETS = r"\-*•‣◦\x01-\x07\x0E-\x1F"
 VOWELS = "aeiouyAEIOUYàáâãäåæèéêëìíîïòóôõöøùúûüýÿÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ"
 EOL = r"\r\n|\n\r|\r"
 BLANK_LINE = r"\n[ \t]*(?:\n[ \t]*)+"
 TAG = r"<[/!?]?[A-Za-z][^<>]*>|<!--[^<>]*-->"
+XML_TAG = r"<!--(?:[^-]|-[^-])*-->|<!\[CDATA\[(?:[^\]]|\][^\]])*\]\]>|<[/!?]?[\p{L}_:][^<>]*>"

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import is_small
-from .segment import analysed, dictionary_rows, sentences
+from ..functions.text import sub
+from ..session import broadcast_if_small
+from .segment import MAX_DICTIONARY, affixes, chunks, dictionary_rows, sentences
 
-
-def hinted(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the dictionary's checked size allows it; a larger one is joined by shuffle."""
-    return F.broadcast(df) if is_small(df) else df
+PHRASE_OPEN, PHRASE_CLOSE = "\n", "\t"  # a sentence holds neither
 
 
 def abbreviation_hits(df: DataFrame, key: str, abbreviations: DataFrame, how: str = "inner") -> DataFrame:
-    """Chunks that end in a dot, joined (inner, left_semi, left_anti) with the dictionary on the word and its dot."""
-    c = analysed(df, key).filter((F.col("tail") == ".") & (F.col("core") != "")).withColumn("abbr", F.lower(F.concat("core", F.lit("."))))
-    return c.join(hinted(dictionary_rows(abbreviations)), "abbr", how)
+    """key, para_no, chunk_no, abbr of words with a final dot, joined (inner, left_semi, left_anti) with the dictionary.
+
+    Only chunks that end in a dot are looked at."""
+    c = chunks(df, key, ending=".").select(key, "para_no", "chunk_no", F.explode(F.array(affixes(F.col("chunk")))).alias("a"))
+    c = c.filter((F.col("a.tail") == ".") & (F.col("a.core") != "")).select(key, "para_no", "chunk_no", F.lower(F.concat("a.core", F.lit("."))).alias("abbr"))
+    return c.join(broadcast_if_small(dictionary_rows(abbreviations)), "abbr", how)
 
 
 def phrase_rows(phrases: DataFrame) -> DataFrame:
@@ -27,26 +28,24 @@ def phrase_rows(phrases: DataFrame) -> DataFrame:
     return p.distinct().withColumn("n_words", F.size(F.split("phrase", " ")).cast("bigint"))
 
 
-def _grams(words: Column, n: int) -> Column:
-    """Array of struct(start from 1, phrase) of all runs of n words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.cast("bigint").alias("start"), F.array_join(F.slice(words, i, n), " ").alias("phrase")))
-
-
 def phrase_candidates(df: DataFrame, key: str, phrases: DataFrame, text: str = "text") -> DataFrame:
     """key, sent_no, start, phrase, n_words: every match of a phrase at a word start of a tokenised sentence.
 
-    Grams of the lengths that occur in the dictionary are made in the row and joined by equality.
+    Grams of the lengths that occur in the dictionary are made in the row, only where a phrase can begin (as long as the
+    first words of phrases are few enough for a set in the plan), and joined by equality.
     """
     p = phrase_rows(phrases)
-    sizes = sorted(r[0] for r in p.select("n_words").distinct().collect())  # phrase lengths, a handful of numbers
+    heads = p.select(F.substring_index("phrase", " ", 1).alias("head"), "n_words").distinct().limit(MAX_DICTIONARY + 1).collect()
+    sizes = sorted({r.n_words for r in (heads if len(heads) <= MAX_DICTIONARY else p.select("n_words").distinct().collect())})  # phrase lengths, a handful of numbers
+    firsts = sorted({r.head for r in heads}) if len(heads) <= MAX_DICTIONARY else None
     s = sentences(df, key, None, text)
-    words = F.split("sentence", " ")
-    grams = [_grams(words, n) for n in sizes]
-    if not grams:
-        grams = [F.array().cast("array<struct<start:bigint,phrase:string>>")]
-    g = s.select(key, "sent_no", F.explode(F.concat(*grams)).alias("g"))
-    return g.select(key, "sent_no", (F.col("g.start") - 1).alias("start"), F.col("g.phrase").alias("phrase")).join(hinted(p), "phrase").select(key, "sent_no", "start", "phrase", "n_words")
+    words = s.select(key, "sent_no", F.split("sentence", " ").alias("w"))
+    at = F.transform("w", lambda x, i: F.when(x.isin(*firsts) if firsts else F.lit(firsts is None), i + 1))
+    words = words.withColumn("at", F.array_compact(at)).filter(F.size("at") > 0)
+    fit = lambda i: F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: i + n - 1 <= F.size("w")), lambda n: F.struct((i - 1).cast("bigint").alias("start"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))
+    none = F.array().cast("array<struct<start:bigint,phrase:string>>")
+    g = words.select(key, "sent_no", F.inline(F.flatten(F.transform("at", fit)) if sizes else none))
+    return g.join(broadcast_if_small(p), "phrase").select(key, "sent_no", "start", "phrase", "n_words")
 
 
 def longest_phrases(candidates: DataFrame, key: str) -> DataFrame:
@@ -55,31 +54,40 @@ def longest_phrases(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def phrases_joined(sentence: Column, phrases: Column) -> Column:
-    """A sentence with each phrase's blanks as '_': left to right, the longest match at each word, none inside another.
-
-    phrases: array of phrases. Folded over the words of the row.
-    """
-    words = F.split(sentence, " ")
-
-    def fold(acc: Column, w: Column) -> Column:
-        rest = acc["rest"]
-        hits = F.filter(phrases, lambda p: rest.startswith(F.concat(p, F.lit(" "))) | (rest == p))
-        best = F.array_max(F.transform(hits, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
-        n = F.when(best.isNull(), 1).otherwise(F.size(F.split(best["p"], " ")))
-        out = F.when(best.isNull(), w).otherwise(F.replace(best["p"], F.lit(" "), F.lit("_")))
-        nxt = F.substr(rest, F.length(w) + 2)
-        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), nxt.alias("rest"), acc["out"].alias("out"))).otherwise(
-            F.struct((n - 1).alias("skip"), nxt.alias("rest"), F.concat(acc["out"], F.array(out)).alias("out"))
-        )
-
-    start = F.struct(F.lit(0).alias("skip"), sentence.alias("rest"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(words, start, fold)["out"], " ")
+def phrase_pattern(phrases: DataFrame | None) -> str | None:
+    """Regex of the phrases, longer before shorter, as a tree of common beginnings. A list of phrases is configuration, as
+    that of abbreviations is, and as small."""
+    if phrases is None:
+        return None
+    rows = [r.phrase for r in phrase_rows(phrases).limit(MAX_DICTIONARY + 1).collect()]
+    if len(rows) > MAX_DICTIONARY:
+        raise ValueError(f"a list may hold {MAX_DICTIONARY} phrases")
+    tree: dict = {}
+    for phrase in rows:
+        node = tree
+        for ch in phrase:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def regex(node: dict) -> str:
+        longer = [("\\" + ch if not (ch.isalnum() or ch == " ") and ch.isascii() else ch) + regex(below) for ch, below in sorted(node.items()) if ch]
+        if not longer:
+            return ""
+        body = longer[0] if len(longer) == 1 else "(?:" + "|".join(longer) + ")"
+        return f"(?:{body}|)" if "" in node else body
+
+    return f"(?<![^ ])({regex(tree)})(?![^ ])" if rows else None
+
+
+def phrases_joined(sentence: Column, pattern: str | None) -> Column:
+    """A sentence with each phrase's blanks as '_': left to right, the longest match at each word, none inside another."""
+    if pattern is None:
+        return sentence
+    marked = sub(sentence, pattern, f"{PHRASE_OPEN}$1{PHRASE_CLOSE}")
+    joined = sub(marked, f" (?=[^{PHRASE_OPEN}{PHRASE_CLOSE}]*{PHRASE_CLOSE})", "_")
+    return F.when(sentence.rlike(pattern), sub(joined, f"[{PHRASE_OPEN}{PHRASE_CLOSE}]")).otherwise(sentence)
 
 
 def multi_word_text(df: DataFrame, key: str, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """key, sent_no, sentence with multi-word units joined. Only sentences with a candidate are folded, each with its own phrases."""
-    c = phrase_candidates(df, key, phrases, text).groupBy(key, "sent_no").agg(F.collect_set("phrase").alias("ps"))
-    s = sentences(df, key, None, text)
-    j = s.join(c, [key, "sent_no"], "left")
-    return j.select(key, "sent_no", F.when(F.col("ps").isNull(), F.col("sentence")).otherwise(phrases_joined(F.col("sentence"), F.col("ps"))).alias("sentence"))
+    """key, sent_no, sentence with multi-word units joined. Row-wise."""
+    return sentences(df, key, None, text).select(key, "sent_no", phrases_joined(F.col("sentence"), phrase_pattern(phrases)).alias("sentence"))

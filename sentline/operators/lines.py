@@ -18,6 +18,11 @@ def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return x.select(key, F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+def look_ahead(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, line_no, ink_end: characters of a line up to its last one that is no blank, so that what is ahead of a place is known."""
+    return lines(df, key, text).select(key, "line_no", F.length(sub(F.col("line"), f"[{K.FLAT_SPACE}]+\\z")).cast("bigint").alias("ink_end"))
+
+
 def noise_filtered(df: DataFrame, key: str, limit: float = 0.44, text: str = "text") -> DataFrame:
     """key, text: noisy lines emptied, their breaks kept. Row-wise."""
     kept = F.transform(F.split(normalize_eol(F.col(text)), "\n"), lambda x: F.when(noise(x) < limit, x).otherwise(F.lit("")))
@@ -44,7 +49,7 @@ def bullet_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def bullets_emitted(df: DataFrame, key: str, mode: str = "keep", char: str = "*", separate: bool = False, text: str = "text") -> DataFrame:
-    """key, text with bullets kept, replaced by char and a blank, or dropped. With separate, the first four of
+    """key, text with bullets kept, replaced by char and a blank, or dropped. With separate, the first five of
     consecutive bullets get blank lines around them. Row-wise: the run length is folded over the lines."""
     ls = F.split(normalize_eol(F.col(text)), "\n")
 
@@ -57,7 +62,7 @@ def bullets_emitted(df: DataFrame, key: str, mode: str = "keep", char: str = "*"
 
     def fold(acc: Column, line: Column) -> Column:
         n = F.when(line.rlike(BULLET), acc["n"] + 1).otherwise(0)
-        out = F.when((n > 0) & (n < 5), F.concat(F.lit("\n"), shown(line), F.lit("\n"))).otherwise(shown(line))
+        out = F.when((n > 0) & (n <= 5), F.concat(F.lit("\n"), shown(line), F.lit("\n"))).otherwise(shown(line))
         return F.struct(n.cast("int").alias("n"), F.concat(acc["out"], F.array(out)).alias("out"))
 
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))

@@ -17,11 +17,11 @@ from ..operators import dictionaries as D
 from ..operators import lines as L
 from ..operators import markup as M
 from ..operators import segment as S
-from ..session import table
+from ..session import SPREAD_FROM, spread, table
 from ..sources import readers as R
 from ..sources import rtf, sinks
 from .pipeline import run_text
-from ..options import Options
+from ..options import Options, split_option_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,12 +38,12 @@ def register(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), SPREAD_FROM)
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries of source files, by their unique delivery_id."""
-    return table(spark, sf, "source_files").select(F.col("delivery_id").alias("doc_id"), F.col("sourcefile").alias("text"))
+    return spread(table(spark, sf, "source_files").select(F.col("delivery_id").alias("doc_id"), F.col("sourcefile").alias("text")), SPREAD_FROM)
 
 
 # SQL building blocks -------------------------------------------------------------------------------------------------
@@ -78,27 +78,36 @@ def chunks_sql(src: str) -> str:
     )
 
 
-SEP_Q = K.SEP.replace("'", "''")
-QUOTE_Q = K.QUOTE.replace("'", "''")
+# The SQL keeps its own copy of the classes, written down from the description of the rules, so that a slip in the
+# engine's shows. Fixed values.
+SEP_Q = r""".,;:!?()\[\]{}<>"''/\\|\x{A0}-\x{BF}\x{2B9}-\x{2BD}\x{2012}-\x{2027}"""
+QUOTE_Q = r""""''\x{AB}\x{BB}\x{2018}-\x{201F}\x{2B9}-\x{2BD}"""
+QUANTITY_Q = r"\x{24}%\x{20AC}\x{192}\x{2030}\x{A2}\x{A3}\x{A5}"
+BRACKETS_Q = (r"(\[{", r")\]}")
 
 
 def affix_sql(source: str = "ch", name: str = "af") -> str:
-    """CTEs that part separators from words, one per rule, over a table with a column chunk."""
-    rq = rf"'^([0-9].*?)([{K.QUANTITY}]+)\z'"
+    """CTEs that part separators from words, one per rule, over a table with a column chunk. Letters of kept: the rules that moved."""
+    rq = rf"'^([0-9].*?)([{QUANTITY_Q}]+)\z'"
+    left, right = BRACKETS_Q
+    # place in a list of the first or last character that the word holds
+    places = "list_filter(range(1, len({0}) + 1), lambda i: contains({1}, {0}[i]))"
+    tail_hit = "list_max(" + places.format("regexp_extract_all(run, '.')", "inner_core") + ")"
+    head_hit = "list_min(" + places.format("regexp_extract_all(head, '.')", "core") + ")"
     return rf"""{name}0 AS (SELECT *, regexp_extract(chunk, '^([{SEP_Q}]*)', 1) AS h, CASE WHEN regexp_full_match(chunk, '[{SEP_Q}]*') THEN '' ELSE regexp_extract(chunk, '([{SEP_Q}]*)\z', 1) END AS t FROM {source}),
     {name}1 AS (SELECT * EXCLUDE (h, t), h AS head, t AS tail, substr(chunk, length(h) + 1, length(chunk) - length(h) - length(t)) AS core, '' AS kept FROM {name}0),
-    {name}2 AS (SELECT * EXCLUDE (core, tail, kept), CASE WHEN c THEN core || left(tail, 1) ELSE core END AS core, CASE WHEN c THEN substr(tail, 2) ELSE tail END AS tail, kept || CASE WHEN c THEN 'a' ELSE '' END AS kept
-        FROM (SELECT *, core <> '' AND regexp_matches(tail, '^[{QUOTE_Q}]') AND NOT regexp_matches(head, '[{QUOTE_Q}]') AS c FROM {name}1)),
-    {name}3 AS (SELECT * EXCLUDE (c, core, tail, kept), CASE WHEN d THEN core || left(tail, 1) ELSE core END AS core, CASE WHEN d THEN substr(tail, 2) ELSE tail END AS tail, kept || CASE WHEN d THEN 'b' ELSE '' END AS kept
-        FROM (SELECT *, core <> '' AND regexp_matches(tail, '^[{K.RBRACKET}]') AND regexp_matches(core, '[{K.LBRACKET}]') AS d FROM {name}2)),
-    {name}4 AS (SELECT * EXCLUDE (d, core, tail, kept), CASE WHEN qu <> '' THEN regexp_extract(core, {rq}, 1) ELSE core END AS core, qu || tail AS tail, kept || CASE WHEN qu <> '' THEN 'q' ELSE '' END AS kept
+    {name}2 AS (SELECT *, core <> '' AND regexp_matches(tail, '^[{QUOTE_Q}]') AND NOT regexp_matches(head, '[{QUOTE_Q}]') AS qt, CASE WHEN core <> '' THEN regexp_extract(tail, '^(.*[{right}])', 1) ELSE '' END AS upto FROM {name}1),
+    {name}3 AS (SELECT * EXCLUDE (qt, upto, core, tail, kept), CASE WHEN qt THEN core || left(tail, 1) WHEN br THEN core || upto ELSE core END AS core, CASE WHEN qt THEN substr(tail, 2) WHEN br THEN substr(tail, length(upto) + 1) ELSE tail END AS tail,
+        CASE WHEN qt THEN 'a' WHEN br THEN 'b' ELSE '' END AS kept FROM (SELECT * EXCLUDE (br0), NOT qt AND br0 AS br FROM (SELECT *, upto <> '' AND regexp_matches(core || upto, '[{left}]') AS br0 FROM {name}2))),
+    {name}4 AS (SELECT * EXCLUDE (br, core, tail, kept), CASE WHEN qu <> '' THEN regexp_extract(core, {rq}, 1) ELSE core END AS core, qu || tail AS tail, kept || CASE WHEN qu <> '' THEN 'q' ELSE '' END AS kept
         FROM (SELECT *, regexp_extract(core, {rq}, 2) AS qu FROM {name}3)),
-    {name}5 AS (SELECT * EXCLUDE (qu, core, tail, kept, body, e), CASE WHEN e THEN core || body ELSE core END AS core, CASE WHEN e THEN substr(tail, length(body) + 1) ELSE tail END AS tail, kept || CASE WHEN e THEN 'u' ELSE '' END AS kept
-        FROM (SELECT *, core <> '' AND body <> '' AND right(body, 1) <> '.' AND instr(core, right(body, 1)) > 0 AS e FROM (SELECT *, regexp_replace(tail, '\.\z', '') AS body FROM {name}4))),
-    {name}6 AS (SELECT * EXCLUDE (head, core, kept, f), CASE WHEN f THEN '' ELSE head END AS head, CASE WHEN f THEN head || core ELSE core END AS core, kept || CASE WHEN f THEN 'u' ELSE '' END AS kept
-        FROM (SELECT *, core <> '' AND head <> '' AND instr(core, left(head, 1)) > 0 AS f FROM {name}5)),
+    {name}5 AS (SELECT * EXCLUDE (qu), regexp_replace(tail, '\.\z', '') AS body, left(core, greatest(length(core) - 1, 0)) AS inner_core FROM {name}4),
+    {name}6 AS (SELECT *, length(body) - length(run) + {tail_hit} AS take FROM (SELECT *, regexp_extract(body, '([^.]*)\z', 1) AS run FROM {name}5)),
+    {name}7 AS (SELECT * EXCLUDE (body, inner_core, run, take, core, tail, kept), CASE WHEN take IS NULL THEN core ELSE core || left(body, take) END AS core, CASE WHEN take IS NULL THEN tail ELSE substr(tail, take + 1) END AS tail, kept || CASE WHEN take IS NULL THEN '' ELSE 'u' END AS kept FROM {name}6),
+    {name}8 AS (SELECT * EXCLUDE (from_, core, head, kept), CASE WHEN from_ IS NULL OR core = '' THEN core ELSE substr(head, from_) || core END AS core, CASE WHEN from_ IS NULL OR core = '' THEN head ELSE left(head, from_ - 1) END AS head, kept || CASE WHEN from_ IS NULL OR core = '' THEN '' ELSE 'u' END AS kept
+        FROM (SELECT *, {head_hit} AS from_ FROM {name}7)),
     {name} AS (SELECT * EXCLUDE (core, tail, kept, g), CASE WHEN g THEN core || ';' ELSE core END AS core, CASE WHEN g THEN substr(tail, 2) ELSE tail END AS tail, kept || CASE WHEN g THEN 'e' ELSE '' END AS kept
-        FROM (SELECT *, core <> '' AND left(tail, 1) = ';' AND contains(core, '&') AS g FROM {name}6))"""
+        FROM (SELECT *, core <> '' AND left(tail, 1) = ';' AND contains(core, '&') AS g FROM {name}8))"""
 
 
 DICT = "dict AS (SELECT lower(trim(abbr)) AS abbr, coalesce(bool_or(expect_cap), false) AS expect_cap FROM abbreviations WHERE trim(abbr) <> '' GROUP BY 1)"
@@ -138,7 +147,7 @@ def q_sentences_plain(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("q_chunks", f"WITH {chunks_sql(DOCS)} SELECT doc_id, para_no, chunk_no, chunk FROM ch")
 def q_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return S.chunks(documents(spark, sf), "doc_id").drop("next_chunk")
+    return S.chunks(documents(spark, sf), "doc_id", following=False)
 
 
 @register("q_paragraphs", f"WITH {paras_sql(SRC)} SELECT doc_id, para_no, para FROM pa")
@@ -170,36 +179,62 @@ def _boundary_sql(where: str) -> str:
 
 
 def _boundary(where: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: S.analysed(documents(spark, sf), "doc_id").filter(where).select("doc_id", "para_no", "chunk_no", "chunk", "next_is_lower", "boundary")
+    return lambda spark, sf: S.analysed(documents(spark, sf), "doc_id", ending=".").filter(where).select("doc_id", "para_no", "chunk_no", "chunk", "next_is_lower", "boundary")
 
 
 for _name, _where in (("q_initials", "end_class = 'INITIAL'"), ("q_number_dot", "end_class = 'NUM_DOT'"), ("q_abbreviation_flag", "end_class = 'ABBR'")):
     register(_name, _boundary_sql(_where))(_boundary(_where))
 
 
-@register(
-    "q_tokens",
-    rf"""WITH {sentences_sql(DOCS)}, nx AS (SELECT *, lead(sent_no) OVER (PARTITION BY doc_id ORDER BY para_no, chunk_no) IS DISTINCT FROM sent_no AS ends FROM nu),
-    gl AS (SELECT *, tail = '.' AND core <> '' AND (end_class IN ('INITIAL', 'ABBR') OR (end_class = 'NUM_DOT' AND NOT ends)) AS glued FROM nx),
-    tk AS (SELECT doc_id, sent_no, chunk_no, CASE WHEN core = '' THEN [chunk] ELSE list_concat(list_filter(string_split(head, ''), lambda x: x <> ''), [CASE WHEN glued THEN core || '.' ELSE core END],
-        CASE WHEN glued THEN [] ELSE regexp_extract_all(tail, {q(S.RUNS)}) END) END AS ts FROM gl),
-    fl AS (SELECT doc_id, sent_no, flatten(list(ts ORDER BY chunk_no)) AS ts FROM tk GROUP BY doc_id, sent_no)
-    SELECT doc_id, sent_no, unnest(range(len(ts))) AS token_no, unnest(ts) AS token FROM fl""",
-)
+def token_sql(src: str, with_dictionary: bool) -> str:
+    """Tokens: chunks cut at runs of hyphens, parted, and put together again by sentence (relation tk)."""
+    d = "WHEN ab AND e.expect_cap IS NOT NULL THEN true" if with_dictionary else ""
+    join = "LEFT JOIN dict e ON e.abbr = lower(p.core || '.')" if with_dictionary else ""
+    runs = "list_transform(list_filter(range(1, length(r) + 1), lambda i: i = 1 OR r[i] <> r[i - 1]), lambda i: r[i] || coalesce(array_to_string(list_filter(range(i + 1, length(r) + 1), lambda j: len(list_filter(range(i, j + 1), lambda k: r[k] <> r[i])) = 0).list_transform(lambda j: r[j]), ''), ''))"
+    return rf"""{sentences_sql(src, with_dictionary)},
+    pc AS (SELECT doc_id, sent_no, chunk_no, unnest(ps) AS chunk, unnest(range(len(ps))) AS part_no FROM (SELECT doc_id, sent_no, chunk_no, string_split(trim(regexp_replace(regexp_replace(chunk, '(--+)', ' \1 ', 'g'), ' +', ' ', 'g'), ' '), ' ') AS ps FROM nu)),
+    pn AS (SELECT *, lead(chunk) OVER (PARTITION BY doc_id, sent_no ORDER BY chunk_no, part_no) AS next_part FROM pc), {affix_sql('pn', 'pa_')},
+    gl AS (SELECT p.*, CASE WHEN core = '' OR left(tail, 1) <> '.' THEN false WHEN (NOT contains(kept, 'u') AND regexp_matches(core, '[0-9]')) OR (length(core) = 1 AND NOT regexp_matches(core, '^\p{{Lu}}\z')) THEN tail = '.' AND coalesce(regexp_matches(next_part, '^\p{{Ll}}'), false)
+        WHEN length(core) = 1 OR head <> '' OR (NOT contains(kept, 'u') AND contains(core, '.')) THEN true {d} ELSE false END AS glued FROM (SELECT *, core <> '' AND left(tail, 1) = '.' AS ab FROM pa_) p {join}),
+    rs AS (SELECT *, CASE WHEN glued THEN substr(tail, 2) ELSE tail END AS r FROM gl),
+    tk AS (SELECT doc_id, sent_no, chunk_no, part_no, CASE WHEN core = '' THEN [chunk] ELSE list_concat(regexp_extract_all(head, '(?s).'), [CASE WHEN glued THEN core || '.' ELSE core END], {runs}) END AS ts FROM rs)"""
+
+
+TOKENS_SQL = f"""WITH {token_sql(DOCS, True)}, fl AS (SELECT doc_id, sent_no, flatten(list(ts ORDER BY chunk_no, part_no)) AS ts FROM tk GROUP BY doc_id, sent_no)
+    SELECT doc_id, sent_no, unnest(range(len(ts))) AS token_no, unnest(ts) AS token FROM fl"""
+
+
+@register("q_tokens", TOKENS_SQL)
 def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return S.tokens(documents(spark, sf), "doc_id")
+    return S.tokens(documents(spark, sf), "doc_id", dictionary=S.dictionary_map(table(spark, sf, "abbreviations")))
+
+
+# chunks that the rules are about, and what has to come out, worked out by hand from the description of the rules
+PLANTED = {
+    "Hello,": "Hello·,", "(see)": "(·see·)", "Wait...!!": "Wait·...·!!", "((a": "(·(·a", "e.g.,": "e.g.·,", "U.S.,": "U.S.·,", "(Ref.)": "(·Ref.·)", "f(x,)": "f(x,)", "f(x')": "f(x'·)", "sort(a)": "sort(a)", "a)(": "a·)·(",
+    "http://a.b/c/)": "http://a.b/c/·)", "http://a.b/c/.": "http://a.b/c/·.", "[../a.b": "[·../a.b", "end»»»": "end»·»»", "so……": "so·……", "one--two": "one·--·two", "a---b.": "a·---·b.", "12€.": "12·€·.", "50%,": "50·%·,", "rock'n'": "rock'n'",
+    "o'": "o'", "'o'": "'·o·'", "R&amp;D": "R&amp;D", "x&lt;": "x&lt;", "1999.,": "1999·.·,", "J.": "J.", "J.,": "J.·,", "!?": "!?", "--": "--", "etc.": "etc.",
+}
+
+
+@register("q_planted_tokens", "SELECT unnest(range(" + str(len(PLANTED)) + ")) AS id, unnest([" + ", ".join(q(x) for x in PLANTED.values()) + "]) AS tokens")
+def q_planted_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of planted chunks, with the word 'next' after each."""
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(PLANTED)], "id bigint, c string")
+    toks = S.sentence_tokens(F.concat("c", F.lit(" next")), False, S.Dictionary((), ("etc.",)))
+    return d.select("id", F.array_join(F.slice(toks, 1, F.size(toks) - 1), "·").alias("tokens"))
 
 
 # Affix rules ---------------------------------------------------------------------------------------------------------
 
-SAMPLES = ("ikk'", "opfinder(e)", "100%", "5$", "http://www.postgirotbank.com/", "..[tmp/drive.txt/", "b&amp;", "&amp;", "&amp;cetera", "'don't", "word--word", "a---b", "((a", "Wait...!!", "(see)", "12€.", "x's”", "http://a.b/c/.")
+SAMPLES = ("rock'", "sort(s)", "75%", "8$", "http://example.org/a/", "..<mail/out.txt/", "R&amp;", "&lt;", "&amp;more", "'won't", "left--right", "x---y", "((z", "Stop...!!", "(look)", "30€.", "y's”", "https://a.b/c/.", "f(x,)", "f(x')", "http://a.b/c/)", "»»»", "so……", "e.g.,")
 SAMPLES_SQL = "SELECT unnest([" + ", ".join(q(s) for s in SAMPLES) + "]) AS chunk"
 ALL_CHUNKS_SQL = f"{chunks_sql(SRC)}, di AS (SELECT chunk FROM ch WHERE chunk <> '' UNION {SAMPLES_SQL}), {affix_sql('di')}"
 
 
 def distinct_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk of the source files, and samples of the rules that they hold no case of, once each."""
-    c = S.chunks(sources(spark, sf), "doc_id").select("chunk").filter("chunk <> ''")
+    c = S.chunks(sources(spark, sf), "doc_id", following=False).select("chunk").filter("chunk <> ''")
     return c.union(spark.createDataFrame([(s,) for s in SAMPLES], "chunk string")).distinct()
 
 
@@ -226,7 +261,12 @@ def q_affixes(spark: SparkSession, sf: str) -> DataFrame:
     return S.analysed(documents(spark, sf), "doc_id").select("doc_id", "para_no", "chunk_no", "head", "core", "tail")
 
 
-@register("q_trailing_runs", f"WITH {ALL_CHUNKS_SQL} SELECT chunk, array_to_string(regexp_extract_all(tail, {q(S.RUNS)}), ' ') AS runs FROM af WHERE tail <> ''")
+@register(
+    "q_trailing_runs",
+    f"WITH {ALL_CHUNKS_SQL}, cs AS (SELECT chunk, unnest(regexp_extract_all(tail, '(?s).')) AS c, unnest(range(length(tail))) AS i FROM af WHERE tail <> ''),"
+    " g0 AS (SELECT *, coalesce(c <> lag(c) OVER (PARTITION BY chunk ORDER BY i), true) AS new FROM cs), g1 AS (SELECT *, sum(new::INT) OVER (PARTITION BY chunk ORDER BY i) AS g FROM g0),"
+    " g2 AS (SELECT chunk, g, string_agg(c, '' ORDER BY i) AS run FROM g1 GROUP BY chunk, g) SELECT chunk, string_agg(run, ' ' ORDER BY g) AS runs FROM g2 GROUP BY chunk",
+)
 def q_trailing_runs(spark: SparkSession, sf: str) -> DataFrame:
     a = distinct_chunks(spark, sf).select(S.affixes(F.col("chunk")).alias("a")).filter("a.tail <> ''")
     return a.select("a.chunk", F.array_join(S.trailing_runs(F.col("a.tail")), " ").alias("runs"))
@@ -252,8 +292,7 @@ CONTRACTED = ("don't", "John's", "I'm", "we'll", "dogs'", "cannot", "gimme", "go
 @register(
     "q_ptb_contractions",
     "WITH "
-    + chunks_sql(DOCS)
-    + ", w AS (SELECT chunk AS word FROM ch WHERE regexp_full_match(chunk, '[A-Za-z'']+') UNION SELECT unnest(["
+    + f"{chunks_sql(DOCS)}, {affix_sql()}, w AS (SELECT regexp_replace(regexp_replace(core, '([\\p{{L}}\\p{{N}}])[{QUOTE_Q}]([\\p{{L}}\\p{{N}}])', '\\1''\\2', 'g'), '[{QUOTE_Q}]\\z', '''') AS word FROM af WHERE NOT contains(kept, 'u') AND core <> '' AND NOT contains(core, '|') UNION SELECT unnest(["
     + ", ".join(q(x) for x in CONTRACTED)
     + "])), r0 AS (SELECT word, word AS t FROM w)"
     + "".join(
@@ -265,7 +304,10 @@ CONTRACTED = ("don't", "John's", "I'm", "we'll", "dogs'", "cannot", "gimme", "go
     + " SELECT word, t AS tokens FROM r7 WHERE word <> t",
 )
 def q_ptb_contractions(spark: SparkSession, sf: str) -> DataFrame:
-    w = S.chunks(documents(spark, sf), "doc_id").filter(F.col("chunk").rlike(r"^[A-Za-z']+\z")).select(F.col("chunk").alias("word"))
+    """Every word of the texts, separators parted and apostrophes unified, that the rules split."""
+    a = S.chunks(documents(spark, sf), "doc_id", following=False).select("chunk").distinct().select(F.explode(F.array(S.affixes(F.col("chunk")))).alias("a"))
+    word = T.sub(T.unify_apostrophe(F.col("a.core")), rf"[{K.QUOTE}]\z", "'")
+    w = a.filter("NOT a.is_url AND a.core <> '' AND NOT contains(a.core, '|')").select(word.alias("word"))
     w = w.union(spark.createDataFrame([(x,) for x in CONTRACTED], "word string")).distinct()
     return w.select("word", T.contractions(F.col("word")).alias("tokens")).filter("word <> tokens")
 
@@ -312,9 +354,12 @@ def q_mwu_join(spark: SparkSession, sf: str) -> DataFrame:
     return D.longest_phrases(D.phrase_candidates(sources(spark, sf), "doc_id", table(spark, sf, "phrases")), "doc_id")
 
 
-@register("q_mwu_text")
-def q_mwu_text(spark: SparkSession, sf: str) -> DataFrame:
-    return D.multi_word_text(sources(spark, sf), "doc_id", table(spark, sf, "phrases"))
+_MWU = rf"""{_PH}, {sentences_sql(SRC)}, rx AS (SELECT '( )(' || string_agg(replace(regexp_escape(phrase), '\ ', '  '), '|' ORDER BY length(phrase) DESC, phrase) || ')( )' AS r FROM ph),
+    mk AS (SELECT doc_id, sent_no, string_split(regexp_replace('  ' || replace(sentence, ' ', '  ') || '  ', r, '\1' || chr(2) || '\2' || chr(3) || '\3', 'g'), chr(2)) AS ps FROM se, rx)"""
+register(
+    "q_mwu_text",
+    f"WITH {_MWU} SELECT doc_id, sent_no, trim(replace(array_to_string(list_transform(ps, lambda x: CASE WHEN contains(x, chr(3)) THEN replace(split_part(x, chr(3), 1), '  ', '_') || split_part(x, chr(3), 2) ELSE x END), ''), '  ', ' '), ' ') AS sentence FROM mk",
+)(lambda spark, sf: D.multi_word_text(sources(spark, sf), "doc_id", table(spark, sf, "phrases")))
 
 
 # Lines ---------------------------------------------------------------------------------------------------------------
@@ -325,6 +370,11 @@ def q_lines(spark: SparkSession, sf: str) -> DataFrame:
     return L.lines(sources(spark, sf), "doc_id")
 
 
+@register("q_look_ahead", rf"WITH {lines_sql(SRC)} SELECT doc_id, line_no, length(regexp_replace(line, '[ \t\x0B\f\x{{A0}}]+\z', ''))::BIGINT AS ink_end FROM ln")
+def q_look_ahead(spark: SparkSession, sf: str) -> DataFrame:
+    return L.look_ahead(sources(spark, sf), "doc_id")
+
+
 def _text_query(name: str, sql: str, fn: Callable[[Column], Column], src: str = SRC, df: Callable[[SparkSession, str], DataFrame] = sources) -> None:
     """A function of a whole text, over all texts."""
     register(name, f"SELECT doc_id, {sql} AS text FROM ({src})")(lambda spark, sf: df(spark, sf).filter("text IS NOT NULL").select("doc_id", fn(F.col("text")).alias("text")))
@@ -389,7 +439,7 @@ def q_noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     return L.noise_filtered(documents(spark, sf).filter("text IS NOT NULL"), "doc_id")
 
 
-_BUL = rf"'^[ \t]*([{K.BULLETS}]+)[ \t]+(.*)$'"
+_BUL = r"'^[ \t]*([-*\x{2022}\x{2023}\x{25E6}\x01-\x07\x0E-\x1F]+)[ \t]+(.*)$'"
 _BL = f"{lines_sql(SRC)}, bl AS (SELECT doc_id, line_no, line, regexp_matches(line, {_BUL}) AS is_bullet, regexp_extract(line, {_BUL}, 1) AS bullet, regexp_extract(line, {_BUL}, 2) AS content FROM ln)"
 
 
@@ -425,7 +475,7 @@ def q_bullet_replace(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "q_bullet_separate",
     f"WITH {_RUNS}, ir AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run_no, is_bullet ORDER BY line_no) AS k FROM ru) "
-    "SELECT doc_id, string_agg(CASE WHEN is_bullet AND k < 5 THEN chr(10) || content || chr(10) WHEN is_bullet THEN content ELSE line END, chr(10) ORDER BY line_no) AS text FROM ir GROUP BY doc_id",
+    "SELECT doc_id, string_agg(CASE WHEN is_bullet AND k <= 5 THEN chr(10) || content || chr(10) WHEN is_bullet THEN content ELSE line END, chr(10) ORDER BY line_no) AS text FROM ir GROUP BY doc_id",
 )
 def q_bullet_separate(spark: SparkSession, sf: str) -> DataFrame:
     return L.bullets_emitted(sources(spark, sf).filter("text IS NOT NULL"), "doc_id", "drop", separate=True)
@@ -452,12 +502,12 @@ def q_dehyphenate(spark: SparkSession, sf: str) -> DataFrame:
     return sources(spark, sf).filter("text IS NOT NULL").select("doc_id", L.dehyphenated(F.col("text")).alias("text"))
 
 
-@register("q_headings", rf"""WITH {paras_sql(SRC)}, h AS (SELECT doc_id, para_no, regexp_replace(para, '[ \t]*\n[ \t]*', ' ', 'g') AS line FROM pa WHERE NOT contains(para, chr(10)) AND NOT regexp_matches(para, '[.,;:?!]\z') AND length(para) <= 120),
+@register("q_headings", rf"""WITH {paras_sql(SRC)}, h AS (SELECT doc_id, para_no, regexp_replace(para, '[ \t]*\n[ \t]*', ' ', 'g') AS line FROM pa WHERE NOT contains(para, chr(10)) AND NOT regexp_matches(para, '[.,;:?!]\z')),
     w AS (SELECT doc_id, para_no, line, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: regexp_matches(x, '^\p{{L}}')) AS ws FROM h)
     SELECT doc_id, para_no, line FROM w WHERE len(ws) > 0 AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{Lu}}'))) > len(ws)""")
 def q_headings(spark: SparkSession, sf: str) -> DataFrame:
     """One-line paragraphs without a final mark most of whose words are capitalised."""
-    p = S.paragraphs(sources(spark, sf), "doc_id").filter(~F.col("para").contains("\n") & ~F.col("para").rlike(r"[.,;:?!]\z") & (F.length("para") <= 120))
+    p = S.paragraphs(sources(spark, sf), "doc_id").filter(~F.col("para").contains("\n") & ~F.col("para").rlike(r"[.,;:?!]\z"))
     ws = F.filter(F.split("para", "[ \t]+"), lambda x: x.rlike(r"^\p{L}"))
     return p.filter((F.size(ws) > 0) & (2 * F.size(F.filter(ws, lambda x: x.rlike(r"^\p{Lu}"))) > F.size(ws))).select("doc_id", "para_no", F.col("para").alias("line"))
 
@@ -508,8 +558,8 @@ OPTION_LINES = ("-x +", "; comment", '-a "my file.txt" ; note', "-t", "", "-m'li
     SELECT line_no, letter, CASE WHEN regexp_matches(v, '^["'']([^"'']*)["''][ \t]*(?:;.*)?\z') THEN regexp_extract(v, '^["'']([^"'']*)["''][ \t]*(?:;.*)?\z', 1) ELSE regexp_replace(v, '[ \t]*;.*\z', '') END AS value FROM r""",
 )
 def q_parse_options(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame(list(enumerate(OPTION_LINES)), "line_no bigint, line string")
-    return d.select("line_no", R.option_fields(F.col("line")).alias("o")).filter("o IS NOT NULL").select("line_no", "o.letter", "o.value")
+    found = [(i, *x) for i, x in ((i, split_option_line(line)) for i, line in enumerate(OPTION_LINES)) if x is not None]
+    return spark.createDataFrame(found, "line_no bigint, letter string, value string")
 
 
 @register("q_decode_bytes", f"SELECT doc_id, text FROM ({SRC})")

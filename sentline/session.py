@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", app: str = "sentline", **conf: str) -> SparkSession:
@@ -53,12 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; make one only where none is set (tests)."""
+    """Use the shared folder that the session names; a local session (tests) may have one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "sentline-checkpoints")
     sc.setCheckpointDir(path)
 
@@ -69,10 +72,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, limit_bytes: int = 32 << 20) -> bool:
-    """Whether the optimizer's own size estimate stays under limit_bytes (an upper bound for file scans)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes().toString())) <= limit_bytes
-    except Exception:  # statistics are an optimisation only
-        return False
+SMALL = 32 << 20  # bytes in memory up to which a table is broadcast
+SPREAD_FROM = 512 << 10  # bytes of a scan from which it is worth moving its rows to use all cores
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table's rows as text, counted row by row; no estimate."""
+    return int(df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0)
+
+
+def is_small(df: DataFrame, limit_bytes: int = SMALL) -> bool:
+    return measured_bytes(df) <= limit_bytes
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = SMALL) -> DataFrame:
+    """A broadcast hint if the rows themselves, not an estimate, are small; a larger table is joined by shuffle."""
+    return F.broadcast(df) if is_small(df, limit_bytes) else df
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of what a plan reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, from_bytes: int = 0) -> DataFrame:
+    """Cut a scan of few files into as many partitions as there are cores, before work that costs far more than moving
+    the rows. A scan that already has as many stays as it is, and so does one below a size."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n and scan_bytes(df) >= from_bytes else df

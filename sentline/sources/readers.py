@@ -55,10 +55,6 @@ def list_entries(text: Column) -> Column:
     return F.filter(rows, lambda r: r["entry"] != "")
 
 
-def option_fields(line: Column) -> Column:
-    """struct(letter, value) of an option line; null for comments and other lines."""
-    rx = r"^[ \t]*-([A-Za-z])[ \t]*(.*?)[ \t]*\z"
-    value = F.regexp_extract(line, rx, 2)
-    quoted = r"^[\"']([^\"']*)[\"'][ \t]*(?:;.*)?\z"
-    value = F.when(value.rlike(quoted), F.regexp_extract(value, quoted, 1)).otherwise(sub(value, r"[ \t]*;.*\z"))
-    return F.when(line.rlike(rx), F.struct(F.regexp_extract(line, rx, 1).alias("letter"), value.alias("value")))
+def list_file(spark: SparkSession, path: str) -> DataFrame:
+    """entry, flagged of a list file."""
+    return binary_files(spark, path).select(F.inline(list_entries(decoded(F.col("content")))))

@@ -1,7 +1,8 @@
-"""RTF to text.
+r"""RTF to text.
 
 The rules are this project's own: control words and groups by the public RTF specification; a paragraph
-end gives a blank line, a change of heading-like properties at a paragraph end needs no more.
+end gives a blank line. A line break gives one too where the look of a heading (bold, capitals, size) changes
+across it, and so does the end of a field that fills its line. `\pard` and `\plain` reset the look; `\binN` is passed over with its bytes.
 Destinations that hold no text (tables of fonts, colours, styles, pictures, field instructions) are left out.
 """
 
@@ -21,6 +22,23 @@ WORDS = {"par": "\n\n", "sect": "\n\n", "page": "\f\n", "line": "\n", "tab": "\t
 CHARSETS = {0: "cp1252", 2: "cp1252", 77: "mac_roman", 128: "shift_jis", 129: "cp949", 134: "gbk", 136: "big5", 161: "cp1253", 162: "cp1254", 163: "cp1258", 177: "cp1255", 178: "cp1256", 186: "cp1257", 204: "cp1251", 222: "cp874", 238: "cp1250"}
 
 
+# The look of plain text, by control word (bold, small capitals, capitals, half points).
+PLAIN = {"b": 0, "scaps": 0, "caps": 0, "fs": 24}
+FIELD = ("field",)
+
+
+def fills_line(out: list[str]) -> bool:
+    """Whether the text so far ends in a line that only a field wrote."""
+    return bool(out) and out[-1].strip() != "" and (len(out) < 2 or out[-2].endswith("\n"))
+
+
+def heading_end(out: list[str], line_look: tuple | None, broken: tuple | None, look: tuple) -> tuple[tuple, None]:
+    """Called before text is written: a break after a line of another look, or after a field of its own, ends the paragraph."""
+    if broken not in (None, look) and out and out[-1] == "\n" and line_look is None:
+        out.append("\n")
+    return (look if line_look is None else line_look), None
+
+
 def parse(rtf: str | None) -> str | None:
     """Text of one RTF document; a document that is none gives its own text; null gives null."""
     if rtf is None or not rtf.startswith("{\\rtf"):
@@ -28,9 +46,10 @@ def parse(rtf: str | None) -> str | None:
     out: list[str] = []
     raw = bytearray()
     page, fonts, font_no = "cp1252", {}, 0
-    state = {"skip": False, "uc": 1, "font": None, "fonttbl": False}
+    state = {"skip": False, "uc": 1, "font": None, "fonttbl": False, "field": False, **PLAIN}
     stack: list[dict] = []
-    eat, first = 0, False
+    eat, first, at = 0, False, 0
+    line_look = broken = None  # look of the line's first text, and that of the line before a break that is still a plain one
 
     def flush() -> None:
         if raw:
@@ -38,12 +57,17 @@ def parse(rtf: str | None) -> str | None:
             out.append(bytes(raw).decode(codec, "replace"))
             raw.clear()
 
-    for m in TOKEN.finditer(rtf):
+    def look() -> tuple:
+        return tuple(state[k] for k in PLAIN)
+
+    while m := TOKEN.match(rtf, at):
+        at = m.end()
         word, num, hexa, sym, brace, eol, text = m.groups()
         if hexa is not None:
             if eat:
                 eat -= 1
             elif not state["skip"]:
+                line_look, broken = heading_end(out, line_look, broken, look())
                 raw.append(int(hexa, 16))
             first = False
             continue
@@ -53,7 +77,9 @@ def parse(rtf: str | None) -> str | None:
             first, eat = True, 0
             continue
         if brace == "}":
-            state = stack.pop() if stack else state
+            inner, state = state, stack.pop() if stack else state
+            if inner["field"] and not state["field"] and fills_line(out):
+                broken = FIELD
             eat = 0
         elif sym is not None:
             if sym == "*" and first:
@@ -89,14 +115,26 @@ def parse(rtf: str | None) -> str | None:
                     out.append(chr(n & 0xFFFF))
                 eat = state["uc"]
             elif word == "bin" and n:
-                pass
+                at += max(n, 0)
+            elif word in ("pard", "plain"):
+                state.update(PLAIN)
+            elif word in PLAIN:
+                state[word] = n if n is not None else 1
+            elif word == "fldrslt":
+                state["field"] = True
             elif word in WORDS and not state["skip"]:
+                if word == "line":
+                    broken, line_look = broken or line_look, None
+                elif "\n\n" in WORDS[word]:
+                    broken = line_look = None
                 out.append(WORDS[word])
         elif text is not None:
             if eat:
                 cut = min(eat, len(text))
                 text, eat = text[cut:], eat - cut
             if not state["skip"]:
+                if text.strip():
+                    line_look, broken = heading_end(out, line_look, broken, look())
                 out.append(text)
         first = False
     flush()

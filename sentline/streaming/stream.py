@@ -18,9 +18,9 @@ def text_stream(spark: SparkSession, path: str, schema: StructType | str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def sentence_stream(stream: DataFrame, key: str = "doc_id", options: Options = Options(), abbreviations: DataFrame | None = None) -> DataFrame:
+def sentence_stream(stream: DataFrame, key: str = "doc_id", options: Options = Options(), abbreviations: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """key, para_no, sent_no, sentence of a stream of texts."""
-    return run(stream, key, options, abbreviations)
+    return run(stream, key, options, abbreviations, phrases)
 
 
 def sentence_counts(stream: DataFrame, key: str, time: str, late: str = "10 minutes", window: str = "1 hour", options: Options = Options()) -> DataFrame:
