@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_sentline_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="sentline-"), "sentline.zip")
+    folder = tempfile.mkdtemp(prefix="sentline-")  # on the driver, from where it goes to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "sentline.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, files in os.walk(here):
             for f in files:
@@ -53,17 +58,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a local session (tests) may have one of its own."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local session (tests) may have one of its own. What this application
+    puts there is deleted when it ends."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), "sentline-checkpoints")
-    sc.setCheckpointDir(path)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = os.path.join(tempfile.gettempdir(), "sentline-checkpoints")
+        sc.setCheckpointDir(path)
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    if getattr(sc, "_sentline_cleaned", None) != folder:
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+        sc._sentline_cleaned = folder
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and later steps read only the
+    columns that they use."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
