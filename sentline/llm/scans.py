@@ -1,7 +1,7 @@
 """Problem 5: text of scanned pages.
 
 Words are grouped by a skeleton in which glyphs that scanners confuse are one; the frequent form of a
-group stands for its rare members where counts or the neighbouring words support it. Running headers are
+group stands for its rare members where the neighbouring words allow it, place by place. Running headers are
 found by keys with masked digits and folded glyphs; words cut at line ends are joined with the next text
 line, over blank lines, headers and page breaks; the text is reflowed with SQL windows.
 
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .common import source_texts, spread, text_hash
+from ..functions.text import let
+from ..session import broadcast_if_small, stored
+from .common import source_texts, text_hash
 
 # Glyph groups that scanners confuse, longest first, and the form that stands for each.
 STROKES = (("'l'", "t"), ("'", ""), ("\\/", "v"), ("w", "vv"), ("m", "rn"), ("n", "ii"), ("u", "ii"), ("ü", "ii"), ("ñ", "ri"), ("h", "li"), ("d", "cl"))
@@ -48,23 +49,35 @@ BARE = r"^\s*([0-9]{1,4})\s*$"
 ROMAN = r"^\s*(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\s*$"
 
 
+def _close(a: Column, b: Column) -> Column:
+    """Whether two keys differ by an eighth of their characters at most; lengths are looked at first."""
+    most = F.greatest(F.length(b) / 8, F.lit(1))
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+
+
 def classified_lines(texts: DataFrame) -> DataFrame:
-    """file_id, text -> file_id, h, line_no, raw, line, kind: text, title, blank, header, pageno, headno."""
-    t = spread(texts.select("file_id", "text").filter("text IS NOT NULL")).withColumn("h", text_hash("text"))
+    """file_id, text -> file_id, h, line_no, line, kind (text, title, blank, header, pageno, headno) and, of text lines and titles,
+    next_no, next_line, cut, prev_no, prev_line, prev_kind, prev_cut.
+
+    The texts move once, to count repeated deliveries once; their lines are stored, and move a second time for the
+    windows of a text, which share one partitioning.
+    """
+    t = texts.select("file_id", "text").filter("text IS NOT NULL").withColumn("h", text_hash("text"))
     t = t.groupBy("file_id", "h").agg(F.first("text").alias("text"))
     ln = t.select("file_id", "h", F.posexplode(F.split("text", "\n")).alias("p", "raw")).withColumn("line_no", (F.col("p") + 1).cast("bigint")).drop("p")
-    ln = ln.withColumns({"line": F.trim(F.regexp_replace("raw", "[\f\r]", "")), "ff": F.col("raw").contains("\f")})
+    ln = ln.select("file_id", "h", "line_no", F.trim(F.regexp_replace("raw", "[\f\r]", "")).alias("line"), F.col("raw").contains("\f").alias("ff"))
     c = F.col("line")
     w = W.partitionBy("file_id", "h")
     wo = w.orderBy("line_no")
+    gap = c.contains("   ") | c.contains("\t")  # room between a header and its number
     ln = ln.withColumns(
         {
             "blank": c == "",
-            "styled": c.rlike(PAGE_STYLES) | (c.rlike(ROMAN) & (c != "")),
+            "styled": (F.length(c) > 0) & (F.length(c) < 40) & (c.rlike(PAGE_STYLES) | c.rlike(ROMAN)),
             "bare": F.when(c.rlike(BARE), F.regexp_extract(c, BARE, 1).cast("int")),
             "key": _header_key(c),
-            "attached": c.rlike(r"^[0-9]{1,4}\s{3,}\S*\p{L}|\p{L}\S*\s{3,}[0-9]{1,4}$|[0-9]\s{4,}[0-9]{1,4}$"),
-            "capitals": (F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")) >= 4) & ~F.regexp_replace(c, r"\bp\. ?[0-9]+", "").rlike(r"\p{Ll}") & ~c.rlike(r"[.!?;,]\s*$"),
+            "attached": gap & c.rlike(r"^[0-9]{1,4}\s{3,}\S*\p{L}|\p{L}\S*\s{3,}[0-9]{1,4}$|[0-9]\s{4,}[0-9]{1,4}$"),
+            "capitals": ~F.regexp_replace(c, r"\bp\. ?[0-9]+", "").rlike(r"\p{Ll}") & c.rlike(r"\p{Lu}(?:[^\p{Lu}]*\p{Lu}){3}") & ~c.rlike(r"[.!?;,]\s*$"),
         }
     )
     # the head of the text: the first lines that are neither blank nor page numbers
@@ -72,25 +85,26 @@ def classified_lines(texts: DataFrame) -> DataFrame:
     ln = ln.withColumn("nth", F.sum(cand.cast("int")).over(wo.rowsBetween(W.unboundedPreceding, 0)))
     first = lambda n, x: F.max(F.when(cand & (F.col("nth") == n), x)).over(w)
     ln = ln.withColumns({"k1": first(1, F.col("key")), "k2": first(2, F.col("key")), "deco1": first(1, F.col("capitals") | F.col("attached") | c.rlike(r"\s[—–-]\s+\p{Lu}\S+(?:\s{2,}[0-9]+)?$"))})
-    close = lambda a, b: F.levenshtein(a, b) <= F.greatest(F.length(b) / 8, F.lit(1))
-    head_first = F.coalesce(F.col("deco1"), F.lit(False)) | (F.length("k1") > 3) & F.coalesce(close(F.col("k1"), F.col("k2")), F.lit(False)) | (F.length("k2") > 5) & F.coalesce(F.col("k1").startswith(F.col("k2")), F.lit(False))
-    ln = ln.withColumns({"title_key": F.when(head_first, F.col("k2")).otherwise(F.col("k1")), "title_nth": F.when(head_first, 2).otherwise(1)})
+    head_first = F.coalesce(F.col("deco1"), F.lit(False)) | (F.length("k1") > 3) & F.coalesce(_close(F.col("k1"), F.col("k2")), F.lit(False)) | (F.length("k2") > 5) & F.coalesce(F.col("k1").startswith(F.col("k2")), F.lit(False))
+    ln = ln.withColumn("head_first", head_first)
+    ln = ln.withColumns({"title_key": F.when(F.col("head_first"), F.col("k2")).otherwise(F.col("k1")), "title_nth": F.when(F.col("head_first"), 2).otherwise(1)})
     is_title = cand & (F.col("nth") == F.col("title_nth"))
     tk, k = F.col("title_key"), F.col("key")
-    like_title = (F.length(tk) > 3) & (close(k, tk) | close(F.substring(k, F.lit(1), F.length(tk)), tk) & c.rlike(r"\s[—–-]\s+\S+(?:\s{2,}\S+)?$"))
+    like_title = (F.length(tk) > 3) & (_close(k, tk) | c.rlike(r"\s[—–-]\s+\S+(?:\s{2,}\S+)?$") & _close(F.substring(k, F.lit(1), F.length(tk)), tk))
     titled = c.rlike(r"^(?:[0-9]{1,4}\s{2,})?\p{Lu}") & ~c.rlike(r"[.!?;,:]\s*$") & (F.length(k) >= 4)
-    header = cand & ~is_title & (like_title | F.col("capitals") | (head_first & (F.col("nth") == 1)) | (titled & F.col("attached")))
-    ln = ln.withColumns({"is_title": is_title, "header": F.coalesce(header, F.lit(False)), "titled": F.coalesce(titled & cand & ~is_title, F.lit(False))}).drop("k1", "k2", "deco1", "nth", "title_nth", "title_key")
-    ln = materialise(ln)
+    header = cand & ~is_title & (like_title | F.col("capitals") | (F.col("head_first") & (F.col("nth") == 1)) | (titled & F.col("attached")))
+    flags = {"is_title": is_title, "header": F.coalesce(header, F.lit(False)), "titled": F.coalesce(titled & cand & ~is_title, F.lit(False))}
+    ln = stored(ln.withColumns(flags).select("file_id", "h", "line_no", "line", "ff", "blank", "styled", "bare", F.when(F.col("titled") | F.col("is_title") | F.col("header"), F.col("key")).alias("key"), "attached", *flags))
+    # headings that run on the pages in between may be the titles of other texts
+    titles = ln.filter("is_title AND length(key) >= 6").select("key").distinct()
+    other = ln.filter("titled AND NOT header AND length(key) >= 6").select("file_id", "h", "line_no", "key").join(titles, "key", "left_semi")
+    known = other.groupBy("file_id", "h").agg(F.collect_set("line_no").alias("known"))
+    ln = ln.join(known, ["file_id", "h"], "left").withColumn("header", F.col("header") | F.coalesce(F.array_contains("known", F.col("line_no")), F.lit(False))).drop("known")
     # a short heading that comes again on other pages
     plain = F.col("titled") & ~c.rlike(r"[.,!?:;]")
     again = F.count(F.when(plain, 1)).over(W.partitionBy("file_id", "h", "key")) >= 2
     narrow = F.length("line") < 0.75 * F.max(F.length("line")).over(w)
     ln = ln.withColumn("header", F.col("header") | (plain & again & narrow))
-    # headings that run on the pages in between may be the titles of other texts
-    titles = ln.filter("is_title AND length(key) >= 6").groupBy("key").agg(F.lit(True).alias("known"))
-    other = ln.filter("titled AND NOT header AND length(key) >= 6").select("file_id", "h", "line_no", "key").join(titles, "key").select("file_id", "h", "line_no", "known")
-    ln = ln.join(other, ["file_id", "h", "line_no"], "left").withColumn("header", F.col("header") | F.coalesce(F.col("known"), F.lit(False))).drop("known")
     # a number alone on its line counts pages if it stands at a page edge or goes on elsewhere; after a year line it is text
     prev_line, next_line = F.lag("line").over(wo), F.lead("line").over(wo)
     edge = (
@@ -106,47 +120,65 @@ def classified_lines(texts: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("blank"), "blank").when(F.col("header") & F.col("attached"), "headno").when(F.col("header"), "header").when(F.col("pageno"), "pageno").when(F.col("is_title"), "title").otherwise("text")
     )
-    return ln.select("file_id", "h", "line_no", "raw", "line", "ff", kind.alias("kind"))
-
-
-def with_cuts(lines: DataFrame) -> DataFrame:
-    """Text lines only, each with the next text line and whether a word is cut at its end."""
-    t = lines.filter(F.col("kind").isin("text", "title"))
-    w = W.partitionBy("file_id", "h").orderBy("line_no")
-    t = t.withColumns({"next_line": F.lead("line").over(w), "next_no": F.lead("line_no").over(w), "next_kind": F.lead("kind").over(w)})
+    ln = ln.select("file_id", "h", "line_no", "line", kind.alias("kind"))
+    # words cut at the end of a text line, which go on in the next text line
+    ln = ln.withColumn("running", F.col("kind").isin("text", "title"))
+    wt = W.partitionBy("file_id", "h", "running").orderBy("line_no")
+    ln = ln.withColumns({"next_line": F.lead("line").over(wt), "next_no": F.lead("line_no").over(wt)})
     nxt = F.regexp_extract("next_line", r"^(\S+)", 1)
     cut = (
-        F.col("line").rlike(rf"\p{{L}}\S*[{CUT_MARKS}]$")
+        c.rlike(rf"\p{{L}}\S*[{CUT_MARKS}]$")
         & F.coalesce(F.col("next_line").rlike(r"^[\p{L}0-9@$|!\\&'ſ]"), F.lit(False))
         & ~F.regexp_replace(F.lower(nxt), r"[.,;:]+$", "").isin(*CONJUNCTIONS)
         & (F.col("kind") == "text")
     )
-    return t.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    ln = ln.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    ln = ln.withColumns({"from_cut": F.coalesce(F.lag("cut").over(wt), F.lit(False)), "joins": F.when(F.col("cut"), nxt)})
+    ln = ln.withColumn("toks", F.when(F.col("running"), _line_tokens(c, F.col("from_cut"), F.col("joins"))))
+    words = F.transform("toks", lambda x: x["word"])
+    inked = lambda: F.filter(words, lambda x: x.rlike(r"\p{L}"))
+    ln = ln.withColumns({"first_word": F.try_element_at(inked(), F.lit(1)), "last_word": F.try_element_at(inked(), F.lit(-1))})
+    ln = ln.withColumns({"word_before": F.lag("last_word").over(wt), "word_after": F.lead("first_word").over(wt)})
+    return ln.select("file_id", "h", "line_no", "kind", "cut", "next_no", "toks", "word_before", "word_after")
 
 
 EDGES = r"^[.,;:?¿¡\"“”„«»()‘’—–…\[\]·-]+|[.,;:?!\"“”„«»()‘’—–…\[\]·-]+$"
 
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """One row per word: file_id, h, line_no, tok_no, word, and for a cut word its second line and first part's length.
+def _line_tokens(line: Column, from_cut: Column, joins: Column) -> Column:
+    """Array of struct(tok: as written, word: lower case without marks at its edges, cut_at: length of the first part of a word
+    that goes on in the next line, else null). The first word of a line belongs to the line before it when that one
+    ends in a cut; it is then no token of its own line."""
+    toks = F.split(F.trim(F.regexp_replace(line, r"[\s\x{A0}]+", " ")), " ")
+    toks = F.when(from_cut, F.slice(toks, 2, F.size(toks))).otherwise(toks)
+    none = F.lit(None).cast("int")
+    lead = EDGES.split("|")[0]
 
-    The first word of a line belongs to the line before it when that one ends in a cut.
-    """
-    w = W.partitionBy("file_id", "h").orderBy("line_no")
-    t = lines.withColumn("from_cut", F.coalesce(F.lag("cut").over(w), F.lit(False)))
-    toks = F.split(F.trim(F.regexp_replace("line", r"[\s\x{A0}]+", " ")), " ")
-    t = t.withColumn("toks", F.when(F.col("from_cut"), F.slice(toks, 2, F.size(toks))).otherwise(toks))
-    t = t.withColumn("joins", F.when(F.col("cut") & (F.size("toks") > 0), F.regexp_extract("next_line", r"^(\S+)", 1)))
-    t = t.select("file_id", "h", "line_no", "next_no", "joins", F.size("toks").alias("n"), F.posexplode("toks").alias("tok_no", "tok"))
-    last = F.col("joins").isNotNull() & (F.col("tok_no") == F.col("n") - 1)
-    left = F.regexp_replace(F.regexp_replace("tok", rf"[{CUT_MARKS}]+$", ""), EDGES.split("|")[0], "")
-    right = F.regexp_replace("joins", EDGES, "")
-    word = F.lower(F.when(last, F.concat(left, right)).otherwise(F.regexp_replace("tok", EDGES, "")))
-    return t.select("file_id", "h", "line_no", "tok_no", word.alias("word"), F.when(last, F.col("next_no")).alias("second_no"), F.when(last, F.length(left)).alias("cut_at")).filter(F.col("word").rlike(r"\p{L}"))
+    def one(x: Column, i: Column, n: Column) -> Column:
+        left = F.regexp_replace(F.regexp_replace(x, rf"[{CUT_MARKS}]+$", ""), lead, "")
+        whole = F.struct(x.alias("tok"), F.lower(F.regexp_replace(x, EDGES, "")).alias("word"), none.alias("cut_at"))
+        both = F.struct(F.concat(x, joins).alias("tok"), F.lower(F.concat(left, F.regexp_replace(joins, EDGES, ""))).alias("word"), F.length(left).alias("cut_at"))
+        return F.when(joins.isNotNull() & (i == n - 1), both).otherwise(whole)
+
+    return let(toks, lambda ts: F.transform(ts, lambda x, i: one(x, i, F.size(ts))))
+
+
+def tokens(lines: DataFrame) -> DataFrame:
+    """One row per word with a letter: file_id, h, line_no, tok_no, word, before, after (words next to it, over line ends), cut_at,
+    second_no (line of the second part of a cut word)."""
+    ts = lines.filter("toks IS NOT NULL").withColumn("ws", F.filter(F.transform("toks", lambda x, i: F.struct(i.alias("tok_no"), x["word"].alias("word"), x["cut_at"].alias("cut_at"))), lambda x: x["word"].rlike(r"\p{L}")))
+    near = F.transform("ws", lambda x, i: F.struct(
+        x["tok_no"].alias("tok_no"), x["word"].alias("word"), x["cut_at"].alias("cut_at"),
+        F.coalesce(F.when(i == 0, F.col("word_before")).otherwise(F.try_element_at(F.col("ws"), i)["word"])).alias("before"),
+        F.coalesce(F.try_element_at(F.col("ws"), i + 2)["word"], F.col("word_after")).alias("after"),
+    ))
+    near = F.when(F.size("ws") > 0, near).otherwise(F.array().cast("array<struct<tok_no:int,word:string,cut_at:int,before:string,after:string>>"))
+    t = ts.select("file_id", "h", "line_no", "next_no", F.inline(near))
+    return t.select("file_id", "h", "line_no", "tok_no", "word", "before", "after", "cut_at", F.when(F.col("cut_at").isNotNull(), F.col("next_no")).alias("second_no"))
 
 
 def misread_words(toks: DataFrame) -> DataFrame:
-    """word, form: rare words and the frequent form of the same skeleton that stands for them."""
+    """word, form, sure: rare words and the frequent form of the same skeleton that may stand for them."""
     v = toks.groupBy("word").agg(F.count("*").alias("n")).withColumn("skel", skeleton(F.col("word")))
     odd = F.col("word").rlike(ODD) & ~F.col("word").rlike(r"^[\p{L}]{1,6}['’][\p{L}-]{2,}$") | F.col("word").rlike(r"[rt]'(?:\p{L}|$)")
     v = v.withColumn("odd", odd)
@@ -157,77 +189,89 @@ def misread_words(toks: DataFrame) -> DataFrame:
     c = c.filter(F.col("odd") | (bare(F.col("word")) != bare(F.col("form"))))
     sure = F.when(F.col("odd"), F.col("top_n") >= F.col("n")).otherwise(F.col("top_n") >= RATIO * F.col("n"))
     maybe = (F.col("top_n") >= RATIO_IN_CONTEXT * F.col("n")) & (F.length("word") >= 3)
-    return c.select("word", "form", "n", "top_n", sure.alias("sure"), maybe.alias("maybe")).filter("sure OR maybe")
+    return c.select("word", "form", sure.alias("sure"), maybe.alias("maybe")).filter("sure OR maybe").drop("maybe")
 
 
 def misread_places(toks: DataFrame) -> DataFrame:
-    """Places of misread words: file_id, h, line_no, word, form. A rare form whose count alone does not decide
-    counts where its neighbour is known beside the frequent form."""
-    m = misread_words(toks)
-    w = W.partitionBy("file_id", "h").orderBy("line_no", "tok_no")
-    ctx = toks.withColumns({"before": F.lag("word").over(w), "after": F.lead("word").over(w)})
-    hit = ctx.join(m, "word")
-    pairs = ctx.filter("before IS NOT NULL").groupBy("before", "word").agg(F.count("*").alias("pn")).filter("pn >= 2")
-    left = pairs.select("before", F.col("word").alias("form"), F.lit(True).alias("sl"))
-    right = pairs.select(F.col("before").alias("form"), F.col("word").alias("after"), F.lit(True).alias("sr"))
-    sure = hit.filter("sure")
-    weak = hit.filter("NOT sure").join(left, ["before", "form"], "left").join(right, ["form", "after"], "left").filter("sl OR sr")
-    cols = ["file_id", "h", "line_no", "second_no", "cut_at", "word", "form"]
-    hit = sure.select(cols).unionByName(weak.select(cols))
-    a, b = F.col("word").substr(F.lit(1), F.col("cut_at")), F.expr("substring(word, cut_at + 1)")
-    first_ok = F.col("form").startswith(a)
-    second_ok = F.col("form").endswith(b)
-    places = F.when(F.col("second_no").isNull(), F.array("line_no")).when(first_ok, F.array("second_no")).when(second_ok, F.array("line_no")).otherwise(F.array("line_no", "second_no"))
-    return hit.select("file_id", "h", F.explode(places).alias("line_no"), "word", "form")
+    """Misread words at their places: file_id, h, line_no, tok_no, word, form, second_no, cut_at.
+
+    Each place is judged by its neighbours: how often the form, and how often the word as written, stands beside the same
+    word elsewhere. The form must be seen at least as often as the word; where counts of the words alone don't decide, the
+    form must be seen twice. Neighbours that nobody has seen beside either leave it to the counts of the words.
+    """
+    hit = stored(toks.join(broadcast_if_small(stored(misread_words(toks))), "word"))
+    at = ["file_id", "h", "line_no", "tok_no"]
+    pair = lambda a, b, role: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(role).alias("role"))
+    asked = hit.select(*at, F.inline(F.array(pair("before", "form", 0), pair("form", "after", 1), pair("before", "word", 2), pair("word", "after", 3)))).filter("a IS NOT NULL AND b IS NOT NULL")
+    wanted = asked.select("a", "b").distinct()
+    seen = toks.filter("before IS NOT NULL").select(F.col("before").alias("a"), F.col("word").alias("b"))
+    seen = seen.join(broadcast_if_small(stored(wanted)), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    by = asked.join(seen, ["a", "b"]).groupBy(*at).agg(
+        F.max(F.when(F.col("role") < 2, F.col("n"))).alias("for_form"), F.max(F.when(F.col("role") >= 2, F.col("n") - 1)).alias("for_word")
+    )
+    hit = hit.join(by, at, "left")
+    form_n, word_n = F.coalesce("for_form", F.lit(0)), F.coalesce("for_word", F.lit(0))
+    return hit.filter((form_n >= word_n) & (F.col("sure") | (form_n >= 2))).select(*at, "word", "form", "second_no", "cut_at")
 
 
 def defects(texts: DataFrame) -> DataFrame:
     """file_id, line_no, defect."""
-    lines = materialise(classified_lines(texts))
-    cuts = with_cuts(lines)
-    toks = materialise(tokens(cuts))
-    found = [
-        cuts.filter("cut").select("file_id", "line_no", F.lit("hyphen").alias("defect")),
-        misread_places(toks).select("file_id", "line_no", F.lit("char").alias("defect")),
-        lines.filter(F.col("kind").isin("header", "headno")).select("file_id", "line_no", F.lit("header").alias("defect")),
-        lines.filter(F.col("kind").isin("pageno", "headno")).select("file_id", "line_no", F.lit("pageno").alias("defect")),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    lines = stored(classified_lines(texts))
+    hit = misread_places(tokens(lines))
+    # a cut word is misread in the part that differs from the form
+    a, b = F.substr("word", F.lit(1), F.col("cut_at")), F.substr("word", F.col("cut_at") + 1)
+    both = F.array("line_no", "second_no")
+    places = F.when(F.col("second_no").isNull(), F.array("line_no")).when(F.col("form").startswith(a), F.array("second_no")).when(F.col("form").endswith(b), F.array("line_no")).otherwise(both)
+    # one pass over the lines for all that a line tells by itself
+    of_line = F.array_compact(F.array(F.when(F.col("cut"), "hyphen"), F.when(F.col("kind").isin("header", "headno"), "header"), F.when(F.col("kind").isin("pageno", "headno"), "pageno")))
+    found = lines.select("file_id", "line_no", F.explode(of_line).alias("defect"))
+    return found.unionByName(hit.select("file_id", F.explode(places).alias("line_no"), F.lit("char").alias("defect"))).distinct()
+
+
+def _repaired(tok: Column, form: Column) -> Column:
+    """A token with its word put as the form, marks at its edges and capitals kept."""
+    lead, tail = EDGES.split("|")[0], "|".join(EDGES.split("|")[1:])
+    a, z = F.regexp_extract(tok, f"({lead})", 1), F.regexp_extract(tok, f"({tail})", 1)
+    core = F.regexp_replace(tok, EDGES, "")
+    shown = F.when((F.length(core) > 1) & core.rlike(r"\p{Lu}") & ~core.rlike(r"\p{Ll}"), F.upper(form)).when(core.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2)))).otherwise(form)
+    return F.concat(a, shown, z)
 
 
 def paragraphs(texts: DataFrame) -> DataFrame:
     """file_id, para_no, text: running paragraphs without headers and page numbers, cut words joined and misread
-    words put right. A blank line parts paragraphs unless it stands inside a sentence at a page break."""
-    lines = materialise(classified_lines(texts))
-    cuts = with_cuts(lines)
-    toks = materialise(tokens(cuts))
+    words put right, each at its own place. A blank line parts paragraphs unless it stands inside a sentence at a page break."""
+    lines = stored(classified_lines(texts))
+    toks = tokens(lines)
+    fixes = misread_places(toks).groupBy("file_id", "h", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("tok_no", "form"))).alias("fixes"))
+    # a compound keeps its hyphen where its whole form occurs with one
+    known = toks.filter("word LIKE '%-%' AND cut_at IS NULL").select(F.col("word").alias("hyphenated")).distinct()
+    first, second = F.substr("word", F.lit(1), F.col("cut_at")), F.substr("word", F.col("cut_at") + 1)
+    cuts = toks.filter("cut_at IS NOT NULL").select("file_id", "h", "line_no", F.concat(first, F.lit("-"), second).alias("hyphenated"))
+    compound = cuts.join(known, "hyphenated", "left_semi").select("file_id", "h", "line_no", F.lit(True).alias("keep")).distinct()
+    t = lines.filter("toks IS NOT NULL").join(fixes, ["file_id", "h", "line_no"], "left").join(compound, ["file_id", "h", "line_no"], "left")
+    keep = F.coalesce("keep", F.lit(False))
+
+    def shown(x: Column, i: Column) -> Column:
+        form = F.try_element_at("fixes", i)
+        joined = F.when(x["cut_at"].isNull() | (keep & form.isNull()), x["tok"]).otherwise(_uncut(x["tok"], x["cut_at"]))
+        return F.when(form.isNotNull(), _repaired(joined, form)).otherwise(joined)
+
+    t = t.withColumn("out", F.array_join(F.transform("toks", shown), " "))
     w = W.partitionBy("file_id", "h").orderBy("line_no")
-    ended = r"[.!?…:][\"'”’»)\]]*$"
-    t = cuts.withColumns({"prev_no": F.lag("line_no").over(w), "prev_line": F.lag("line").over(w), "prev_kind": F.lag("kind").over(w), "prev_cut": F.lag("cut").over(w)})
+    t = t.withColumns({"prev_no": F.lag("line_no").over(w), "prev_out": F.lag("out").over(w), "prev_kind": F.lag("kind").over(w)})
     gap = F.col("line_no") - F.col("prev_no") > 1
-    new = F.col("prev_no").isNull() | (F.col("prev_kind") == "title") | (gap & F.col("prev_line").rlike(ended))
+    new = F.col("prev_no").isNull() | (F.col("prev_kind") == "title") | (gap & F.col("prev_out").rlike(r"[.!?…:][\"'”’»)\]]*$"))
     t = t.withColumn("para_no", F.sum(new.cast("int")).over(w).cast("bigint"))
-    # a compound keeps its hyphen where its whole form occurs with one
-    known = toks.filter("word LIKE '%-%' AND second_no IS NULL").select("word").distinct()
-    compound = (
-        toks.filter("second_no IS NOT NULL")
-        .withColumn("hyphenated", F.concat(F.expr("substring(word, 1, cut_at)"), F.lit("-"), F.expr("substring(word, cut_at + 1)")))
-        .join(known.withColumnRenamed("word", "hyphenated"), "hyphenated").select("file_id", "h", "line_no", F.lit(True).alias("keep")).distinct()
-    )
-    t = t.join(compound, ["file_id", "h", "line_no"], "left")
-    stem = F.regexp_replace("line", rf"[{CUT_MARKS}]+$", "")
-    piece = F.when(F.col("cut") & F.col("keep"), F.concat(stem, F.lit("-"))).when(F.col("cut"), stem).otherwise(F.concat(F.col("line"), F.lit(" ")))
     # one paragraph of one file is the largest unit that a task holds
-    para = t.groupBy("file_id", "h", "para_no").agg(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("s")))).alias("x"), F.min("line_no").alias("a"))
-    para = para.withColumn("text", F.trim(F.array_join(F.transform("x", lambda y: y["s"]), ""))).drop("x", "a")
-    fixes = misread_places(toks).join(t.select("file_id", "h", "line_no", "para_no"), ["file_id", "h", "line_no"]).groupBy("file_id", "h", "para_no").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
-    para = para.join(fixes, ["file_id", "h", "para_no"], "left")
-    one = lambda acc, f: F.replace(F.replace(acc, f["word"], f["form"]), F.concat(F.upper(F.substring(f["word"], 1, 1)), F.substring(f["word"], 2, 1000)), F.concat(F.upper(F.substring(f["form"], 1, 1)), F.substring(f["form"], 2, 1000)))
-    fixed = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<word:string,form:string>>")), F.col("text"), one)
-    return para.select("file_id", "para_no", fixed.alias("text"))
+    para = t.filter("out <> ''").groupBy("file_id", "h", "para_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("x"))
+    return para.select("file_id", "para_no", F.array_join(F.transform("x", lambda y: y["out"]), " ").alias("text"))
+
+
+def _uncut(tok: Column, cut_at: Column) -> Column:
+    """The token of a cut word without the marks between its parts; cut_at counts from the first character after marks."""
+    lead = F.length(F.regexp_extract(tok, f"({EDGES.split('|')[0]})", 1))
+    a, b = F.substr(tok, F.lit(1), lead + cut_at), F.substr(tok, lead + cut_at + 1)
+    return F.concat(a, F.regexp_replace(b, rf"^[{CUT_MARKS}]+", ""))
 
 
 def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,3 +46,32 @@ def test_skeleton_groups(spark):
 
 def test_empty_table(spark):
     assert L.defects(frame(spark, [])).count() == 0
+
+
+def repaired(spark, *texts):
+    rows = L.paragraphs(spark.createDataFrame(list(enumerate(texts)), "file_id bigint, text string")).orderBy("file_id", "para_no").collect()
+    return [r.text for r in rows if r.file_id == 0]
+
+
+def test_a_misread_word_is_put_right_at_its_place_only(spark):
+    body = ["here I am now, and there I am too, so I am glad."] * 12
+    got = repaired(spark, "Title Of It\n\nWe learn what was learnt, warn all, and there I arn too.\nLearn it.", *body)
+    assert got == ["Title Of It", "We learn what was learnt, warn all, and there I am too. Learn it."]
+
+
+def test_context_speaks_for_the_word_as_written(spark):
+    # 'arn' is rarer than 'am' by far, but always beside the same words, which 'am' never is
+    body = ["here I am now, and there I am too, so I am glad."] * 12 + ["the river arn flows by the mill."] * 2
+    got = repaired(spark, "Title Of It\n\nBoats on the river arn flows slow.", *body)
+    assert got == ["Title Of It", "Boats on the river arn flows slow."]
+
+
+def test_capitals_marks_and_cut_words(spark):
+    body = ["the garden was open and the modern garden was large."] * 25
+    got = repaired(spark, "Title Of It\n\n(Garclen!) was open and the mod-\nern GARCLEN, two-\nparted, stayed.", *body, "it is a two-parted thing")
+    assert got == ["Title Of It", "(Garden!) was open and the modern GARDEN, two-parted, stayed."]
+
+
+def test_clashing_and_empty(spark):
+    df = spark.createDataFrame([(0, None, "x"), (1, "", "y"), (2, "\n\n", "z")], "file_id bigint, text string, line string")
+    assert L.paragraphs(df).count() == 0 and L.defects(df).count() == 0
