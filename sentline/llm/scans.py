@@ -57,7 +57,7 @@ def _close(a: Column, b: Column) -> Column:
 
 def classified_lines(texts: DataFrame) -> DataFrame:
     """file_id, text -> file_id, h, line_no, line, kind (text, title, blank, header, pageno, headno) and, of text lines and titles,
-    next_no, next_line, cut, prev_no, prev_line, prev_kind, prev_cut.
+    next_no, cut, joins (what goes on in the next text line), from_cut, words and the words next to them.
 
     The texts move once, to count repeated deliveries once; their lines are stored, and move a second time for the
     windows of a text, which share one partitioning.
@@ -134,47 +134,40 @@ def classified_lines(texts: DataFrame) -> DataFrame:
     )
     ln = ln.withColumn("cut", F.coalesce(cut, F.lit(False)))
     ln = ln.withColumns({"from_cut": F.coalesce(F.lag("cut").over(wt), F.lit(False)), "joins": F.when(F.col("cut"), nxt)})
-    ln = ln.withColumn("toks", F.when(F.col("running"), _line_tokens(c, F.col("from_cut"), F.col("joins"))))
-    words = F.transform("toks", lambda x: x["word"])
-    inked = lambda: F.filter(words, lambda x: x.rlike(r"\p{L}"))
-    ln = ln.withColumns({"first_word": F.try_element_at(inked(), F.lit(1)), "last_word": F.try_element_at(inked(), F.lit(-1))})
-    ln = ln.withColumns({"word_before": F.lag("last_word").over(wt), "word_after": F.lead("first_word").over(wt)})
-    return ln.select("file_id", "h", "line_no", "kind", "cut", "next_no", "toks", "word_before", "word_after")
+    ln = ln.withColumn("words", F.when(F.col("running"), _words(c, F.col("from_cut"), F.col("joins"))))
+    ln = ln.withColumn("cut_at", F.when(F.col("cut"), F.length(F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"(\S+)$", 1), rf"[{CUT_MARKS}]+$", ""), LEAD, ""))))
+    ln = ln.withColumns({"word_before": F.lag(F.try_element_at("words", F.lit(-1))).over(wt), "word_after": F.lead(F.try_element_at("words", F.lit(1))).over(wt)})
+    return ln.select("file_id", "h", "line_no", "line", "kind", "cut", "joins", "from_cut", "next_no", "words", "cut_at", "word_before", "word_after")
 
 
-EDGES = r"^[.,;:?¿¡\"“”„«»()‘’—–…\[\]·-]+|[.,;:?!\"“”„«»()‘’—–…\[\]·-]+$"
+MARKS = r"\-.,;:?\"“”„«»()‘’—–…\[\]·"
+LEAD, TAIL = rf"^[{MARKS}¿¡]+", rf"[{MARKS}!]+$"
+EDGES = f"{LEAD}|{TAIL}"
 
 
-def _line_tokens(line: Column, from_cut: Column, joins: Column) -> Column:
-    """Array of struct(tok: as written, word: lower case without marks at its edges, cut_at: length of the first part of a word
-    that goes on in the next line, else null). The first word of a line belongs to the line before it when that one
-    ends in a cut; it is then no token of its own line."""
-    toks = F.split(F.trim(F.regexp_replace(line, r"[\s\x{A0}]+", " ")), " ")
-    toks = F.when(from_cut, F.slice(toks, 2, F.size(toks))).otherwise(toks)
-    none = F.lit(None).cast("int")
-    lead = EDGES.split("|")[0]
-
-    def one(x: Column, i: Column, n: Column) -> Column:
-        left = F.regexp_replace(F.regexp_replace(x, rf"[{CUT_MARKS}]+$", ""), lead, "")
-        whole = F.struct(x.alias("tok"), F.lower(F.regexp_replace(x, EDGES, "")).alias("word"), none.alias("cut_at"))
-        both = F.struct(F.concat(x, joins).alias("tok"), F.lower(F.concat(left, F.regexp_replace(joins, EDGES, ""))).alias("word"), F.length(left).alias("cut_at"))
-        return F.when(joins.isNotNull() & (i == n - 1), both).otherwise(whole)
-
-    return let(toks, lambda ts: F.transform(ts, lambda x, i: one(x, i, F.size(ts))))
+def _words(line: Column, from_cut: Column, joins: Column) -> Column:
+    """Array of the words with a letter of a trimmed line, in lower case, without marks at their edges. The first word of a
+    line belongs to the line before it when that one ends in a cut; a word that is cut here is whole, as the last one."""
+    c = F.translate(line, "\xa0", " ")
+    c = F.when(from_cut, F.regexp_replace(c, r"^\S+\s*", "")).otherwise(c)
+    # a line of one word that begins and ends in cuts has no word of its own
+    c = F.when(joins.isNull() | (c == ""), c).otherwise(F.concat(F.regexp_replace(c, rf"[{CUT_MARKS}]+$", ""), F.regexp_replace(joins, EDGES, "")))
+    c = F.regexp_replace(c, rf"(?<!\S)[{MARKS}¿¡]+|[{MARKS}!]+(?!\S)", "")
+    c = F.regexp_replace(c, r"(?<!\S)[^\p{L}\s]+(?!\S)", "")
+    return F.array_remove(F.split(F.lower(c), r"\s+"), "")
 
 
 def tokens(lines: DataFrame) -> DataFrame:
-    """One row per word with a letter: file_id, h, line_no, tok_no, word, before, after (words next to it, over line ends), cut_at,
+    """One row per word: file_id, h, line_no, word_no, word, before, after (words next to it, over line ends), cut_at,
     second_no (line of the second part of a cut word)."""
-    ts = lines.filter("toks IS NOT NULL").withColumn("ws", F.filter(F.transform("toks", lambda x, i: F.struct(i.alias("tok_no"), x["word"].alias("word"), x["cut_at"].alias("cut_at"))), lambda x: x["word"].rlike(r"\p{L}")))
-    near = F.transform("ws", lambda x, i: F.struct(
-        x["tok_no"].alias("tok_no"), x["word"].alias("word"), x["cut_at"].alias("cut_at"),
-        F.coalesce(F.when(i == 0, F.col("word_before")).otherwise(F.try_element_at(F.col("ws"), i)["word"])).alias("before"),
-        F.coalesce(F.try_element_at(F.col("ws"), i + 2)["word"], F.col("word_after")).alias("after"),
-    ))
-    near = F.when(F.size("ws") > 0, near).otherwise(F.array().cast("array<struct<tok_no:int,word:string,cut_at:int,before:string,after:string>>"))
-    t = ts.select("file_id", "h", "line_no", "next_no", F.inline(near))
-    return t.select("file_id", "h", "line_no", "tok_no", "word", "before", "after", "cut_at", F.when(F.col("cut_at").isNotNull(), F.col("next_no")).alias("second_no"))
+    t = lines.filter(F.size("words") > 0).select("*", F.posexplode("words").alias("word_no", "word"))
+    last = (F.col("word_no") == F.size("words") - 1) & F.col("cut_at").isNotNull()
+    return t.select(
+        "file_id", "h", "line_no", "word_no", "word",
+        F.when(F.col("word_no") == 0, F.col("word_before")).otherwise(F.try_element_at("words", F.col("word_no"))).alias("before"),
+        F.coalesce(F.try_element_at("words", F.col("word_no") + 2), F.col("word_after")).alias("after"),
+        F.when(last, F.col("cut_at")).alias("cut_at"), F.when(last, F.col("next_no")).alias("second_no"),
+    )
 
 
 def misread_words(toks: DataFrame) -> DataFrame:
@@ -193,14 +186,14 @@ def misread_words(toks: DataFrame) -> DataFrame:
 
 
 def misread_places(toks: DataFrame) -> DataFrame:
-    """Misread words at their places: file_id, h, line_no, tok_no, word, form, second_no, cut_at.
+    """Misread words at their places: file_id, h, line_no, word_no, word, form, second_no, cut_at.
 
     Each place is judged by its neighbours: how often the form, and how often the word as written, stands beside the same
     word elsewhere. The form must be seen at least as often as the word; where counts of the words alone don't decide, the
     form must be seen twice. Neighbours that nobody has seen beside either leave it to the counts of the words.
     """
     hit = stored(toks.join(broadcast_if_small(stored(misread_words(toks))), "word"))
-    at = ["file_id", "h", "line_no", "tok_no"]
+    at = ["file_id", "h", "line_no", "word_no"]
     pair = lambda a, b, role: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(role).alias("role"))
     asked = hit.select(*at, F.inline(F.array(pair("before", "form", 0), pair("form", "after", 1), pair("before", "word", 2), pair("word", "after", 3)))).filter("a IS NOT NULL AND b IS NOT NULL")
     wanted = asked.select("a", "b").distinct()
@@ -230,8 +223,7 @@ def defects(texts: DataFrame) -> DataFrame:
 
 def _repaired(tok: Column, form: Column) -> Column:
     """A token with its word put as the form, marks at its edges and capitals kept."""
-    lead, tail = EDGES.split("|")[0], "|".join(EDGES.split("|")[1:])
-    a, z = F.regexp_extract(tok, f"({lead})", 1), F.regexp_extract(tok, f"({tail})", 1)
+    a, z = F.regexp_extract(tok, f"({LEAD})", 1), F.regexp_extract(tok, f"({TAIL})", 1)
     core = F.regexp_replace(tok, EDGES, "")
     shown = F.when((F.length(core) > 1) & core.rlike(r"\p{Lu}") & ~core.rlike(r"\p{Ll}"), F.upper(form)).when(core.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2)))).otherwise(form)
     return F.concat(a, shown, z)
@@ -242,21 +234,24 @@ def paragraphs(texts: DataFrame) -> DataFrame:
     words put right, each at its own place. A blank line parts paragraphs unless it stands inside a sentence at a page break."""
     lines = stored(classified_lines(texts))
     toks = tokens(lines)
-    fixes = misread_places(toks).groupBy("file_id", "h", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("tok_no", "form"))).alias("fixes"))
+    fixes = misread_places(toks).groupBy("file_id", "h", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word_no", "form"))).alias("fixes"))
     # a compound keeps its hyphen where its whole form occurs with one
     known = toks.filter("word LIKE '%-%' AND cut_at IS NULL").select(F.col("word").alias("hyphenated")).distinct()
     first, second = F.substr("word", F.lit(1), F.col("cut_at")), F.substr("word", F.col("cut_at") + 1)
     cuts = toks.filter("cut_at IS NOT NULL").select("file_id", "h", "line_no", F.concat(first, F.lit("-"), second).alias("hyphenated"))
     compound = cuts.join(known, "hyphenated", "left_semi").select("file_id", "h", "line_no", F.lit(True).alias("keep")).distinct()
-    t = lines.filter("toks IS NOT NULL").join(fixes, ["file_id", "h", "line_no"], "left").join(compound, ["file_id", "h", "line_no"], "left")
-    keep = F.coalesce("keep", F.lit(False))
-
-    def shown(x: Column, i: Column) -> Column:
-        form = F.try_element_at("fixes", i)
-        joined = F.when(x["cut_at"].isNull() | (keep & form.isNull()), x["tok"]).otherwise(_uncut(x["tok"], x["cut_at"]))
-        return F.when(form.isNotNull(), _repaired(joined, form)).otherwise(joined)
-
-    t = t.withColumn("out", F.array_join(F.transform("toks", shown), " "))
+    t = lines.filter("kind IN ('text', 'title')").join(fixes, ["file_id", "h", "line_no"], "left").join(compound, ["file_id", "h", "line_no"], "left")
+    c = F.trim(F.regexp_replace("line", r"[\s\x{A0}]+", " "))
+    c = F.when(F.col("from_cut"), F.regexp_replace(c, r"^\S+ ?", "")).otherwise(c)
+    fixed_cut = F.coalesce(F.map_contains_key("fixes", F.size("words") - 1), F.lit(False))
+    stem = F.when(F.coalesce("keep", F.lit(False)) & ~fixed_cut, F.regexp_replace(c, rf"[{CUT_MARKS}]+$", "-")).otherwise(F.regexp_replace(c, rf"[{CUT_MARKS}]+$", ""))
+    t = t.withColumn("c", F.when(F.col("joins").isNull() | (c == ""), c).otherwise(F.concat(stem, F.col("joins"))))
+    # each token with the number of its word, if it has one; only lines with a fix are taken apart
+    parts = F.split("c", " ")
+    has_word = F.transform(parts, lambda x: F.when(F.regexp_replace(x, EDGES, "").rlike(r"\p{L}"), 1).otherwise(0))
+    number = lambda h, i: F.aggregate(F.slice(h, 1, i), F.lit(0), lambda a, x: a + x)
+    put = lambda h: F.transform(parts, lambda x, i: let(F.when(F.element_at(h, i + 1) == 1, F.try_element_at("fixes", number(h, i))), lambda form: F.when(form.isNull(), x).otherwise(_repaired(x, form))))
+    t = t.withColumn("out", F.when(F.col("fixes").isNull(), F.col("c")).otherwise(F.array_join(let(has_word, put), " ")))
     w = W.partitionBy("file_id", "h").orderBy("line_no")
     t = t.withColumns({"prev_no": F.lag("line_no").over(w), "prev_out": F.lag("out").over(w), "prev_kind": F.lag("kind").over(w)})
     gap = F.col("line_no") - F.col("prev_no") > 1
@@ -267,13 +262,6 @@ def paragraphs(texts: DataFrame) -> DataFrame:
     return para.select("file_id", "para_no", F.array_join(F.transform("x", lambda y: y["out"]), " ").alias("text"))
 
 
-def _uncut(tok: Column, cut_at: Column) -> Column:
-    """The token of a cut word without the marks between its parts; cut_at counts from the first character after marks."""
-    lead = F.length(F.regexp_extract(tok, f"({EDGES.split('|')[0]})", 1))
-    a, b = F.substr(tok, F.lit(1), lead + cut_at), F.substr(tok, lead + cut_at + 1)
-    return F.concat(a, F.regexp_replace(b, rf"^[{CUT_MARKS}]+", ""))
-
-
 def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """file_id, para_no, text of scanned files."""
     return paragraphs(source_texts(spark, sf, "scanned"))
