@@ -4,6 +4,8 @@ All work is done in SQL expressions. A text is cut at blank lines; in each parag
 not end a sentence (in decimals, addresses, initials, abbreviations, brackets and quotations) are masked
 with private-use placeholders of the same length, the rest is split by terminator rules of the scripts,
 and positions come from the lengths of the pieces, so that the unit is the untouched text between them.
+Brackets and quotations may be of any length. Characters without ink are left out of the copy that is
+masked, and positions in it are led back to the text.
 
 Null texts give no rows, empty texts and texts of blanks neither. Repeated rows give equal units.
 """
@@ -20,14 +22,13 @@ from .common import field_texts
 # Kinds of blank, and characters without ink that may stand inside a word.
 BLANKS = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INKLESS = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
-MARK, MARK_STANDIN, DOT, STOP = "\ue0ff", "\ue0fe", "\ue000", "\ue001"
+MARK, MARK_STANDIN, DOT, STOP, OPENING = "\ue0ff", "\ue0fe", "\ue000", "\ue001", "\ue002"
 # Abbreviations of the languages in use that a dictionary may lack. They never end a sentence.
 EXTRA_ABBREVIATIONS = ("Mr.", "Ms.", "Jr.", "Nos.", "Figs.", "Eq.", "Ref.", "Ing.", "Mme.", "Mlle.", "Bd.", "Kap.", "Tab.", "Abb.", "bl.a.", "Tlf.", "им.", "стр.", "гл.", "тел.")
 # Words before a German or Danish day or rank number, and the months after one.
 BEFORE_RANK = "am|im|vom|zum|zur|den|dem|der|des|die|das|bis|nach|seit|ab|beim|det|kong|könig|kapitel"
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 MAX_DICTIONARY = 20_000
-SPAN = 400  # longest quotation or bracket that is seen as one
 
 
 def dictionary(abbreviations: DataFrame) -> list[str]:
@@ -46,9 +47,9 @@ def dictionary(abbreviations: DataFrame) -> list[str]:
     return sorted({r.abbr for r in rows} | set(EXTRA_ABBREVIATIONS))
 
 
-def _abbreviation_pattern(entries: list[str], z: str) -> str:
+def _abbreviation_pattern(entries: list[str]) -> str:
     """Regex of everything up to the last dot of any entry, as a tree of common beginnings; a blank may stand
-    before each dot. Its length is bounded, so that it can look behind."""
+    before each dot. Its length is bounded by the longest entry, so that it can look behind."""
     tree: dict = {}
     for e in entries:
         body = e[:-1] if e.endswith(".") else e
@@ -61,11 +62,11 @@ def _abbreviation_pattern(entries: list[str], z: str) -> str:
     def atom(ch: str) -> str:
         return r" ?[.\x{E000}]" if ch == "." else " ?" if ch == " " else ("\\" + ch if ch in r"\^$|?*+()[]{}" else ch)
 
-    def regex(node: dict, first: bool) -> str:
-        alts = ["" if ch == "" else ("" if first else z) + atom(ch) + regex(sub, False) for ch, sub in sorted(node.items(), reverse=True)]
+    def regex(node: dict) -> str:
+        alts = ["" if ch == "" else atom(ch) + regex(below) for ch, below in sorted(node.items(), reverse=True)]
         return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
 
-    return regex(tree, True)
+    return regex(tree)
 
 
 PLAIN_BLANKS = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}" + MARK + "]"
@@ -86,65 +87,74 @@ def plain(p: Column) -> Column:
     return let(m, lambda x: F.when(x.rlike(PLAIN_BLANKS), F.translate(x, BLANKS + MARK, " " * len(BLANKS) + MARK_STANDIN)).otherwise(x))
 
 
-def mask(p: Column, entries: list[str], invisible: bool) -> Column:
-    """A plain paragraph in which each mark that ends no sentence is a placeholder of the same length.
+def _within(c: Column, span: str, fn) -> Column:
+    """fn() of each stretch that a pattern matches, from left to right; what lies between stays."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"({span})"), 1), fn)
+    return F.array_join(F.zip_with(F.split(c, span), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
-    Every pattern starts with the mark itself and looks behind from there, so that a text costs by its marks.
+
+def mask(p: Column, entries: list[str]) -> Column:
+    """A plain paragraph without inkless characters in which each mark that ends no sentence is a placeholder of the same length.
+
+    Patterns for dots start with the mark itself and look behind from there, so that a text costs by its marks; those for
+    brackets and quotations take the stretch as a whole.
     """
-    z, zc = (INKLESS + "{0,3}", INKLESS[1:-1]) if invisible else ("", "")
-    no_word = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’{zc}])"
+    no_word = r"(?<![\p{L}\p{M}\p{Nd}'’])"
 
     def dots(m: Column) -> Column:
         # decimals, addresses, inner dots
-        m = _r(m, rf"\.(?<=[\p{{L}}\p{{M}}\p{{Nd}}]{z}\.)(?={z}[\p{{L}}\p{{Nd}}])", DOT)
-        # scripts in which the dot is an abbreviation mark only; the dictionary; initials; other single letters; rank numbers
+        m = _r(m, r"\.(?<=[\p{L}\p{M}\p{Nd}]\.)(?=[\p{L}\p{Nd}])", DOT)
+        # scripts in which the dot is an abbreviation mark only; the dictionary; other single letters; days before months
         behind = "|".join(
             (
-                rf"[\x{{900}}-\x{{963}}\x{{966}}-\x{{97F}}\x{{E00}}-\x{{E7F}}]{z}",
-                rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}{zc}])(?:{_abbreviation_pattern(entries, z)}){z}",
-                rf"{no_word}\p{{Lu}}\p{{M}}{{0,2}}{z}",
-                rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’%°\x{{E000}}{zc}])(?<![paт] ?[.\x{{E000}}] )(?!г)\p{{L}}{z}",
-                rf"(?<!\p{{L}})(?i:{BEFORE_RANK}) {{1,3}}[0-9]{{1,2}}",
+                r"[\x{900}-\x{963}\x{966}-\x{97F}\x{E00}-\x{E7F}]",
+                rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}.\x{{E000}}])(?:{_abbreviation_pattern(entries)})",
+                r"(?<![\p{L}\p{M}\p{Nd}'’%°\x{E000}])(?<![paт] ?[.\x{E000}] )(?!г)\p{L}",
                 rf"(?<![\p{{Nd}}.,\x{{E000}}])[0-9]{{1,2}}(?= ?\. *(?:{MONTHS})\b)",
             )
         )
-        return _r(m, rf"\.(?= *\S)(?<=(?:{behind}) ?\.)", DOT)
+        m = _r(m, rf"\.(?= *\S)(?<=(?:{behind}) ?\.)", DOT)
+        # initials with any number of accents; rank numbers after any number of blanks
+        m = _r(m, rf"({no_word}\p{{Lu}}\p{{M}}* ?)\.(?= *\S)", "$1" + DOT)
+        rank = lambda c: _r(c, rf"((?<!\p{{L}})(?i:{BEFORE_RANK}) +[0-9]{{1,2}} ?)\.(?= *\S)", "$1" + DOT)
+        return let(m, lambda x: F.when(x.rlike(r"[0-9] ?\."), rank(x)).otherwise(x))
 
     m = _where(p, ".", dots)
     m = _where(m, "=", lambda c: _r(c, r"[?!](?<=\S[?!])(?=[\p{L}\p{Nd}]+=)", STOP))
-    # inside brackets
-    m = _where(m, "(", lambda c: _r(c, rf"[.!?;。！？](?=[^()]{{1,{SPAN}}}\))(?! ?\))(?<=\([^()]{{0,{SPAN}}})", STOP))
-    m = _where(m, "（", lambda c: _r(c, rf"[.!?;。！？](?=[^（）]{{0,{SPAN}}}）)(?<=（[^（）]{{0,{SPAN}}})", STOP))
-    m = _where(m, "[", lambda c: _r(c, rf"[.!?;。！？](?=[^\[\]]{{1,{SPAN}}}\])(?! ?\])(?<=\[[^\[\]]{{0,{SPAN}}})", STOP))
+    # inside brackets: all but the last mark
+    m = _where(m, "(", lambda c: _within(c, r"\([^()]*\)", lambda x: _r(x, r"[.!?;。！？](?! ?\))", STOP)))
+    m = _where(m, "（", lambda c: _within(c, r"（[^（）]*）", lambda x: _r(x, r"[.!?;。！？]", STOP)))
+    m = _where(m, "[", lambda c: _within(c, r"\[[^\[\]]*\]", lambda x: _r(x, r"[.!?;。！？](?! ?\])", STOP)))
     # inside quotations: all but the last mark; an opening mark doesn't follow a word or mark directly
     pre = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArabic}\p{IsDevanagari}\p{Nd}.,!?؟।;…\x{E001}])"
     for o, c in (("“", "”"), ("„", "“”"), ("«", "»"), ("»(?! )", "«"), ("‘", "’"), ("「", "」"), ("『", "』"), ("‹", "›")):
-        n = f"{o[0]}{c}"
-        pat = rf"[.!?;…。！？؟।](?=[^{n}]{{1,{SPAN}}}[{c}])(?! ?[.!?…。！？]*{z} ?[{c}])(?<={pre}{o}[^{n}]{{0,{SPAN}}})"
-        m = _where(m, o[0], lambda x, pat=pat: _r(x, pat, STOP))
-    m = _where(m, '"', lambda c: _r(c, rf"[.!?…](?=[^\"]{{1,{SPAN}}}\")(?! ?\")(?<=(?:^| |:|\()\"[^\"]{{0,{SPAN}}})", STOP))
+        inner = rf"[.!?;…。！？؟।](?! ?[.!?…。！？]* ?[{c}])"
+        m = _where(m, o[0], lambda x, o=o, c=c, inner=inner: _within(x, rf"{pre}{o}[^{o[0]}{c}]*[{c}]", lambda y: _r(y, inner, STOP)))
+    m = _where(m, '"', lambda c: _within(c, r"(?<=^|[ :(])\"[^\"]*\"", lambda x: _r(x, r"[.!?…](?! ?\")", STOP)))
     # the last mark in a quotation that opens a unit and is followed by caseless reporting words
-    opened = r"(?:^|[.!?…。！？؟।”」』»][ ”」』»]{0,3}) {0,9}"
     for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("‘", "’")):
-        pat = rf"[.!?…。！？؟।](?= ?{c} *[\p{{Lo}}\p{{M}}])(?<={opened}{o}[^{o}{c}]{{0,{SPAN}}})"
-        m = _where(m, o, lambda x, pat=pat: _r(x, pat, STOP))
-    return _where(m, "」", lambda c: _r(c, r"[.!?…。！？](?=[」』] *(?:と|って|という|など))", STOP))
+        opens = rf"((?:^|(?<=[.!?…。！？؟।”」』»]))[ ”」』»]*){o}"
+        reported = lambda x, o=o, c=c: _within(x, rf"{OPENING}[^{o}{c}{OPENING}]*{c}(?= *[\p{{Lo}}\p{{M}}])", lambda y: _r(y, rf"[.!?…。！？؟।](?= ?{c}\z)", STOP))
+        m = _where(m, o, lambda x, o=o, opens=opens, reported=reported: F.translate(reported(_r(x, opens, "$1" + OPENING)), OPENING, o))
+    return _where(m, "」", lambda c: _r(c, r"[.!?…。！？؟।](?=[」』] *(?:と|って|という|など))", STOP))
 
 
 def mark(m: Column) -> Column:
     """The boundary mark put after each unit of a masked paragraph."""
     closers = r"(?:«(?![\p{L}\p{Nd}])| ?[»”’“›\"')\]」』）]+(?![\p{L}\p{Nd}]))*"
-    z = f"{INKLESS}*"
-    start = r"(?:»(?=[\p{L}\p{Nd}¿¡])|[^\p{Ll}\s,;:.!?…—–\-»”)\]\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}])"
+    start = r"(?:»(?=[\p{L}\p{Nd}¿¡])|[^\p{Ll}\s,;:.!?…—–\-»”)\]])"
+    # the question mark of Greek is put as another one
+    greek = lambda c: _r(c, r"(\p{IsGreek}\p{M}* ?)[;\x{37E}]", "$1؟")
+    m = let(m, lambda x: F.when(x.rlike(r"\p{IsGreek}\p{M}* ?[;\x{37E}]"), greek(x)).otherwise(x))
     # scripts with blanks between words: the next character must not go on in lower case or with a mark
-    m = _r(m, rf"((?:[.!?…؟।]|[;;](?<=\p{{IsGreek}}\p{{M}}{{0,2}} ?{INKLESS}{{0,3}}[;;]))(?: ?[.!?…؟])*{z}{closers}{z})(?= +{z}{start})", "$1" + MARK)
-    m = _where(m, "।", lambda c: _r(c, rf"([।]{z})(?=[^\s”’»\"'])", "$1" + MARK))
+    m = _r(m, rf"([.!?…؟।](?: ?[.!?…؟])*{closers})(?= +{start})", "$1" + MARK)
+    m = _where(m, "।", lambda c: _r(c, r"(।)(?=[^\s”’»\"'])", "$1" + MARK))
     # scripts without blanks
     cjk = lambda c: _r(c, r"([。！？｡][。！？｡!?]*(?: ?[”’」』）»]+)*)(?=[^”’」』）»。！？｡\s]|\s+[^\s”」』）])", "$1" + MARK)
     m = let(m, lambda x: F.when(x.rlike("[。！？｡]"), cjk(x)).otherwise(x))
     # Thai: a blank between two Thai words
-    thai = lambda c: _r(c, rf"( +{z})(?=[ก-๛])(?<=[ก-๛]{INKLESS}{{0,3}} {{1,20}}{INKLESS}{{0,3}})", MARK + "$1")
-    return let(m, lambda x: F.when(x.rlike("[ก-๛]"), thai(x)).otherwise(x))
+    thai = lambda c: _r(c, r"(?<=[ก-๛])( +)(?=[ก-๛])", MARK + "$1")
+    return let(m, lambda x: F.when(x.rlike("[ก-๛] +[ก-๛]"), thai(x)).otherwise(x))
 
 
 def _starts(lens: Column) -> Column:
@@ -152,27 +162,47 @@ def _starts(lens: Column) -> Column:
     return F.aggregate(lens, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def _pieces(text: Column) -> Column:
-    """Array of (piece, offset) of a text that holds boundary marks."""
-    parts = F.split(text, MARK)
+def _with_offsets(parts: Column) -> Column:
+    """Array of struct(piece, off) of the pieces of a text."""
     return F.arrays_zip(parts.alias("piece"), F.slice(_starts(F.transform(parts, lambda x: F.length(x))), 1, F.size(parts)).alias("off"))
 
 
+def _spans(marked: Column) -> Column:
+    """Array of struct(a, z): where the units of a marked paragraph begin and end, blanks at their ends left out."""
+    units = let(F.split(marked, MARK), _with_offsets)
+    lead = lambda x: F.length(x["piece"]) - F.length(F.ltrim(x["piece"]))
+    spans = F.transform(units, lambda x: F.struct((x["off"] + lead(x)).alias("a"), (x["off"] + lead(x) + F.length(F.trim(x["piece"]))).alias("z")))
+    return F.filter(spans, lambda x: x["a"] < x["z"])
+
+
+def _led_back(spans: Column, p: Column) -> Column:
+    """Spans in a paragraph without its inkless characters as spans in the paragraph. Such characters belong to the unit
+    that they touch, between two units to the later one."""
+    chars = F.transform(F.split(p, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    seen = F.filter(chars, lambda x: (x["c"] != "") & ~x["c"].rlike(INKLESS))
+
+    def back(x: Column, s: Column) -> Column:
+        before, at = F.try_element_at(s, x["a"]), F.try_element_at(s, x["z"] + 1)
+        begin = F.when(x["a"] == 0, 0).otherwise(before["i"] + 1)
+        end = F.when(at.isNull(), F.length(p)).when(at["c"] == " ", at["i"]).otherwise(F.try_element_at(s, x["z"])["i"] + 1)
+        return F.struct(begin.alias("a"), end.alias("z"))
+
+    return let(seen, lambda s: F.transform(spans, lambda x: back(x, s)))
+
+
 def sentence_units(texts: DataFrame, entries: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """text plus the columns to keep -> those columns, start_pos, end_pos, unit: one row per sentence unit."""
     cols = [F.col(c) for c in keep]
     t = texts.filter("text IS NOT NULL AND text <> ''")
-    clean = F.replace("text", F.lit(MARK), F.lit(MARK_STANDIN))
-    paras = F.regexp_replace(clean, F.lit(r"(?=\n[ \t\r\x{A0}\x{3000}]*\n)"), F.lit(MARK))
-    t = t.select(*cols, F.posexplode(_pieces(paras)).alias("para_no", "x")).select(*cols, "para_no", F.col("x.piece").alias("para"), F.col("x.off").alias("para_off"))
+    paras = F.split("text", r"(?=\n[ \t\r\x{A0}\x{3000}]*\n)")
+    t = t.select(*cols, F.explode(_with_offsets(paras)).alias("x")).select(*cols, F.col("x.piece").alias("para"), F.col("x.off").alias("para_off"))
     t = t.select(*cols, "para_off", "para", plain(F.col("para")).alias("p"))
-    masked = F.when(F.col("p").rlike(INKLESS), mask(F.col("p"), entries, True)).otherwise(mask(F.col("p"), entries, False))
-    t = t.select(*cols, "para_off", "para", masked.alias("k")).select(*cols, "para_off", "para", mark(F.col("k")).alias("m"))
-    t = t.select(*cols, "para_off", "para", F.explode(_pieces(F.col("m"))).alias("x"))
-    t = t.select(*cols, "para", "para_off", F.col("x.piece").alias("piece"), F.col("x.off").alias("off"))
-    lead = F.length("piece") - F.length(F.ltrim("piece"))
-    t = t.select(*cols, "para", "para_off", (F.col("off") + lead).alias("a"), F.length(F.trim("piece")).alias("n")).filter("n > 0")
-    return t.select(*cols, (F.col("para_off") + F.col("a")).cast("bigint").alias("start_pos"), (F.col("para_off") + F.col("a") + F.col("n")).cast("bigint").alias("end_pos"), F.replace(F.expr("substring(para, a + 1, n)"), F.lit(MARK_STANDIN), F.lit(MARK)).alias("unit"))
+    hidden = F.col("p").rlike(INKLESS)
+    t = t.select(*cols, "para_off", "para", "p", hidden.alias("hidden"), F.when(hidden, F.regexp_replace("p", INKLESS, "")).otherwise(F.col("p")).alias("v"))
+    t = t.select(*cols, "para_off", "para", "p", "hidden", mask(F.col("v"), entries).alias("k")).select(*cols, "para_off", "para", "p", "hidden", mark(F.col("k")).alias("m"))
+    spans = let(_spans(F.col("m")), lambda x: F.when(F.col("hidden"), _led_back(x, F.col("p"))).otherwise(x))
+    t = t.select(*cols, "para_off", "para", F.inline(spans))
+    return t.select(*cols, (F.col("para_off") + F.col("a")).cast("bigint").alias("start_pos"), (F.col("para_off") + F.col("z")).cast("bigint").alias("end_pos"), F.expr("substring(para, a + 1, z - a)").alias("unit"))
 
 
 def p4_units(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,3 +55,32 @@ def test_long_text(spark):
 
 def test_dictionary_of_nothing(spark):
     assert L.dictionary(spark.createDataFrame([], "abbr string, expect_cap boolean, lang string")) == sorted(L.EXTRA_ABBREVIATIONS)
+
+
+def cut_up(spark, text):
+    df = spark.createDataFrame([(1, text)], "id bigint, text string")
+    rows = L.sentence_units(df, ["Dr."], ("id",)).orderBy("start_pos").collect()
+    assert all(r.unit == text[r.start_pos : r.end_pos] for r in rows)
+    return [r.unit for r in rows]
+
+
+def test_quotation_and_bracket_of_any_length(spark):
+    said = "One more thing happened then. " * 400
+    for o, c in ("“”", "«»", "()", "「」", '""'):
+        text = f"Start here. He said: {o}{said}End{c} and left. Last one."
+        assert cut_up(spark, text) == ["Start here.", f"He said: {o}{said}End{c} and left.", "Last one."]
+
+
+def test_any_number_of_blanks_and_inkless_characters(spark):
+    z = "​"
+    for n in (1, 4, 9):
+        assert cut_up(spark, f"He met Dr{z * n}. Brown.{z * n} Then{z * n} he left.") == [f"He met Dr{z * n}. Brown.{z * n}", f"Then{z * n} he left."]
+    blanks = " " * 40
+    assert cut_up(spark, f"Er kam am{blanks}3. Mai.{blanks}Dann ging er.") == [f"Er kam am{blanks}3. Mai.", "Dann ging er."]
+    assert cut_up(spark, f"สวัสดีครับ{blanks}ผมมาแล้ว") == ["สวัสดีครับ", "ผมมาแล้ว"]
+    assert cut_up(spark, "Ẹ̤́̂. Brown came. He left.") == ["Ẹ̤́̂. Brown came.", "He left."]
+
+
+def test_private_use_characters_stay(spark):
+    text = "One \ue0fe here\ue0ff. Two \ue000\ue001. \ue002Three."
+    assert cut_up(spark, text) == ["One \ue0fe here\ue0ff.", "Two \ue000\ue001.", "\ue002Three."]
