@@ -1,22 +1,21 @@
 """Problem 8: statistics of a text's quality, and from them prose, list, table or junk.
 
-Statistics are SQL expressions. For each language a mergeable KLL sketch of every statistic is built
-over all documents; the sketch gives medians and quartiles, by which values become robust z-scores and
-percentiles. The shape of a document's lines tells which kind it is, however many of its kind a language
-holds; only signs that depend on the language, few common words and few distinct words in a very long
-text, ask for the tail of a statistic or for a reference in which prose does have common words.
-
-A null or empty text has null statistics and no kind. Ties and repeated rows count as often as they come.
+The common words of each language are counted over all documents: those that half of its documents hold. Statistics
+are SQL expressions. For each language a mergeable KLL sketch of every statistic is built over all documents; the sketch
+gives the median and the spread on the side of prose, by which values become robust z-scores, and percentiles. What a
+document is follows from the tails that it is in: rows of numbers make a table, items a list, and symbols, letter
+sequences, words that nobody else uses or one word over and over junk. A language of few documents is judged by the
+sketch of all.
+
+A null or empty text has a row with null statistics and no kind. Ties and repeated rows count as often as they come.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, table
+from ..session import stored, table
 from .common import spread
 
 # Function words of the languages in use; for scripts without blanks, function characters.
@@ -31,10 +30,20 @@ COMMON_WORDS = (
 )
 CJK_COMMON = "的是在和了有不一之其所以于与及或该中上为被而且对可の はがをにでとしたれるものすてい"
 STATS = ("mean_word_len", "symbol_ratio", "punct_line_ratio", "common_ratio", "numeric_ratio", "unique_ratio")
+# Statistics by which kinds are told, and the least spread of each: differences below it say nothing, be a
+# language ever so uniform.
+SPREADS = {
+    "row_ratio": 0.17, "numeric_ratio": 0.11, "item_ratio": 0.17, "item_share": 0.14, "symbol_ratio": 0.07, "sequence_ratio": 0.085, "long_token_ratio": 0.14,
+    "punct_line_ratio": 0.07, "common_log": 0.55, "variety_log": 0.6, "mean_word_len": 1.0, "common_ratio": 0.01, "unique_ratio": 0.01,
+}
+LOW_TAIL = ("punct_line_ratio", "common_log", "variety_log", "common_ratio", "unique_ratio")  # prose is on the high side of these
 Z_TAIL = 3.5
+RUNNING = r"(?s)(?:\p{Ll}{2}[.!?]\s+\p{Lu}|[。！？]\S).*(?:\p{Ll}{2}[.!?]\s+\p{Lu}|[。！？]\S)"  # two sentence ends inside: no item of a list
+LONG_TOKEN = r"[\x21-\x7E]{30}"
 GRID = 200  # quantiles kept of each sketch
 LEAST_GROUP = 50  # documents of a language below which all languages are the reference
-KNOWN = 0.1  # share of common words that the best tenth of a reference reaches if its common words are listed
+COMMON_SHARE = 0.5  # share of a language's documents that hold a common word
+MAX_COMMON = 50_000  # common words of all languages; by their definition at most twice the mean number of words of a document, a language
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -50,10 +59,29 @@ def _matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of df plus the statistics of a text column."""
+def _tokens(t: Column) -> Column:
+    """Array of what stands between blanks."""
+    for blank in ("\n", "\t", "\r", "\f"):
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(t, " "), "")
+
+
+def common_words(df: DataFrame) -> list[str]:
+    """Words that at least COMMON_SHARE of the documents of their language hold, by counts over all documents(text, language)."""
+    n = df.groupBy("language").agg(F.count("*").alias("docs"))
+    words = F.array_distinct(_tokens(F.lower(F.col("text"))))
+    w = df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+    # one row per language
+    rows = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= COMMON_SHARE * F.col("docs")).filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
+    if len(rows) > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
+    return sorted(r.word for r in rows)
+
+
+def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None = None) -> DataFrame:
+    """The columns of df plus the statistics of a text column. Common words are those given, else the listed ones."""
     t = F.col(text)
-    words = [w for w in dict.fromkeys(COMMON_WORDS.split())]
+    words = common if common is not None else list(dict.fromkeys(COMMON_WORDS.split()))
     c = F.col
     gone = t
     for blank in (" ", "\n", "\t", "\r", "\f", "\u00a0", "\u3000"):
@@ -62,35 +90,37 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     base = df.withColumns(
         {
             "_ink": F.length(gone),
-            "_tokens": F.split(F.btrim(t, F.lit(" \n\t\r\f")), r"\s+"),
+            "_tokens": _tokens(t),
             "_low": F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1),
-            "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
-            "_items": F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != ""),
+            "_lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""),
         }
     )
-    # texts of two bytes a character at most hold too few ideographs to be mostly such
-    cjk = F.when(F.octet_length(t) > 1.9 * F.length(t), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0))
-    base = base.withColumns({"_cjk": cjk, "_letters": F.length(F.array_join("_low", "")), "_distinct": F.array_distinct("_low")})
+    base = base.withColumns({"_letters": F.length(F.array_join("_low", "")), "_distinct": F.array_distinct("_low"), "_items": F.when(t.contains(";"), F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != "")).otherwise(c("_lines"))})
+    # an ideograph takes two bytes more than a character: texts with fewer such bytes than letters can't be mostly ideographs
+    cjk = F.when(F.octet_length(t) - F.length(t) > c("_letters"), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0))
+    base = base.withColumn("_cjk", cjk)
     mostly_cjk = c("_cjk") * 2 > c("_letters")
     n_low, n_words = F.size("_low"), F.size("_tokens")
-    common_words = F.size(F.filter("_low", lambda w: w.isin(words)))
+    n_common = F.size(F.filter("_low", lambda w: w.isin(words))) if words else F.lit(0)
     # cells: words and what delimiters part inside of them, without delimiters that stand alone
-    cells = F.size(F.filter("_tokens", lambda x: ~x.isin("|", ";", ","))) + _matches(t, r"[,;|]+(?=[^\s,;|])")
-    numeric = _matches(t, r"(?=[-0-9n])(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])(?<=(?:^|[\s,;|])[-+]?(?:[0-9.]{1,20}|-|n/a))")
-    # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
-    known = F.length(t) - F.length(F.regexp_replace(t, F.lit(r"[-.,;:!?'\"()0123456789]+"), F.lit("")))
-    known = known + F.when(F.octet_length(t) > F.length(t), _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0))
-    symbols = F.greatest(c("_ink") - c("_letters") - known, F.lit(0))
+    alone = c("_tokens")
+    for delimiter in "|;,":
+        alone = F.array_remove(alone, delimiter)
+    cells = F.size(alone) + _matches(t, r"[,;|]+(?=[^\s,;|])")
+    # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
+    numeric = _matches(t, r"(?=[-+0-9n])(?<![^\s,;|])[-+]?(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])")
+    symbols = _kept(t, r"[a-zA-Z \n\t\r\f\-.,;:!?'\"()0-9\p{L}\p{M}\x{A0}\x{3000}\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+")
     # lines of tables and lists don't end like sentences; that is looked at first
     open_end = lambda x: ~F.right(F.rtrim(x), F.lit(1)).isin(*".!?。！？:")
-    item = F.filter("_items", lambda x: open_end(x) & x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S.{0,110}\z") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}"))
-    row = F.size(F.filter("_lines", lambda x: open_end(x) & x.rlike(r"\A[^\t;,|]{0,40}?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S{1,4}|))+\s*\z")))
+    item = F.filter("_items", lambda x: open_end(x) & x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}") & ~x.rlike(RUNNING))
+    # a row: cells of numbers and codes only, after the name that it begins with
+    row = F.size(F.filter("_lines", lambda x: open_end(x) & x.rlike(r"\A[^\t;,|]*?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S+|))+\s*\z")))
     stops, quotes = ".!?。！？:;…", "\"'»”’)」"
     last, last_but = lambda x: F.right(F.rtrim(x), F.lit(1)), lambda x: F.left(F.right(F.rtrim(x), F.lit(2)), F.lit(1))
     ended = F.size(F.filter("_lines", lambda x: last(x).isin(*stops) | (last(x).isin(*quotes) & last_but(x).isin(*stops))))
-    long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[\x21-\x7E]{30}")), ""))
+    long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN)), ""))
     sequence = F.length(F.array_join(F.filter("_distinct", lambda w: (F.octet_length(w) >= 6) & w.rlike(r"\A[acgtun]{6,}\z")), ""))
-    return base.withColumns(
+    base = base.withColumns(
         {
             "n_chars": F.length(t).cast("bigint"),
             "word_count": n_words.cast("bigint"),
@@ -98,7 +128,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "mean_word_len": _share(c("_ink"), n_words),
             "symbol_ratio": _share(symbols, c("_ink")),
             "punct_line_ratio": _share(ended, F.size("_lines")),
-            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(common_words, n_low)),
+            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(n_common, n_low)),
             "numeric_ratio": _share(numeric, cells),
             "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size("_distinct"), n_low)),
             "item_ratio": _share(F.size(item), F.size("_items")),
@@ -106,8 +136,11 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "row_ratio": _share(row, F.size("_lines")),
             "sequence_ratio": _share(sequence, c("_letters")),
             "long_token_ratio": _share(long_tokens, c("_ink")),
+            # distinct words grow with the root of the length; nothing is known of that where words aren't parted
+            "variety_log": F.when(~mostly_cjk & (n_low > 0), F.log(F.size("_distinct") / F.sqrt(n_low))),
         }
     ).drop("_ink", "_letters", "_cjk", "_tokens", "_low", "_distinct", "_lines", "_items")
+    return base.withColumn("common_log", F.log(c("common_ratio") + 0.01))
 
 
 def language(lang: Column) -> Column:
@@ -120,12 +153,14 @@ def sketches(stats: DataFrame) -> DataFrame:
     """Per language one KLL sketch of each statistic, its quantiles in an even grid (q_), and those of the reference (r_):
     of the language, or of all documents where it has few. Sketches merge, so partial aggregation happens before the
     shuffle, whatever the size of a language."""
-    k = stats.rollup("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in STATS])
+    k = stats.rollup("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in SPREADS])
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    k = k.select("language", "n", *[F.kll_sketch_get_quantile_double(f"sk_{s}", grid).alias(f"q_{s}") for s in STATS])
-    whole = k.filter("language IS NULL").select(*[F.col(f"q_{s}").alias(f"a_{s}") for s in STATS])
+    n_of = lambda s: F.kll_sketch_get_n_double(f"sk_{s}")
+    k = k.select("language", "n", *[F.when(n_of(s) > 0, F.kll_sketch_get_quantile_double(f"sk_{s}", grid)).alias(f"q_{s}") for s in SPREADS])
+    whole = k.filter("language IS NULL").select(*[F.col(f"q_{s}").alias(f"a_{s}") for s in SPREADS])
     few = F.col("n") < LEAST_GROUP
-    return k.filter("language IS NOT NULL").crossJoin(whole).select("language", *[f"q_{s}" for s in STATS], *[F.when(few, F.col(f"a_{s}")).otherwise(F.col(f"q_{s}")).alias(f"r_{s}") for s in STATS])
+    # one row of quantiles beside one row per language
+    return k.filter("language IS NOT NULL").join(F.broadcast(whole), F.lit(True)).select("language", *[f"q_{s}" for s in SPREADS], *[F.coalesce(F.when(few, F.col(f"a_{s}")), F.col(f"q_{s}"), F.col(f"a_{s}")).alias(f"r_{s}") for s in SPREADS])
 
 
 def _at_most(value: Column):
@@ -139,50 +174,35 @@ def _quantile(s: str, p: float) -> Column:
 def _spread(s: str) -> Column:
     """Standard deviation by the half on the side of prose, which other kinds don't widen."""
     low, high = _quantile(s, 0.5) - _quantile(s, 0.25), _quantile(s, 0.75) - _quantile(s, 0.5)
-    half = low if s in ("symbol_ratio", "numeric_ratio") else F.least(low, high) if s == "mean_word_len" else high
-    return F.greatest(half * 2 / 1.349, F.lit(0.01))
+    half = F.least(low, high) if s == "mean_word_len" else high if s in LOW_TAIL else low
+    return F.greatest(half * 2 / 1.349, F.lit(SPREADS[s]))
 
 
 def graded(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) -> statistics, robust z-scores, percentiles and kind."""
-    base = spread(documents.select("doc_id", "text", "lang").filter("text IS NOT NULL AND text <> ''"))
-    st = text_statistics(base).withColumn("language", language(F.col("lang"))).drop("text", "lang")
-    st = materialise(st)  # small rows; the texts are read once
+    d = documents.select("doc_id", "text", language(F.col("lang")).alias("language"))
+    base = spread(d.filter("text IS NOT NULL AND text <> ''"))
+    st = stored(text_statistics(base, common=common_words(base)).drop("text"))  # small rows; the texts are read twice
     # one row per language, a bounded set of codes, goes to each task
     st = st.join(F.broadcast(sketches(st)), "language")
-    z = {}
-    for s in STATS:
-        z[f"z_{s}"] = (F.col(s) - _quantile(s, 0.5)) / _spread(s)
-        z[f"pct_{s}"] = F.size(F.filter(f"q_{s}", _at_most(F.col(s)))) / F.lit(GRID + 1.0)
-    st = st.withColumns(z)
-    tails = [
-        F.col("z_common_ratio") < -Z_TAIL,
-        F.col("z_numeric_ratio") > Z_TAIL,
-        F.col("z_symbol_ratio") > 2 * Z_TAIL,
-        F.col("z_punct_line_ratio") < -Z_TAIL,
-        F.col("z_unique_ratio") < -Z_TAIL,
-        F.abs("z_mean_word_len") > 2 * Z_TAIL,
-        F.col("pct_common_ratio") <= 0.04,
-        F.col("pct_unique_ratio") <= 0.02,
-    ]
-    st = st.withColumn("in_tail", reduce(lambda a, b: a | b, tails))
-    return st.withColumn("kind", kind())
+    z = {f"z_{s}": (F.col(s) - _quantile(s, 0.5)) / _spread(s) for s in SPREADS}
+    pct = {f"pct_{s}": F.size(F.filter(f"q_{s}", _at_most(F.col(s)))) / F.lit(GRID + 1.0) for s in STATS}
+    st = st.withColumns(z | pct)
+    tail = [F.col(f"z_{s}") <= -Z_TAIL if s in LOW_TAIL else F.col(f"z_{s}") >= Z_TAIL for s in SPREADS]
+    st = st.withColumn("in_tail", F.exists(F.array(*[F.coalesce(x, F.lit(False)) for x in tail]), lambda x: x)).withColumn("kind", kind())
+    st = st.drop(*[f"{x}_{s}" for s in SPREADS for x in "qr"])
+    none = d.filter("text IS NULL OR text = ''").select("doc_id", "language")
+    return st.unionByName(none, allowMissingColumns=True)
 
 
 def kind() -> Column:
-    """What a document is, by the shape of its lines."""
-    c = F.col
-    table_ = (c("row_ratio") >= 0.6) & (c("numeric_ratio") >= 0.45)
-    list_ = (c("item_ratio") >= 0.6) & (c("item_share") >= 0.5) & (c("symbol_ratio") < 0.25) & (c("sequence_ratio") < 0.3)
-    # prose of n words has some multiple of sqrt(n) distinct ones, in any language
-    repeats = c("unique_ratio") * c("unique_ratio") * c("word_count") < 16
-    junk = (
-        (c("long_token_ratio") >= 0.5)
-        | (c("sequence_ratio") >= 0.3)
-        | (c("symbol_ratio") >= 0.25)
-        | ((c("common_ratio") < 0.03) & (c("word_count") >= 5) & (c("punct_line_ratio") < 0.5) & (c("in_tail") | (_quantile("common_ratio", 0.9) >= KNOWN)))
-        | ((c("unique_ratio") < 0.04) & (c("word_count") >= 20) & (c("in_tail") | repeats))
-    )
+    """What a document is, by the tails that it is in."""
+    high = lambda s: F.coalesce(F.col(f"z_{s}") >= Z_TAIL, F.lit(False))
+    low = lambda s: F.coalesce(F.col(f"z_{s}") <= -Z_TAIL, F.lit(False))
+    table_ = high("row_ratio") & high("numeric_ratio")
+    list_ = high("item_ratio") & high("item_share") & ~high("symbol_ratio") & ~high("sequence_ratio")
+    some = lambda n: F.col("word_count") >= n
+    junk = high("long_token_ratio") | high("sequence_ratio") | high("symbol_ratio") | (low("common_log") & some(5) & low("punct_line_ratio")) | (low("variety_log") & some(20))
     return F.when(table_, "table").when(list_, "list").when(junk, "junk").otherwise("prose")
 
 

@@ -37,12 +37,53 @@ def test_statistics(spark):
     assert r.mean_word_len == 23 / 6 and r.punct_line_ratio == 0.5 and r.symbol_ratio == 1 / 23
 
 
+def own_words(k, n):
+    """n words that no other document holds."""
+    letters = lambda x: "".join(chr(97 + int(d)) for d in str(x))
+    return " ".join(f"z{letters(k)}y{letters(j)}" for j in range(n))
+
+
 def test_percentiles_follow_the_exact_rank(spark):
-    rows = [(i, "the " * i + "zebra " * (100 - i), "en") for i in range(1, 100)]
+    rows = [(i, "the " * i + own_words(i, 100 - i), "en") for i in range(1, 100)]
     g = L.graded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).select("doc_id", "pct_common_ratio").collect()
     assert all(abs(r.pct_common_ratio - r.doc_id / 99) < 0.05 for r in g)
 
 
+def test_common_words_are_those_of_half_the_documents(spark):
+    rows = [(i, ("La ruota gira. " if i % 3 else "Ruota e vento. ") + own_words(i, 3), "it") for i in range(10)]
+    assert L.common_words(spark.createDataFrame(rows, "doc_id bigint, text string, language string")) == ["la", "ruota"]
+
+
+def test_mixed_scripts_count_ideographs(spark):
+    # twelve ideographs among blanks and digits, the only letters: two bytes a character at most on the whole
+    t = "的是在和了有不一之其所以 1234567890 12345678 "
+    r = L.text_statistics(spark.createDataFrame([(t * 40,)], "text string")).first()
+    assert r.common_ratio == 1.0 and r.unique_ratio == 0.5 and r.variety_log is None
+
+
+def test_kinds_hang_on_the_sketches(spark):
+    """In a language whose prose is full of numbered lines, a document with as many is no list; alone it is one."""
+    numbered = lambda k, n: "\n".join([f"{j} the pump {own_words(k, 2)} of it" for j in range(n)] + ["It is the end of the story."] * (10 - n))
+    usual = [(k, numbered(k, 5 + k % 3), "xx") for k in range(120)]
+    plain = [(1000 + k, PROSE + f" Number {k}.", "en") for k in range(120)]
+    of = lambda rows: {r.doc_id: r.kind for r in L.graded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).filter("doc_id = 900").collect()}
+    assert of([*usual, *plain, (900, numbered(900, 8), "xx")]) == {900: "prose"}
+    assert of([*plain, (900, numbered(900, 8), "en")]) == {900: "list"}
+
+
+def test_null_and_empty_texts_keep_their_rows(spark):
+    rows, _ = corpus()
+    g = L.graded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert [(r.doc_id, r.word_count, r.kind) for r in g.filter("doc_id IN (300, 301)").orderBy("doc_id").collect()] == [(300, None, None), (301, None, None)]
+
+
+def test_long_items_are_items(spark):
+    long = "\n".join(f"({k}) " + f"a wheel {own_words(k, 60)}" for k in range(12))
+    rows = [(k, PROSE, "en") for k in range(60)] + [(900, long, "en")]
+    g = L.graded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {r.doc_id: r.kind for r in g.filter("kind <> 'prose'").collect()} == {900: "list"}
+
+
 def test_empty_table(spark):
     assert L.graded(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 
