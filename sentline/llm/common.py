@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Cut a scan of few files into as many partitions as there are cores, before work that costs far more
-    than moving the rows. A scan that already has as many stays as it is."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+from ..session import spread, table
 
 
 def source_texts(spark: SparkSession, sf: str, *intakes: str) -> DataFrame:
@@ -43,3 +38,9 @@ def text_hash(c: Column | str) -> Column:
     """128 bits of a text as a string: equality of texts without carrying them through a shuffle."""
     c = F.col(c) if isinstance(c, str) else c
     return F.md5(c.cast("binary"))
+
+
+def within(c: Column, span: str, fn: Callable[[Column], Column]) -> Column:
+    """fn() of each stretch that a pattern without groups matches, from left to right; what lies between stays."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"({span})"), 1), fn)
+    return F.array_join(F.zip_with(F.split(c, span), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")

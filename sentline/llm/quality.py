@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import stored, table
 from .common import spread
 
@@ -28,7 +29,7 @@ COMMON_WORDS = (
     "и в не на с что по как это к из у за от о для же бы до при или так его где а то при которой "
     "ο η το και να του της με που από για στο στη τα των"
 )
-CJK_COMMON = "的是在和了有不一之其所以于与及或该中上为被而且对可の はがをにでとしたれるものすてい"
+CJK_COMMON = "的是在和了有不一之其所以于与及或该中上为被而且对可のはがをにでとしたれるものすてい"
 STATS = ("mean_word_len", "symbol_ratio", "punct_line_ratio", "common_ratio", "numeric_ratio", "unique_ratio")
 # Statistics by which kinds are told, and the least spread of each: differences below it say nothing, be a
 # language ever so uniform.
@@ -66,13 +67,13 @@ def _tokens(t: Column) -> Column:
     return F.array_remove(F.split(t, " "), "")
 
 
-def common_words(df: DataFrame) -> list[str]:
-    """Words that at least COMMON_SHARE of the documents of their language hold, by counts over all documents(text, language)."""
+def common_words(df: DataFrame, share: float = COMMON_SHARE) -> list[str]:
+    """Words that at least a share of the documents of their language hold, by counts over all documents(text, language)."""
     n = df.groupBy("language").agg(F.count("*").alias("docs"))
     words = F.array_distinct(_tokens(F.lower(F.col("text"))))
     w = df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
     # one row per language
-    rows = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= COMMON_SHARE * F.col("docs")).filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
+    rows = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= share * F.col("docs")).filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
     return sorted(r.word for r in rows)
@@ -83,63 +84,75 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
     t = F.col(text)
     words = common if common is not None else list(dict.fromkeys(COMMON_WORDS.split()))
     c = F.col
-    gone = t
-    for blank in (" ", "\n", "\t", "\r", "\f", "\u00a0", "\u3000"):
-        gone = F.replace(gone, F.lit(blank), F.lit(""))
-    # first the parts that several statistics share, each made once; whole texts are scanned as seldom as can be
+    # Parts that several statistics share are made once, and lists of words and lines are bound inside the expression:
+    # as columns they would be copied from step to step. Whole texts are scanned as seldom as can be.
+    wide = F.octet_length(t) > F.length(t)  # characters outside ASCII are looked for only where there are any
+    lone = lambda x: (F.octet_length(x) == 1) & x.isin("|", ";", ",")
+    joined = lambda xs: F.length(F.array_join(xs, ""))
+
+    def of_tokens(ts: Column) -> Column:
+        long = F.filter(ts, lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN))
+        return F.struct(F.size(ts).alias("n"), joined(ts).alias("ink"), F.size(F.filter(ts, lone)).alias("lone"), joined(long).alias("long"))
+
+    def of_words(ws: Column) -> Column:
+        sequence = lambda ds: joined(F.filter(ds, lambda w: (F.octet_length(w) >= 6) & w.rlike(r"\A[acgtun]{6,}\z")))
+        known = F.size(F.filter(ws, lambda w: w.isin(words))) if words else F.lit(0)
+        return let(F.array_distinct(ws), lambda ds: F.struct(F.size(ws).alias("n"), joined(ws).alias("letters"), known.alias("common"), F.size(ds).alias("distinct"), sequence(ds).alias("sequence")))
+
+    # lines of tables and lists don't end like sentences; how a line ends is looked at once
+    stops, quotes, closed = ".!?。！？:;…", "\"'»”’)」", ".!?。！？:"
+    lines_of = lambda xs: F.filter(F.transform(xs, lambda x: let(F.rtrim(x), lambda r: F.struct(x.alias("x"), F.right(r, F.lit(2)).alias("z")))), lambda y: y["z"] != "")
+    end = lambda y, n=1: F.substring(y["z"], -n, 1)
+
+    def of_lines(ls: Column) -> Column:
+        # a row: cells of numbers and codes only, after the name that it begins with
+        rows = F.filter(ls, lambda y: ~end(y).isin(*closed) & y["x"].rlike(r"\A[^\t;,|]*?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S+|))+\s*\z"))
+        ended = F.filter(ls, lambda y: end(y).isin(*stops) | (end(y).isin(*quotes) & end(y, 2).isin(*stops)))
+        items = F.when(t.contains(";"), lines_of(F.split(t, r"[\n;]"))).otherwise(ls)
+        listed = lambda y: ~end(y).isin(*closed) & y["x"].rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S") & ~y["x"].rlike(r"(?:[0-9.]+[\s,|]+){3,}") & ~y["x"].rlike(RUNNING)
+        item = lambda xs: F.transform(F.filter(xs, listed), lambda y: y["x"])
+        shape = let(items, lambda xs: let(item(xs), lambda it: F.struct(F.size(xs).alias("of"), F.size(it).alias("n"), joined(it).alias("chars"))))
+        return F.struct(F.size(ls).alias("n"), F.size(rows).alias("rows"), F.size(ended).alias("ended"), shape.alias("items"))
+
     base = df.withColumns(
         {
-            "_ink": F.length(gone),
-            "_tokens": _tokens(t),
-            "_low": F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1),
-            "_lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""),
+            "_tok": let(_tokens(t), of_tokens),
+            "_low": let(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1), of_words),
+            "_line": let(lines_of(F.split(t, "\n")), of_lines),
+            "_blanks": F.when(wide, F.length(t) - F.length(F.replace(F.replace(t, F.lit("\u00a0"), F.lit("")), F.lit("\u3000"), F.lit("")))).otherwise(F.lit(0)),
+            # cells: words and what delimiters part inside of them, without delimiters that stand alone
+            "_parted": _matches(t, r"[,;|]+(?=[^\s,;|])"),
+            # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
+            "_numbers": _matches(t, r"[-+0-9n](?<![^\s,;|].)(?:(?<=[0-9])[0-9.]*|(?<=[-+])(?:[0-9][0-9.]*|-|n/a)|(?<=-)|(?<=n)/a)(?![^\s,;|])"),
+            # ASCII goes first, by a class that is one table; the rest is short in most scripts
+            "_symbols": _kept(F.regexp_replace(t, F.lit(r"[a-zA-Z \n\t\r\f\-.,;:!?'\"()0-9]+"), F.lit("")), r"[\p{L}\p{M}\x{A0}\x{3000}\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+"),
         }
     )
-    base = base.withColumns({"_letters": F.length(F.array_join("_low", "")), "_distinct": F.array_distinct("_low"), "_items": F.when(t.contains(";"), F.filter(F.split(t, r"[\n;]"), lambda x: F.trim(x) != "")).otherwise(c("_lines"))})
     # an ideograph takes two bytes more than a character: texts with fewer such bytes than letters can't be mostly ideographs
-    cjk = F.when(F.octet_length(t) - F.length(t) > c("_letters"), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0))
-    base = base.withColumn("_cjk", cjk)
-    mostly_cjk = c("_cjk") * 2 > c("_letters")
-    n_low, n_words = F.size("_low"), F.size("_tokens")
-    n_common = F.size(F.filter("_low", lambda w: w.isin(words))) if words else F.lit(0)
-    # cells: words and what delimiters part inside of them, without delimiters that stand alone
-    alone = c("_tokens")
-    for delimiter in "|;,":
-        alone = F.array_remove(alone, delimiter)
-    cells = F.size(alone) + _matches(t, r"[,;|]+(?=[^\s,;|])")
-    # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
-    numeric = _matches(t, r"(?=[-+0-9n])(?<![^\s,;|])[-+]?(?:[0-9][0-9.]*|-|n/a)(?![^\s,;|])")
-    symbols = _kept(t, r"[a-zA-Z \n\t\r\f\-.,;:!?'\"()0-9\p{L}\p{M}\x{A0}\x{3000}\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+")
-    # lines of tables and lists don't end like sentences; that is looked at first
-    open_end = lambda x: ~F.right(F.rtrim(x), F.lit(1)).isin(*".!?。！？:")
-    item = F.filter("_items", lambda x: open_end(x) & x.rlike(r"\A\s*(?:[-*•·–]|\[[0-9]+\]|\(?[0-9]{1,3}[a-z]?[.)]?|[A-Z][0-9]{1,4})\s+\S") & ~x.rlike(r"(?:[0-9.]+[\s,|]+){3,}") & ~x.rlike(RUNNING))
-    # a row: cells of numbers and codes only, after the name that it begins with
-    row = F.size(F.filter("_lines", lambda x: open_end(x) & x.rlike(r"\A[^\t;,|]*?(?:(?:\t|;|,| *\| *| {2,})(?:[-+]?[0-9][0-9.]*|n/a|-|[a-z][0-9]+/\S+|))+\s*\z")))
-    stops, quotes = ".!?。！？:;…", "\"'»”’)」"
-    last, last_but = lambda x: F.right(F.rtrim(x), F.lit(1)), lambda x: F.left(F.right(F.rtrim(x), F.lit(2)), F.lit(1))
-    ended = F.size(F.filter("_lines", lambda x: last(x).isin(*stops) | (last(x).isin(*quotes) & last_but(x).isin(*stops))))
-    long_tokens = F.length(F.array_join(F.filter("_tokens", lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN)), ""))
-    sequence = F.length(F.array_join(F.filter("_distinct", lambda w: (F.octet_length(w) >= 6) & w.rlike(r"\A[acgtun]{6,}\z")), ""))
+    n_low, ink, cells, lines = c("_low.n"), c("_tok.ink") - c("_blanks"), c("_tok.n") - c("_tok.lone") + c("_parted"), c("_line.n")
+    base = base.withColumn("_cjk", F.when(F.octet_length(t) - F.length(t) > c("_low.letters"), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0)))
+    mostly_cjk = c("_cjk") * 2 > c("_low.letters")
     base = base.withColumns(
         {
             "n_chars": F.length(t).cast("bigint"),
-            "word_count": n_words.cast("bigint"),
-            "line_count": F.size("_lines").cast("bigint"),
-            "mean_word_len": _share(c("_ink"), n_words),
-            "symbol_ratio": _share(symbols, c("_ink")),
-            "punct_line_ratio": _share(ended, F.size("_lines")),
-            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(n_common, n_low)),
-            "numeric_ratio": _share(numeric, cells),
-            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(F.size("_distinct"), n_low)),
-            "item_ratio": _share(F.size(item), F.size("_items")),
-            "item_share": _share(F.length(F.array_join(item, "")), F.length(t)),
-            "row_ratio": _share(row, F.size("_lines")),
-            "sequence_ratio": _share(sequence, c("_letters")),
-            "long_token_ratio": _share(long_tokens, c("_ink")),
+            "word_count": c("_tok.n").cast("bigint"),
+            "line_count": lines.cast("bigint"),
+            "mean_word_len": _share(ink, c("_tok.n")),
+            "symbol_ratio": _share(c("_symbols"), ink),
+            "punct_line_ratio": _share(c("_line.ended"), lines),
+            "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(c("_low.common"), n_low)),
+            "numeric_ratio": _share(c("_numbers"), cells),
+            "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(c("_low.distinct"), n_low)),
+            "item_ratio": _share(c("_line.items.n"), c("_line.items.of")),
+            "item_share": _share(c("_line.items.chars"), F.length(t)),
+            "row_ratio": _share(c("_line.rows"), lines),
+            "sequence_ratio": _share(c("_low.sequence"), c("_low.letters")),
+            "long_token_ratio": _share(c("_tok.long"), ink),
             # distinct words grow with the root of the length; nothing is known of that where words aren't parted
-            "variety_log": F.when(~mostly_cjk & (n_low > 0), F.log(F.size("_distinct") / F.sqrt(n_low))),
+            "variety_log": F.when(~mostly_cjk & (n_low > 0), F.log(c("_low.distinct") / F.sqrt(n_low))),
         }
-    ).drop("_ink", "_letters", "_cjk", "_tokens", "_low", "_distinct", "_lines", "_items")
+    )
+    base = base.drop(*[x for x in base.columns if x.startswith("_") and x not in df.columns])
     return base.withColumn("common_log", F.log(c("common_ratio") + 0.01))
 
 

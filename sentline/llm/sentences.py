@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..session import table
-from .common import field_texts
+from .common import field_texts, within
 
 # Kinds of blank, and characters without ink that may stand inside a word.
 BLANKS = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,12 +87,6 @@ def plain(p: Column) -> Column:
     return let(m, lambda x: F.when(x.rlike(PLAIN_BLANKS), F.translate(x, BLANKS + MARK, " " * len(BLANKS) + MARK_STANDIN)).otherwise(x))
 
 
-def _within(c: Column, span: str, fn) -> Column:
-    """fn() of each stretch that a pattern matches, from left to right; what lies between stays."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(f"({span})"), 1), fn)
-    return F.array_join(F.zip_with(F.split(c, span), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-
-
 def mask(p: Column, entries: list[str]) -> Column:
     """A plain paragraph without inkless characters in which each mark that ends no sentence is a placeholder of the same length.
 
@@ -122,19 +116,19 @@ def mask(p: Column, entries: list[str]) -> Column:
     m = _where(p, ".", dots)
     m = _where(m, "=", lambda c: _r(c, r"[?!](?<=\S[?!])(?=[\p{L}\p{Nd}]+=)", STOP))
     # inside brackets: all but the last mark
-    m = _where(m, "(", lambda c: _within(c, r"\([^()]*\)", lambda x: _r(x, r"[.!?;。！？](?! ?\))", STOP)))
-    m = _where(m, "（", lambda c: _within(c, r"（[^（）]*）", lambda x: _r(x, r"[.!?;。！？]", STOP)))
-    m = _where(m, "[", lambda c: _within(c, r"\[[^\[\]]*\]", lambda x: _r(x, r"[.!?;。！？](?! ?\])", STOP)))
+    m = _where(m, "(", lambda c: within(c, r"\([^()]*\)", lambda x: _r(x, r"[.!?;。！？](?! ?\))", STOP)))
+    m = _where(m, "（", lambda c: within(c, r"（[^（）]*）", lambda x: _r(x, r"[.!?;。！？]", STOP)))
+    m = _where(m, "[", lambda c: within(c, r"\[[^\[\]]*\]", lambda x: _r(x, r"[.!?;。！？](?! ?\])", STOP)))
     # inside quotations: all but the last mark; an opening mark doesn't follow a word or mark directly
     pre = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArabic}\p{IsDevanagari}\p{Nd}.,!?؟।;…\x{E001}])"
     for o, c in (("“", "”"), ("„", "“”"), ("«", "»"), ("»(?! )", "«"), ("‘", "’"), ("「", "」"), ("『", "』"), ("‹", "›")):
         inner = rf"[.!?;…。！？؟।](?! ?[.!?…。！？]* ?[{c}])"
-        m = _where(m, o[0], lambda x, o=o, c=c, inner=inner: _within(x, rf"{pre}{o}[^{o[0]}{c}]*[{c}]", lambda y: _r(y, inner, STOP)))
-    m = _where(m, '"', lambda c: _within(c, r"(?<=^|[ :(])\"[^\"]*\"", lambda x: _r(x, r"[.!?…](?! ?\")", STOP)))
+        m = _where(m, o[0], lambda x, o=o, c=c, inner=inner: within(x, rf"{pre}{o}[^{o[0]}{c}]*[{c}]", lambda y: _r(y, inner, STOP)))
+    m = _where(m, '"', lambda c: within(c, r"(?<=^|[ :(])\"[^\"]*\"", lambda x: _r(x, r"[.!?…](?! ?\")", STOP)))
     # the last mark in a quotation that opens a unit and is followed by caseless reporting words
     for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("‘", "’")):
         opens = rf"((?:^|(?<=[.!?…。！？؟।”」』»]))[ ”」』»]*){o}"
-        reported = lambda x, o=o, c=c: _within(x, rf"{OPENING}[^{o}{c}{OPENING}]*{c}(?= *[\p{{Lo}}\p{{M}}])", lambda y: _r(y, rf"[.!?…。！？؟।](?= ?{c}\z)", STOP))
+        reported = lambda x, o=o, c=c: within(x, rf"{OPENING}[^{o}{c}{OPENING}]*{c}(?= *[\p{{Lo}}\p{{M}}])", lambda y: _r(y, rf"[.!?…。！？؟।](?= ?{c}\z)", STOP))
         m = _where(m, o, lambda x, o=o, opens=opens, reported=reported: F.translate(reported(_r(x, opens, "$1" + OPENING)), OPENING, o))
     return _where(m, "」", lambda c: _r(c, r"[.!?…。！？؟।](?=[」』] *(?:と|って|という|など))", STOP))
 

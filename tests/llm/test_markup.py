@@ -57,3 +57,52 @@ def test_second_pass_takes_the_neighbours_label(spark):
     for r in L.marked_blocks(df, ("file_id",)).collect():
         got.setdefault(r.file_id, {})[r.block_no] = set(r.notations)
     assert got[1][1] == {"wiki"} and got[2][1] == {"markdown"}
+
+
+CLEAN = [
+    ("```python\ndef __init__(self):\n    return *b* or ~~y~~\n\n    # a comment & <b>\n```", "```\ndef __init__(self):\n    return *b* or ~~y~~\n\n    # a comment & <b>\n```"),
+    ("<pre>if (a &lt; b)\n\n  x ** y;</pre>", "```\nif (a < b)\n\n  x ** y;\n```"),
+    ("\\begin{verbatim}\n\\emph{x} & y\n\n_z_\n\\end{verbatim}", "```\n\\emph{x} & y\n\n_z_\n```"),
+    ("{{code}}\n[[a]] \'\'b\'\'\n{{endcode}}", "```\n[[a]] \'\'b\'\'\n```"),
+    ("See [[One|one]].\n: another remark\n: ''E'' = ''mc''", "See one.\nanother remark\n$ E = mc $"),
+    ("<p>&Delta; &Iacute; &zeta; &nosuch; &#916;</p>", "Δ Í ζ &nosuch; Δ"),
+    ("Use `a*b*c` and **bold** with $x_{1}^2 * y_{2}$ here.", "Use a*b*c and bold with $x_{1}^2 * y_{2}$ here."),
+    ("\\[\n a_{1} \\cdot b\n\\]", "$ a_{1} \\cdot b $"),
+    ("a **" + "very long word " * 40 + "end** b", "a " + "very long word " * 40 + "end b"),
+    ("a ''" + "very long word " * 40 + "end'' and [[" + "Page " * 80 + "x]] b", "a " + "very long word " * 40 + "end and " + "Page " * 80 + "x b"),
+]
+
+
+def test_clean_keeps_code_formulas_and_long_spans(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLEAN)], "file_id bigint, text string")
+    got = {r.file_id: r.clean for r in L.clean_documents(df, ("file_id",)).collect()}
+    assert [got[i] for i in range(len(CLEAN))] == [w for _, w in CLEAN]
+
+
+def notations(spark, text, stop=None):
+    df = spark.createDataFrame([(1, text)], "file_id bigint, text string")
+    return {r.block_no: set(r.notations) for r in L.marked_blocks(df, ("file_id",), stop).collect()}
+
+
+PRODUCTS = "q1 *r2 k3* t4 b5 v6 w7 x8 f9 z0 " * 6  # long, without a stop word: no running text
+PROSE = "the lamp of the house is in the hall and it is *not* for the guests of the house, as they have the one that was in the room of the old man before " * 2
+
+
+def test_first_pass_decides_what_ambiguous_marks_are(spark):
+    assert notations(spark, PROSE) == {0: {"markdown"}}
+    assert notations(spark, PRODUCTS) == {0: set()}
+    # without stop words nothing tells the two apart
+    assert notations(spark, PROSE, []) == {0: set()}
+
+
+def test_second_pass_hands_labels_to_short_and_ambiguous_blocks(spark):
+    assert notations(spark, PRODUCTS + "\n\na *b* c") == {0: set(), 1: set()}
+    assert notations(spark, PROSE + "\n\na *b* c") == {0: {"markdown"}, 1: {"markdown"}}
+    assert notations(spark, "see **this** one\n\n" + PRODUCTS) == {0: {"markdown"}, 1: {"markdown"}}
+
+
+def test_link_density_makes_boilerplate(spark):
+    text = "[Home](/a) [News](/b) [About](/c)\n\nshort\n\n" + PROSE
+    df = spark.createDataFrame([(1, text)], "file_id bigint, text string")
+    assert [r.final_quality for r in L.marked_blocks(df, ("file_id",)).orderBy("block_no").collect()] == ["bad", "bad", "good"]
+    assert L.clean_documents(df, ("file_id",)).first().n_boilerplate == 2
