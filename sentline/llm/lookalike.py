@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import stored
 from .common import field_texts, text_hash
 
 # Decomposition kinds of the Unicode character database whose forms look like what they stand for.
@@ -31,10 +31,11 @@ SAME_LOOK_RANGES = ((0x00B5, 0x00B5), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F
 INKED_FORMATS = (0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD)
 # Characters without ink that are not of category Cf.
 INKLESS_OTHERS = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
-# Letters and marks of other blocks with the shape of the one given.
+# Letters and marks of other blocks with the shape of the one given, as public lists of confusables have them
+# for letters of one case; letters that a reader tells apart are left out.
 LOOKALIKES = {
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
+    "a": "аɑ", "c": "сϲᴄⲥꮯ", "d": "ԁ", "e": "еҽ", "f": "քꞙ", "g": "ɡց", "h": "һհ", "i": "іιꙇ", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ոռ", "o": "оοօᴏⲟ", "p": "рρⲣ", "q": "ԛգզ", "s": "ѕꜱ", "u": "υսᴜ", "v": "νѵᴠ", "w": "ԝաᴡ", "x": "х", "y": "уү", "z": "ᴢ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⲤ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻⲎ", "I": "ІΙӀⲒ", "J": "ЈͿᎫ", "K": "КΚᏦⲔ", "L": "Ꮮ", "M": "МΜϺᎷⲘ", "N": "ΝⲚ", "O": "ОΟՕⲞ", "P": "РΡᏢⲢ", "Q": "Ԛ", "R": "Ꮢ", "S": "ЅՏᏚ", "T": "ТΤᎢⲦ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧⲬ", "Y": "ҮΥⲨ", "Z": "ΖᏃ",
     "æ": "ӕ", "Æ": "Ӕ", "ə": "ә", "ë": "ё", "Ë": "Ё", "ï": "ї", "Ï": "Ї",
     "-": "‐‑", ":": "∶", "·": "‧∙⋅", "’": "ʼ",
 }
@@ -101,9 +102,10 @@ def unstable_pattern() -> str:
 
 
 def segment_pattern() -> str:
-    """Python regex of an unstable segment with its boundary context."""
+    """Python regex of an unstable segment with its boundary context: the stable character before it, if marks follow it,
+    also over characters without ink."""
     alone, marks = (_py_class(x) for x in classes())
-    return f"[^{marks}]?[{marks}][{alone}{marks}]*|[{alone}][{alone}{marks}]*"
+    return f"[^{alone}{marks}]?[{alone}]*[{marks}][{alone}{marks}]*|[{alone}][{alone}{marks}]*"
 
 
 @lru_cache(1 << 16)
@@ -228,16 +230,20 @@ def p1_canonical(spark: SparkSession, sf: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of ids whose texts look the same but are not the same string.
 
-    Ids are joined on the hash of the look key; rows carry hashes only, and a hot key is split by adaptive
-    skew handling. Texts equal as strings never pair.
+    Rows carry hashes only. Forms of one look are paired first, and each pair of forms then with the ids that have them,
+    so that copies of one form never meet each other: the work follows the result. Skewed forms are split by adaptive
+    joins. Texts equal as strings never pair.
     """
     t = (
         field_texts(spark, sf, "register")
         .select("field", "id", text_hash("text").alias("form"), text_hash(look_key(stable_form(F.col("text")))).alias("kh"))
         .distinct()
     )
-    t = materialise(t)
-    forms = t.groupBy("field", "kh").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("field", "kh")
-    t = t.join(forms, ["field", "kh"], "left_semi")
-    a, b = t.select("field", "kh", F.col("id").alias("id_a"), F.col("form").alias("fa")), t.select("field", "kh", F.col("id").alias("id_b"), F.col("form").alias("fb"))
-    return a.join(b, ["field", "kh"]).filter("id_a < id_b AND fa <> fb").select("field", "id_a", "id_b").distinct()
+    t = stored(t)
+    forms = t.select("field", "kh", "form").distinct()
+    several = forms.groupBy("field", "kh").agg(F.count("*").alias("n")).filter("n > 1").select("field", "kh")
+    forms = forms.join(several, ["field", "kh"], "left_semi")
+    both = forms.withColumnRenamed("form", "fa").join(forms.withColumnRenamed("form", "fb"), ["field", "kh"]).filter("fa < fb").drop("kh")
+    a, b = t.select("field", F.col("form").alias("fa"), F.col("id").alias("a")), t.select("field", F.col("form").alias("fb"), F.col("id").alias("b"))
+    pairs = both.join(a, ["field", "fa"]).join(b, ["field", "fb"]).filter("a <> b")
+    return pairs.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

@@ -62,3 +62,25 @@ def test_accented_letters_of_other_scripts(spark):
     words = ["Ελληνικό νερό", "Быў дождж", "Это новый ӧвтас", "Ελληνικό νερό", "Быў дождж".replace("ў", "y̆")]
     out = [r.canonical for r in L.canonical_texts(spark.createDataFrame(list(enumerate(words)), "id int, text string").selectExpr("'f' AS field", "id", "text")).orderBy("id").collect()]
     assert out == [*words[:3], words[0], words[1]]
+
+
+def key_of(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [r.key for r in df.select("id", L.look_key(L.stable_form(F.col("text"))).alias("key")).orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("z", ["\u200b", "\u00ad", "\u034f", "\u200b\u2060\u00ad"])
+def test_mark_after_inkless_characters(spark, z):
+    assert len(set(key_of(spark, "caf\u00e9", f"cafe{z}\u0301", f"caf\u0435{z}\u0301", f"cafe\u0301{z}"))) == 1
+
+
+def test_letters_of_many_scripts(spark):
+    assert len(set(key_of(spark, "Ak uvi", "\u13aa\u03ba \u03c5\u0475\u03b9", "\u0410k \u057dv\u0456"))) == 1
+
+
+def test_copies_of_one_form_do_not_meet(spark, tmp_path):
+    rows = [(i, i, "register", "en", "ab c") for i in range(300)] + [(900, 900, "register", "en", "ab\u00a0c")]
+    spark.createDataFrame(rows, "delivery_id bigint, file_id bigint, intake string, lang string, sourcefile string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([], "run_id bigint, file_id bigint, targetfile string").write.parquet(f"{tmp_path}/target_files.parquet")
+    got = {tuple(r) for r in L.p1_found(spark, str(tmp_path)).collect()}
+    assert got == {("sourcefile", i, 900) for i in range(300)}
