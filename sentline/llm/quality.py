@@ -87,12 +87,16 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
     # Parts that several statistics share are made once, and lists of words and lines are bound inside the expression:
     # as columns they would be copied from step to step. Whole texts are scanned as seldom as can be.
     wide = F.octet_length(t) > F.length(t)  # characters outside ASCII are looked for only where there are any
-    lone = lambda x: (F.octet_length(x) == 1) & x.isin("|", ";", ",")
     joined = lambda xs: F.length(F.array_join(xs, ""))
 
     def of_tokens(ts: Column) -> Column:
-        long = F.filter(ts, lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN))
-        return F.struct(F.size(ts).alias("n"), joined(ts).alias("ink"), F.size(F.filter(ts, lone)).alias("lone"), joined(long).alias("long"))
+        # tokens that may be a delimiter alone, or are long: few, so that the others are looked at once
+        def of_odd(odd: Column) -> Column:
+            lone = F.filter(odd, lambda x: x.isin("|", ";", ","))
+            long = F.filter(odd, lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN))
+            return F.struct(F.size(ts).alias("n"), joined(ts).alias("ink"), F.size(lone).alias("lone"), joined(long).alias("long"))
+
+        return let(F.filter(ts, lambda x: ~F.octet_length(x).between(2, 29)), of_odd)
 
     def of_words(ws: Column) -> Column:
         sequence = lambda ds: joined(F.filter(ds, lambda w: (F.octet_length(w) >= 6) & w.rlike(r"\A[acgtun]{6,}\z")))
