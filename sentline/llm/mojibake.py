@@ -4,9 +4,11 @@ Tokens with characters outside ASCII are counted over all files. A rare token is
 near-twin, the frequent token that is the same once such characters are stripped, and the runs of
 stripped characters are aligned; a transformation (bytes of one encoding read as another, maybe more
 than once) that explains an aligned pair gains support. Scripts without ASCII letters have nothing left
-when stripped; there the twin is the frequent token that a hypothesis yields. Learned transformations are
-then applied to all other tokens, with the counts of tokens and characters of the corpus as the judge. One that is
-spread widely is taken whatever the ratio of a token and its twin, if it makes likelier pairs of characters.
+when stripped; there the twin is the frequent token that a hypothesis yields, or one that shares runs of characters
+with it. Only transformations that aligned pairs support are learned. They are then applied to all other tokens, with the
+counts of tokens and characters of the corpus as the judge; what only an unsupported one would restore is listed as
+undecided. One that is spread widely is taken whatever the ratio of a token and its twin, if it makes likelier pairs of
+characters.
 
 A token of a script without blanks may hold a garbled sentence next to a clean one. Besides the whole, its
 pieces count as tokens: cut at sentence marks of such scripts and where they meet other characters outside ASCII.
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, stored
 from .common import source_texts, spread, text_hash
 
 # Encodings that texts are read as by mistake, and encodings that texts are written in.
@@ -36,7 +38,8 @@ MULTI = ("utf_8", "shift_jis", "gbk", "big5", "euc_jp", "euc_kr", "utf_8*2", "ut
 RATIO = 3  # a clean twin is at least so many times as frequent as what is restored to it
 LEAST = 3  # and occurs in at least so many files
 COMMON_CHAR = 5  # a character of a restored text occurs in at least so many tokens' files
-MIN_SUPPORT = 2  # distinct pairs that a transformation between one-byte encodings must explain
+RUN = 5  # characters that a restored text shares with a clean one, where neither has ASCII letters, to count as aligned
+MIN_SUPPORT = 2  # distinct aligned pairs that a transformation must explain
 WIDE_SUPPORT = 10  # distinct tokens with a more frequent twin that a one-byte transformation needs to be taken whatever the ratio
 LIKELIER = 1.5  # pairs of characters of what is then restored are so many times as frequent as those of the token
 BROKEN = "[\\x{80}-\\x{84}\\x{86}-\\x{9F}\\x{FFFD}]"
@@ -160,8 +163,8 @@ def undo_pieces(token: str, chain: str) -> str | None:
     return None if joined == token else joined
 
 
-def hypotheses(token: str) -> Iterator[tuple[str, str]]:
-    """(chain, restored) of every transformation that a token allows."""
+def hypotheses(token: str, one_byte: bool = True) -> Iterator[tuple[str, str]]:
+    """(chain, restored) of every transformation that a token allows; without one_byte only those into encodings of several bytes."""
     s = html.unescape(token) if "&#" in token else token
     for read in READ_AS:
         b = to_bytes(s, read)
@@ -169,7 +172,7 @@ def hypotheses(token: str) -> Iterator[tuple[str, str]]:
             continue
         seen = {s}
         for written in WRITTEN_IN:
-            if written == read or (read in MULTI and written != "utf_8"):
+            if written == read or (read in MULTI and written != "utf_8") or not (one_byte or written in MULTI):
                 continue
             c = from_bytes(b, written)
             if c is None and written == "utf_8":
@@ -228,10 +231,33 @@ def candidates(vocab: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(g, n, chain, re.sub("[0-9]+", "0", c)) for g, n in zip(b.tok, b.n) for chain, c in hypotheses(g)]
+            rows = [(g, n, chain, re.sub("[0-9]+", "0", c)) for g, n, one in zip(b.tok, b.n, b.one_byte) for chain, c in hypotheses(g, one)]
             yield pd.DataFrame(rows, columns=["g", "n", "chain", "c"])
 
-    return vocab.select("tok", "n").mapInPandas(run, "g string, n bigint, chain string, c string")
+    # one-byte transformations keep ASCII, so that a word's twin has its skeleton: words that are alone with theirs need no trial
+    several = vocab.filter("length(skel) >= 2").groupBy("skel").agg(F.count("*").alias("k")).filter("k > 1")
+    worded = F.col("skel").rlike("[A-Za-z]") & (F.length("skel") >= 2)
+    word, rest = vocab.filter(worded), vocab.filter(~worded).withColumn("one_byte", F.lit(True))
+    word = word.join(several, "skel", "left").withColumn("one_byte", F.col("k").isNotNull()).drop("k")
+    return word.unionByName(rest).select("tok", "n", "one_byte").mapInPandas(run, "g string, n bigint, chain string, c string")
+
+
+def _runs(c):
+    """Array of the runs of RUN letters outside ASCII of a text."""
+    def of(x):
+        chars = F.split(x, "")
+        chars = F.filter(chars, lambda y: y != "")
+        return F.when(F.size(chars) >= RUN, F.transform(F.sequence(F.lit(1), F.size(chars) - RUN + 1), lambda i: F.array_join(F.slice(chars, i, RUN), ""))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(c, F.lit(rf"([\p{{L}}\p{{M}}&&[^\x00-\x7F]]{{{RUN},}})"), 1), of)))
+
+
+def aligned_runs(valid: DataFrame, vocab: DataFrame) -> DataFrame:
+    """chain, g, c: runs of characters that a restored text shares with clean tokens of at least LEAST files."""
+    asked = valid.select("chain", "g", F.explode(_runs(F.col("c"))).alias("c"))
+    known = vocab.filter("whole > 0").select("n", F.explode(_runs(F.col("tok"))).alias("c"))
+    known = known.join(broadcast_if_small(asked.select("c").distinct()), "c", "left_semi").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    return asked.join(known.select("c"), "c", "left_semi").select("chain", "g", "c")
 
 
 def aligned(vocab: DataFrame) -> DataFrame:
@@ -317,24 +343,28 @@ def spread_widely(vocab: DataFrame, chains: list[str]) -> DataFrame:
     return r.filter((F.col("least_c") >= COMMON_CHAR) & (F.col("like_c") - F.col("like_g") >= F.log(F.lit(LIKELIER))) & seen).select("g", "chain", "c", F.coalesce("c_n", F.lit(0)).alias("score"))
 
 
-def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The files' tokens, the learned transformations (chain, support), and the garbled tokens (g, chain, c)."""
-    toks = materialise(file_tokens(texts))
-    vocab = materialise(vocabulary(toks))
+def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The files' tokens, the learned transformations (chain, support), the garbled tokens (g, chain, c), and those that only
+    a transformation without support would restore."""
+    toks = stored(file_tokens(texts))
+    vocab = stored(vocabulary(toks))
     common = vocab.select(F.explode(F.array_distinct(F.split(F.regexp_replace("tok", r"[\x00-\x7F]+", ""), ""))).alias("ch"), "whole").filter("ch <> ''").groupBy("ch").agg(F.sum("whole").alias("ch_n"))
     pairs = aligned(vocab)
     multi = F.split("chain", ">")[1].isin(*MULTI)
-    evidence = materialise(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
+    evidence = stored(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
     judged = evidence.filter("NOT near").drop("near")
     # at most as many rows as there are pairs of encodings
     wide = evidence.filter((F.col("twin") | F.col("near")) & ~multi).groupBy("chain").agg(F.count_distinct("g").alias("s")).filter(F.col("s") >= WIDE_SUPPORT)
     wide_s = {r.chain: r.s for r in wide.collect()}
+    # a pair is a garbled token and its clean twin: of one skeleton, or, where stripping leaves no letter, the known token
+    # that the transformation itself yields; tokens that only look right after a transformation are no evidence for it
     support = (
-        pairs.distinct().groupBy("chain").agg(F.count("*").alias("s"))
-        .unionByName(judged.filter(~F.col("g").rlike("[A-Za-z]")).groupBy("chain").agg(F.count("*").alias("s")))
-        .groupBy("chain").agg(F.sum("s").alias("support"))
+        pairs.select("chain", F.col("garbled").alias("g"), F.col("clean").alias("c"))
+        .unionByName(judged.filter("twin").filter(~F.col("g").rlike("[A-Za-z]")).select("chain", "g", "c"))
+        .unionByName(aligned_runs(judged.filter("NOT twin"), vocab))
+        .distinct().groupBy("chain").agg(F.count("*").alias("support"))
     )
-    learned = support.filter((F.col("support") >= MIN_SUPPORT) | multi)
+    learned = support.filter(F.col("support") >= MIN_SUPPORT)
     hits = judged.join(learned, "chain").select("g", "chain", "c", "twin", "score", "support")
     if wide_s:
         # support of this kind holds for tokens judged by pairs of characters only
@@ -344,12 +374,13 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         learned = learned.unionByName(by_wide).groupBy("chain").agg(F.max("support").alias("support"))
     # the one-byte readings of a token that more tokens share come first
     g = hits.groupBy("g").agg(F.max_by(F.struct("chain", "c"), F.struct("twin", "score", "support", "chain")).alias("best"))
-    return toks, learned, g.select("g", "best.chain", "best.c")
+    undecided = judged.select("g", "chain", "c").join(learned, "chain", "left_anti").join(g.select("g"), "g", "left_anti")
+    return toks, learned, g.select("g", "best.chain", "best.c"), undecided
 
 
 def garbled_files(texts: DataFrame) -> DataFrame:
     """file_id of files with a garbled token or a trace that can't be restored."""
-    toks, _, g = learn(texts)
+    toks, _, g, _ = learn(texts)
     # a token of one or two letters alone proves little: it takes a second one in the file
     letters = F.length(F.regexp_replace("c", r"[^\p{L}]", ""))
     strong = F.split("chain", ">")[1].isin(*MULTI) | (letters >= 3) | F.col("c").rlike(r"^0[–—−-]0$|[“”‘’«»„]\p{L}{2}|\p{L}{2}[.!?,]?[“”‘’«»„]")
@@ -365,7 +396,7 @@ def restored_texts(texts: DataFrame) -> DataFrame:
     In each sentence that holds a garbled token, the transformation of most of its garbled tokens is
     applied to all tokens that it can decode.
     """
-    toks, _, g = learn(texts)
+    toks, _, g, _ = learn(texts)
     per = toks.join(g.withColumnRenamed("g", "tok"), "tok").groupBy("file_id").agg(F.collect_set(F.struct("tok", "chain")).alias("found"))
     broken = F.col("text").rlike(BROKEN)
     t = texts.filter("text IS NOT NULL").withColumn("h", text_hash("text")).dropDuplicates(["file_id", "h"]).join(per, "file_id", "left").filter(F.col("found").isNotNull() | broken)
@@ -423,6 +454,11 @@ def p2_mappings(spark: SparkSession, sf: str) -> DataFrame:
     return learn(source_texts(spark, sf).select("file_id", "text"))[1]
 
 
+def p2_undecided(spark: SparkSession, sf: str) -> DataFrame:
+    """token, chain, restored: what a transformation would make of a token, but no aligned pair supports it."""
+    return learn(source_texts(spark, sf).select("file_id", "text"))[3].select(F.col("g").alias("token"), "chain", F.col("c").alias("restored")).distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """file_id of source files with text garbled by a wrong decoding."""
     return garbled_files(source_texts(spark, sf).select("file_id", "text"))

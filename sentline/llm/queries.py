@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": mojibake.p2_found,
     "p2_restored": mojibake.p2_restored,
     "p2_mappings": mojibake.p2_mappings,
+    "p2_undecided": mojibake.p2_undecided,
     "p3_found": markup.p3_found,
     "p3_clean": markup.p3_clean,
     "p4_found": sentences.p4_found,

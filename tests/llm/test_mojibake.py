@@ -124,3 +124,25 @@ def test_long_token(spark):
     a, b = "我们在河边测量了桥的高度，", "他们昨天在城里看了新的机器，"
     texts = [(n, a + b) for n in range(6)] + [(9, garble((a + b) * 200, "gbk", "cp1252"))]
     assert [r.file_id for r in L.garbled_files(spark.createDataFrame(texts, "file_id bigint, text string")).collect()] == [9]
+
+
+def test_a_transformation_needs_aligned_pairs(spark):
+    """A text that only looks right after a transformation proves nothing; one that shares runs with clean texts does."""
+    clean = ["我们在河边测量了桥的高度。", "他们昨天在城里看了新的机器。"]
+    other = "那位老人坐船去了远方的海岛！"
+    letters = "".join(clean + [other])
+    # the characters of the third text are known one by one, never two in a row
+    apart = [(50 + i, " ".join(letters)) for i in range(6)]
+    near = [(i, clean[i % 2]) for i in range(8)]
+    lone = (90, garble(other, "utf-8", "cp1252"))
+    learned = lambda rows: {r.chain for r in L.learn(spark.createDataFrame(rows, "file_id bigint, text string"))[1].collect()}
+    assert learned([*apart, *near, lone]) == set()
+    undecided = L.learn(spark.createDataFrame([*apart, *near, lone], "file_id bigint, text string"))[3].collect()
+    assert other in {r.c for r in undecided}
+    twin = (91, garble("他们昨天在城里看了那位老人。", "utf-8", "cp1252"))
+    assert "cp1252>utf_8" in learned([*apart, *near, lone, twin])
+    assert {r.file_id for r in L.garbled_files(spark.createDataFrame([*apart, *near, (92, lone[1]), twin], "file_id bigint, text string")).collect()} >= {91, 92}
+
+
+def test_words_alone_with_their_skeleton_need_no_one_byte_trial():
+    assert all(chain.split(">")[1].partition("*")[0] in L.MULTI for chain, _ in L.hypotheses("sp„ter", False))
