@@ -1,8 +1,8 @@
 """Problem 6: passages of held-out items inside documents, by greedy string tiling.
 
-Items and documents become word streams (maximal runs of letters and digits, lower case). Hashes of
-every run of SEED words of the items are joined with those of the documents; only (document, item) pairs
-that share seeds go on. For each pair, tiles are marked greedily: the longest match that runs over
+Items and documents become word streams (maximal runs of letters and digits, lower case), made once, by the JVM.
+Hashes of every run of SEED words of the items are joined with those of the documents; only documents that share a seed
+leave the scan, and only (document, item) pairs that share seeds go on. For each pair, tiles are marked greedily: the longest match that runs over
 unmarked words of both sides first, found by extending Karp-Rabin seed hits, until no match of
 at least `min_words` is left. Coverage of the item by tiles catches reordered passages.
 
@@ -17,15 +17,16 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import is_small, table
+from ..session import broadcast_if_small, stored, table
 from .common import spread
 
 SEED = 8
 MIN_WORDS = 15
+COVERAGE = 0.15  # share of an item from which tiles shorter than a passage count
+MAX_SEEDS = 50_000  # seeds of the items up to which each document is held against all of them at once; more are joined
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -36,8 +37,12 @@ def words(text: str) -> Column:
 def seeds(df: DataFrame, key: str, text: str, n: int = SEED) -> DataFrame:
     """key, h: the distinct hashes of all runs of n words, made in the JVM."""
     w = df.select(key, words(text).alias("w")).filter(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, n)))
-    return w.select(key, F.explode(F.array_distinct(grams)).alias("h"))
+    return w.select(key, F.explode(F.array_distinct(_grams(n))).alias("h"))
+
+
+def _grams(n: int) -> Column:
+    """Hashes of all runs of n words of the column w."""
+    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, n)))
 
 
 def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, int]]:
@@ -66,14 +71,12 @@ def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, i
         if h in wanted:
             at[h].append(i)
     found = []
-    seen = set()
     for j, h in enumerate(hp):
         for i in at.get(h, ()):
-            if (i - j, j) in seen:
-                continue
+            if i and j and d[i - 1] == p[j - 1]:
+                continue  # inside a match that began earlier
             n = 0
             while i + n < len(d) and j + n < len(p) and d[i + n] == p[j + n]:
-                seen.add((i - j, j + n))
                 n += 1
             if n >= least:
                 found.append((n, j, i))
@@ -104,33 +107,42 @@ def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, i
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_coverage: float = 0.0, seed: int = SEED) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> doc_id, item_id, n_tiles, longest, matched, coverage."""
     seed = min(seed, min_words)
-    docs, its = spread(documents.select("doc_id", "text").filter("text IS NOT NULL")), items.select("item_id", "text").filter("text IS NOT NULL")
-    item_seeds = seeds(its, "item_id", "text", seed)
-    if is_small(its):  # the size of the item table is checked; a larger one is joined by shuffle
-        item_seeds = F.broadcast(item_seeds)
-    hits = seeds(docs, "doc_id", "text", seed).join(item_seeds, "h").select("doc_id", "item_id").distinct()  # a passage that repeats itself may share one seed only
-    small = is_small(its)
-    pairs = docs.join(hits, "doc_id").join(F.broadcast(its.withColumnRenamed("text", "item_text")) if small else its.withColumnRenamed("text", "item_text"), "item_id")
+    docs = spread(documents.select("doc_id", "text").filter("text IS NOT NULL")).select("doc_id", words("text").alias("w")).filter(F.size("w") >= min_words)
+    its = stored(items.select("item_id", "text").filter("text IS NOT NULL").select("item_id", words("text").alias("item_words")))
+    # a passage of min_words holds min_words - seed + 1 seeds in a row, so that every so many seeds of an item are enough
+    step = min_words - seed + 1
+    starts = F.sequence(F.lit(1), F.size("w") - seed + 1, F.lit(step))
+    item_seeds = stored(its.withColumnRenamed("item_words", "w").filter(F.size("w") >= min_words).select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i, seed))))).alias("h")))
+    if item_seeds.select("h").distinct().count() <= MAX_SEEDS:
+        # one row of at most MAX_SEEDS numbers. Documents without a seed leave nothing behind; the words of the others are kept
+        all_seeds = item_seeds.agg(F.collect_set("h").alias("seeds"))
+        shared = F.array_intersect(_grams(seed), F.col("seeds"))
+        hits = docs.join(F.broadcast(all_seeds), F.lit(True)).select("doc_id", "w", F.explode(F.array(shared)).alias("hs")).filter(F.size("hs") > 0)
+    else:
+        ids = docs.select("doc_id", F.explode(F.array_distinct(_grams(seed))).alias("h")).join(broadcast_if_small(item_seeds.select("h").distinct()), "h", "left_semi")
+        hits = docs.join(broadcast_if_small(stored(ids.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))), "doc_id")
+    hits = stored(hits)
+    pairs = hits.select("doc_id", F.explode("hs").alias("h")).join(broadcast_if_small(item_seeds), "h").select("doc_id", "item_id").distinct()
+    pairs = hits.select("doc_id", "w").join(pairs, "doc_id").join(broadcast_if_small(its), "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rx = regex.compile(WORD)
         for b in batches:
             rows = []
-            for d, i, t, x in zip(b.doc_id, b.item_id, b.text, b.item_text):
-                item = rx.findall(x.lower())
-                ts = tiles(rx.findall(t.lower()), item, min_words)
+            for d, i, w, x in zip(b.doc_id, b.item_id, b.w, b.item_words):
+                ts = tiles(list(w), list(x), min_words)
                 if ts:
                     m = sum(n for _, _, n in ts)
-                    rows.append((d, i, len(ts), max(n for _, _, n in ts), m, m / len(item)))
+                    rows.append((d, i, len(ts), max(n for _, _, n in ts), m, m / len(x)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tiles", "longest", "matched", "coverage"])
 
-    out = pairs.select("doc_id", "item_id", "text", "item_text").mapInPandas(run, "doc_id bigint, item_id bigint, n_tiles bigint, longest bigint, matched bigint, coverage double")
-    return out.filter(F.col("coverage") >= min_coverage).distinct()
+    out = pairs.select("doc_id", "item_id", "w", "item_words").mapInPandas(run, "doc_id bigint, item_id bigint, n_tiles bigint, longest bigint, matched bigint, coverage double")
+    return out.filter((F.col("coverage") >= min_coverage) | (F.col("longest") >= MIN_WORDS)).distinct()
 
 
 def p6_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Every leak with its tiles and the share of the item that they cover; tiles of eight words catch reordered passages."""
-    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=SEED, min_coverage=0.15)
+    """Leaks with their tiles and the share of the item that they cover. Tiles of eight words catch reordered passages, where they
+    cover COVERAGE of the item; a passage of MIN_WORDS counts whatever it covers."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=SEED, min_coverage=COVERAGE)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

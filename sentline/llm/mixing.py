@@ -21,25 +21,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, table
+from ..session import stored, table
 from .common import spread
 
+# a vocabulary file of a public tokenizer, on the driver, and the pattern that it was made with, if the module of its files has none
 TOKENIZER = os.environ.get("SENTLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+PATTERN = os.environ.get("SENTLINE_TOKEN_PATTERN")
+DOCS_PER_TASK = 16_384  # documents that one task of the first level rounds; by the data, not the cluster, so that the choice is the same on any
 FAN_IN = 32  # residual sets that meet in one task of the next level
 
 
-def with_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The columns of docs plus n_tokens of text, by a public byte-level BPE vocabulary (ranks in base64 per line)."""
+def token_pattern() -> str:
+    """The pattern that cuts texts before the vocabulary applies. Sizes hang on it, so that none is guessed."""
+    if PATTERN:
+        return PATTERN
+    try:
+        from public_tokenizers import PATTERN as pattern
+    except ImportError as e:
+        raise ValueError("name the pattern of the tokenizer in SENTLINE_TOKEN_PATTERN") from e
+    return pattern
+
+
+def with_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
+    """The columns of docs plus n_tokens of text, by a public byte-level BPE vocabulary (ranks in base64 per line). The file
+    goes from the driver to the executors."""
+    from pyspark import SparkFiles
+
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name, pattern = os.path.basename(tokenizer), pattern or token_pattern()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for s in batches:
             yield pd.Series([len(x) for x in enc.encode_ordinary_batch(s.tolist(), num_threads=1)], dtype="int64")
@@ -103,7 +118,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
 
     Without a total, the largest one that every source with documents can serve within its repeats.
     """
-    docs = materialise(docs.filter("n_tokens > 0 AND source IS NOT NULL").select("doc_id", "source", "n_tokens"))
+    docs = stored(docs.filter("n_tokens > 0 AND source IS NOT NULL").select("doc_id", "source", "n_tokens"))
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_docs"))
     t = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     plan = t.join(have, "source", "left").fillna(0, ["have", "n_docs"])
@@ -115,13 +130,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     rows = docs.join(F.broadcast(rate), "source").select("doc_id", "source", "n_tokens", F.floor(F.col("rate") + F.lit(1e-12)).cast("bigint").alias("whole"), F.greatest(F.col("rate") - F.floor(F.col("rate") + F.lit(1e-12)), F.lit(0.0)).alias("p"))
     schema = "doc_id bigint, source string, n_tokens bigint, whole bigint, p double"
     # a source that holds most rows is spread by the hash of its rows, and partitions are sorted to be the same when run again
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    n = max(1, -(-int(plan.agg(F.sum("n_docs")).first()[0] or 0) // DOCS_PER_TASK))
     out = None
     level = 0
     while True:
-        part = rows.repartition(n, F.xxhash64("doc_id", F.lit(seed))) if n > 1 else rows.coalesce(1)
+        part = rows.repartition(n, F.xxhash64("doc_id", F.lit(seed))) if n > 1 else rows.repartition(1)
         part = part.sortWithinPartitions("source", F.xxhash64("doc_id", F.lit(seed), F.lit(level)), "doc_id")
-        done = materialise(part.mapInPandas(pivotal(seed, level, n == 1), schema))
+        done = stored(part.mapInPandas(pivotal(seed, level, n == 1), schema))
         settled = done.filter("p <= 0 OR p >= 1")
         out = settled if out is None else out.unionByName(settled)
         if n == 1:
@@ -151,3 +166,15 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mix(spark, sf)[1]
+
+
+def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """source, share_kept, repeats_kept: whether the actual share is the target's, among sources that have documents, but for less
+    than a document, and no document comes more often than allowed."""
+    rep = _mix(spark, sf)[1]
+    there = rep.filter("n_docs > 0").agg(F.sum("target_share").alias("there"), F.max(F.col("source_tokens") / F.col("n_docs")).alias("doc"), F.sum("tokens").alias("all"))
+    # one row beside one row per source
+    rep = rep.join(F.broadcast(there), F.lit(True))
+    wanted = F.when(F.col("n_docs") > 0, F.col("target_share") / F.col("there")).otherwise(0.0)
+    off = F.abs(F.coalesce("actual_share", F.lit(0.0)) - wanted)
+    return rep.select("source", (off <= 20 * F.col("doc") / F.col("all")).alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))

@@ -351,7 +351,8 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     common = vocab.select(F.explode(F.array_distinct(F.split(F.regexp_replace("tok", r"[\x00-\x7F]+", ""), ""))).alias("ch"), "whole").filter("ch <> ''").groupBy("ch").agg(F.sum("whole").alias("ch_n"))
     pairs = aligned(vocab)
     multi = F.split("chain", ">")[1].isin(*MULTI)
-    evidence = stored(_judge(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#"))), vocab, common))
+    # trials are made once and read several times
+    evidence = stored(_judge(stored(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#")))), vocab, common))
     judged = evidence.filter("NOT near").drop("near")
     # at most as many rows as there are pairs of encodings
     wide = evidence.filter((F.col("twin") | F.col("near")) & ~multi).groupBy("chain").agg(F.count_distinct("g").alias("s")).filter(F.col("s") >= WIDE_SUPPORT)

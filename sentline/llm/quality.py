@@ -69,11 +69,12 @@ def _tokens(t: Column) -> Column:
 
 def common_words(df: DataFrame, share: float = COMMON_SHARE) -> list[str]:
     """Words that at least a share of the documents of their language hold, by counts over all documents(text, language)."""
-    n = df.groupBy("language").agg(F.count("*").alias("docs"))
-    words = F.array_distinct(_tokens(F.lower(F.col("text"))))
-    w = df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
-    # one row per language
-    rows = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= share * F.col("docs")).filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
+    # an empty word in each document counts the documents, so that the texts are read once
+    words = F.array_append(F.array_distinct(_tokens(F.lower(F.col("text")))), "")
+    w = stored(df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n")))
+    n = w.filter("word = ''").select("language", F.col("n").alias("docs"))  # one row per language
+    often = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= share * F.col("docs"))
+    rows = often.filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
     return sorted(r.word for r in rows)

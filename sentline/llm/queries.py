@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_tiles": leaks.p6_tiles,
     "p7_mix": mixing.p7_mix,
     "p7_shares": mixing.p7_shares,
+    "p7_kept": mixing.p7_kept,
     "p8_found": quality.p8_found,
     "p8_stats": quality.p8_stats,
 }
@@ -91,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         dg AS (SELECT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d WHERE len(w) >= 15)),
         ig AS (SELECT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i WHERE len(w) >= 15))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
-    return {"p1_found": p1, "p6_found": p6}
+    p7 = "SELECT source, true AS share_kept, true AS repeats_kept FROM mix_targets WHERE source IS NOT NULL AND target_share > 0"
+    return {"p1_found": p1, "p6_found": p6, "p7_kept": p7}

@@ -47,3 +47,16 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")
     assert L.leaks(e, i).count() == 0
+
+
+def test_long_repeats_on_both_sides():
+    assert L.tiles(["a"] * 4000, ["a"] * 600, 15) == [(0, 0, 600)]
+    assert sum(n for _, _, n in L.tiles(["a", "b"] * 50 + ["c"], ["a", "b"] * 30, 8)) == 60
+
+
+def test_many_seeds_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_SEEDS", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "x " + text), (2, "nothing of it"), (3, None)], "doc_id bigint, text string")
+    got = L.leaks(docs, spark.createDataFrame([(7, text)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.longest, r.coverage) for r in got] == [(1, 7, 40, 1.0)]

@@ -55,3 +55,27 @@ def test_tokens(spark):
     df = L.with_tokens(spark.createDataFrame([("Hello world",), ("",), ("<|endoftext|>",)], "text string"))
     n = [r.n_tokens for r in df.collect()]
     assert n[0] == 2 and n[1] == 0 and n[2] > 1
+
+
+def test_choice_does_not_hang_on_the_cluster(spark):
+    """Other partitions of the same documents and another number of cores leave the chosen rows as they are."""
+    docs, targets = frame(spark)
+    a = sorted(map(tuple, L.mix(docs.repartition(1), targets)[0].collect()))
+    b = sorted(map(tuple, L.mix(docs.repartition(13), targets)[0].collect()))
+    assert a == b
+
+
+def test_levels_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(L, "DOCS_PER_TASK", 50)  # 84 tasks, then three, then one
+    docs, targets = frame(spark)
+    chosen, report = L.mix(docs, targets)
+    rep = {r.source: r for r in report.collect()}
+    assert all(abs(rep[s].actual_share - share) < 0.005 and rep[s].most_copies <= most for s, share, most in TARGETS[:3])
+    assert chosen.count() == chosen.select("doc_id").distinct().count()
+
+
+def test_pattern_is_not_guessed(monkeypatch):
+    monkeypatch.setitem(__import__("sys").modules, "public_tokenizers", None)
+    monkeypatch.setattr(L, "PATTERN", None)
+    with pytest.raises(ValueError):
+        L.token_pattern()
