@@ -36,8 +36,13 @@ def words(text: str) -> Column:
 
 def seeds(df: DataFrame, key: str, text: str, n: int = SEED) -> DataFrame:
     """key, h: the distinct hashes of all runs of n words, made in the JVM."""
-    w = df.select(key, words(text).alias("w")).filter(F.size("w") >= n)
-    return w.select(key, F.explode(F.array_distinct(_grams(n))).alias("h"))
+    return with_words(df.select(key, text), text, n).select(key, F.explode(F.array_distinct(_grams(n))).alias("h"))
+
+
+def with_words(df: DataFrame, text: str, least: int) -> DataFrame:
+    """The other columns of df and w, the words of a text column; texts of fewer words are left out. The words come out of a
+    generator, so that the filter is not pushed before it, where it would make them a second time."""
+    return df.select(*[c for c in df.columns if c != text], F.explode(F.array(words(text))).alias("w")).filter(F.size("w") >= least)
 
 
 def _grams(n: int) -> Column:
@@ -107,7 +112,7 @@ def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, i
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_coverage: float = 0.0, seed: int = SEED) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> doc_id, item_id, n_tiles, longest, matched, coverage."""
     seed = min(seed, min_words)
-    docs = spread(documents.select("doc_id", "text").filter("text IS NOT NULL")).select("doc_id", words("text").alias("w")).filter(F.size("w") >= min_words)
+    docs = with_words(spread(documents.select("doc_id", "text").filter("text IS NOT NULL")), "text", min_words)
     its = stored(items.select("item_id", "text").filter("text IS NOT NULL").select("item_id", words("text").alias("item_words")))
     # a passage of min_words holds min_words - seed + 1 seeds in a row, so that every so many seeds of an item are enough
     step = min_words - seed + 1

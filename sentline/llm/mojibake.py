@@ -330,8 +330,10 @@ def spread_widely(vocab: DataFrame, chains: list[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["g", "chain", "c"])
 
     known = vocab.filter("whole > 0").select(F.explode(_couples(F.col("tok"))).alias("two"), "whole").groupBy("two").agg(F.sum("whole").alias("two_n"))
+    known = broadcast_if_small(stored(known))  # pairs of characters in use
     letters = F.length(F.regexp_replace("g", r"[^\p{L}\p{M}]", ""))
-    cand = vocab.select("tok").mapInPandas(run, "g string, chain string, c string").filter(F.length(F.regexp_replace("c", r"[^\p{L}]", "")) >= 3).filter((letters >= 3) | F.col("g").rlike("[A-Za-z]{2}"))
+    cand = vocab.select("tok").mapInPandas(run, "g string, chain string, c string")
+    cand = stored(cand.filter(F.length(F.regexp_replace("c", r"[^\p{L}]", "")) >= 3).filter((letters >= 3) | F.col("g").rlike("[A-Za-z]{2}")))
 
     def rated(of: str) -> DataFrame:
         e = cand.select("g", "chain", "c", F.explode(_couples(F.col(of))).alias("two")).join(known, "two", "left")
@@ -352,6 +354,7 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     pairs = aligned(vocab)
     multi = F.split("chain", ">")[1].isin(*MULTI)
     # trials are made once and read several times
+    common = broadcast_if_small(stored(common))  # characters in use
     evidence = stored(_judge(stored(candidates(vocab.filter(F.col("tok").rlike(r"[^\x00-\x7F]|&#")))), vocab, common))
     judged = evidence.filter("NOT near").drop("near")
     # at most as many rows as there are pairs of encodings
