@@ -186,10 +186,15 @@ for _name, _where in (("q_initials", "end_class = 'INITIAL'"), ("q_number_dot",
     register(_name, _boundary_sql(_where))(_boundary(_where))
 
 
-def token_sql(src: str, with_dictionary: bool) -> str:
+def token_sql(src: str, with_dictionary: bool, contractions: bool = False) -> str:
     """Tokens: chunks cut at runs of hyphens, parted, and put together again by sentence (relation tk)."""
     d = "WHEN ab AND e.expect_cap IS NOT NULL THEN true" if with_dictionary else ""
     join = "LEFT JOIN dict e ON e.abbr = lower(p.core || '.')" if with_dictionary else ""
+    # the dot that stays is put on before the words are split, and does not take part in the rules for contractions
+    words = "[CASE WHEN glued THEN core || '.' ELSE core END]"
+    if contractions:
+        split = f"list_filter(string_split({contracted_sql('core')}, '|'), lambda x: x <> '')"
+        words = f"CASE WHEN contains(kept, 'u') OR contains(core, '|') THEN {words} WHEN glued THEN list_concat(({split})[1:-2], [({split})[-1] || '.']) ELSE {split} END"
     runs = "list_transform(list_filter(range(1, length(r) + 1), lambda i: i = 1 OR r[i] <> r[i - 1]), lambda i: r[i] || coalesce(array_to_string(list_filter(range(i + 1, length(r) + 1), lambda j: len(list_filter(range(i, j + 1), lambda k: r[k] <> r[i])) = 0).list_transform(lambda j: r[j]), ''), ''))"
     return rf"""{sentences_sql(src, with_dictionary)},
     pc AS (SELECT doc_id, sent_no, chunk_no, unnest(ps) AS chunk, unnest(range(len(ps))) AS part_no FROM (SELECT doc_id, sent_no, chunk_no, string_split(trim(regexp_replace(regexp_replace(chunk, '(--+)', ' \1 ', 'g'), ' +', ' ', 'g'), ' '), ' ') AS ps FROM nu)),
@@ -197,7 +202,7 @@ def token_sql(src: str, with_dictionary: bool) -> str:
     gl AS (SELECT p.*, CASE WHEN core = '' OR left(tail, 1) <> '.' THEN false WHEN (NOT contains(kept, 'u') AND regexp_matches(core, '[0-9]')) OR (length(core) = 1 AND NOT regexp_matches(core, '^\p{{Lu}}\z')) THEN tail = '.' AND coalesce(regexp_matches(next_part, '^\p{{Ll}}'), false)
         WHEN length(core) = 1 OR head <> '' OR (NOT contains(kept, 'u') AND contains(core, '.')) THEN true {d} ELSE false END AS glued FROM (SELECT *, core <> '' AND left(tail, 1) = '.' AS ab FROM pa_) p {join}),
     rs AS (SELECT *, CASE WHEN glued THEN substr(tail, 2) ELSE tail END AS r FROM gl),
-    tk AS (SELECT doc_id, sent_no, chunk_no, part_no, CASE WHEN core = '' THEN [chunk] ELSE list_concat(regexp_extract_all(head, '(?s).'), [CASE WHEN glued THEN core || '.' ELSE core END], {runs}) END AS ts FROM rs)"""
+    tk AS (SELECT doc_id, sent_no, chunk_no, part_no, CASE WHEN core = '' THEN [chunk] ELSE list_concat(regexp_extract_all(head, '(?s).'), {words}, {runs}) END AS ts FROM rs)"""
 
 
 TOKENS_SQL = f"""WITH {token_sql(DOCS, True)}, fl AS (SELECT doc_id, sent_no, flatten(list(ts ORDER BY chunk_no, part_no)) AS ts FROM tk GROUP BY doc_id, sent_no)
@@ -287,6 +292,18 @@ register("q_split_dashes", f"WITH {ALL_DISTINCT_SQL} SELECT * FROM (SELECT chunk
 register("q_unify_apostrophe", f"WITH {ALL_DISTINCT_SQL} SELECT * FROM (SELECT chunk, regexp_replace(chunk, '([\\p{{L}}\\p{{N}}])[{QUOTE_Q}]([\\p{{L}}\\p{{N}}])', '\\1''\\2', 'g') AS text FROM di) WHERE chunk <> text")(_chunk_function(T.unify_apostrophe))
 
 CONTRACTED = ("don't", "John's", "I'm", "we'll", "dogs'", "cannot", "gimme", "gonna", "gotta", "lemme", "wanna", "more'n", "d'ye", "tis", "twas", "whatcha", "whaddya", "CAN'T", "they've", "you're", "he'd")
+CONTRACTIONS_SQL = (
+    (r"(?i)^(wha)(t|dd)(cha|ya)\z", r"\1|\2|\3"), (r"(?i)^(can|gim|gon|got|lem|wan)(not|me|na|ta)\z", r"\1|\2"), (r"(?i)^('?t)(is|was)\z", r"\1|\2"), (r"(?i)^(d')(ye)\z", r"\1|\2"), (r"(?i)^(more)('n)\z", r"\1|\2"),
+    (r"(?i)^([^|]+)('ll|'ve|'re|n't|'s|'m|'d)\z", r"\1|\2"), (r"^([^|]+[^|'])'\z", r"\1|'"),
+)
+
+
+def contracted_sql(word: str) -> str:
+    """A word split by '|' where it is a contraction."""
+    word = f"regexp_replace({word}, '([\\p{{L}}\\p{{N}}])[{QUOTE_Q}]([\\p{{L}}\\p{{N}}])', '\\1''\\2', 'g')"
+    for pat, to in CONTRACTIONS_SQL:
+        word = f"regexp_replace({word}, {q(pat)}, {q(to)})"
+    return word
 
 
 @register(
@@ -294,13 +311,9 @@ CONTRACTED = ("don't", "John's", "I'm", "we'll", "dogs'", "cannot", "gimme", "go
     "WITH "
     + f"{chunks_sql(DOCS)}, {affix_sql()}, w AS (SELECT regexp_replace(regexp_replace(core, '([\\p{{L}}\\p{{N}}])[{QUOTE_Q}]([\\p{{L}}\\p{{N}}])', '\\1''\\2', 'g'), '[{QUOTE_Q}]\\z', '''') AS word FROM af WHERE NOT contains(kept, 'u') AND core <> '' AND NOT contains(core, '|') UNION SELECT unnest(["
     + ", ".join(q(x) for x in CONTRACTED)
-    + "])), r0 AS (SELECT word, word AS t FROM w)"
-    + "".join(
-        f", r{i + 1} AS (SELECT word, regexp_replace(t, {q(p)}, {q(to.replace('$', chr(92)))}) AS t FROM r{i})"
-        for i, (p, to) in enumerate(
-            [(r"(?i)^(wha)(t|dd)(cha|ya)\z", "$1|$2|$3"), (r"(?i)^(can|gim|gon|got|lem|wan)(not|me|na|ta)\z", "$1|$2"), (r"(?i)^('?t)(is|was)\z", "$1|$2"), (r"(?i)^(d')(ye)\z", "$1|$2"), (r"(?i)^(more)('n)\z", "$1|$2"), (r"(?i)^([^|]+)('ll|'ve|'re|n't|'s|'m|'d)\z", "$1|$2"), (r"^([^|]+[^|'])'\z", "$1|'")]
-        )
-    )
+    + "])), r7 AS (SELECT word, "
+    + contracted_sql("word")
+    + " AS t FROM w)"
     + " SELECT word, t AS tokens FROM r7 WHERE word <> t",
 )
 def q_ptb_contractions(spark: SparkSession, sf: str) -> DataFrame:
@@ -486,18 +499,20 @@ _ll = rf"(?:^|[^\p{{L}}\p{{N}}-])(?:\p{{L}}[\p{{Ll}}-]*[{_lv}][\p{{Ll}}-]*|[{K.V
 _ul = rf"(?:^|[^\p{{L}}\p{{N}}-])(?:\p{{L}}[\p{{Lu}}-]*[{_uv}][\p{{Lu}}-]*|[{_uv}][\p{{Lu}}-]*)-[ \t]*\z"
 
 
-@register(
-    "q_dehyphenate",
-    rf"""WITH {lines_sql(SRC)}, nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nl0 FROM ln), n2 AS (SELECT *, ltrim(nl0, ' ' || chr(9)) AS nl FROM nx),
+def dehyphenate_sql(src: str) -> str:
+    """CTEs that end in dh(doc_id, text)."""
+    return rf"""{lines_sql(src)}, nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nl0 FROM ln), n2 AS (SELECT *, ltrim(nl0, ' ' || chr(9)) AS nl FROM nx),
     jo AS (SELECT *, CASE WHEN nl0 IS NULL OR nl = '' THEN 'keep'
         WHEN regexp_matches(line, '{_ll}') AND regexp_matches(nl, '^(?:\p{{Ll}}{{2}}|\p{{Ll}}[.!?])') AND regexp_matches(nl, '^\p{{Ll}}*[{_lv}]') THEN 'join'
         WHEN regexp_matches(line, '{_ul}') AND regexp_matches(nl, '^(?:\p{{Lu}}{{2}}|\p{{Lu}}[.!?])') AND regexp_matches(nl, '^\p{{Lu}}*[{_uv}]') THEN 'join'
         WHEN regexp_matches(line, '(?:^|[^-])-[ \t]*\z') AND regexp_matches(nl, '^(?:\p{{L}}{{2}}|\p{{L}}[.!?])') THEN 'hyphen' ELSE 'keep' END AS how FROM n2),
     st AS (SELECT *, coalesce(lag(how) OVER (PARTITION BY doc_id ORDER BY line_no), 'keep') AS before FROM jo),
-    pi AS (SELECT doc_id, line_no, how, CASE WHEN before = 'keep' THEN line ELSE ltrim(line, ' ' || chr(9)) END AS line FROM st)
-    SELECT doc_id, string_agg(CASE WHEN how = 'join' THEN regexp_replace(line, '-[ \t]*\z', '') WHEN how = 'hyphen' THEN regexp_replace(line, '-[ \t]*\z', '-') WHEN line_no = last THEN line ELSE line || chr(10) END, '' ORDER BY line_no) AS text
-    FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM pi) GROUP BY doc_id""",
-)
+    pi AS (SELECT doc_id, line_no, how, CASE WHEN before = 'keep' THEN line ELSE ltrim(line, ' ' || chr(9)) END AS line FROM st),
+    dh AS (SELECT doc_id, string_agg(CASE WHEN how = 'join' THEN regexp_replace(line, '-[ \t]*\z', '') WHEN how = 'hyphen' THEN regexp_replace(line, '-[ \t]*\z', '-') WHEN line_no = last THEN line ELSE line || chr(10) END, '' ORDER BY line_no) AS text
+    FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM pi) GROUP BY doc_id)"""
+
+
+@register("q_dehyphenate", f"WITH {dehyphenate_sql(SRC)} SELECT doc_id, text FROM dh")
 def q_dehyphenate(spark: SparkSession, sf: str) -> DataFrame:
     return sources(spark, sf).filter("text IS NOT NULL").select("doc_id", L.dehyphenated(F.col("text")).alias("text"))
 
@@ -575,7 +590,13 @@ def q_decode_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", R.decoded(content).alias("text"))
 
 
-@register("q_encode_utf16")
+_UNIT = "substr(printf('%04X', {0}), 3, 2) || substr(printf('%04X', {0}), 1, 2)"
+_PAIR = f"CASE WHEN u < 65536 THEN {_UNIT.format('u')} ELSE {_UNIT.format('(55296 + ((u - 65536) >> 10))')} || {_UNIT.format('(56320 + ((u - 65536) & 1023))')} END"
+
+
+@register("q_encode_utf16", f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?s).')) AS ch, unnest(range(length(t))) AS i FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)) AS t FROM ({SRC}))),
+    h AS (SELECT doc_id, string_agg({_PAIR}, '' ORDER BY i) AS content FROM (SELECT doc_id, i, unicode(ch) AS u FROM c) GROUP BY doc_id)
+    SELECT s.doc_id AS doc_id, 'FFFE' || coalesce(content, '') AS content FROM ({SRC}) s LEFT JOIN h USING (doc_id)""")
 def q_encode_utf16(spark: SparkSession, sf: str) -> DataFrame:
     return sources(spark, sf).filter("text IS NOT NULL").select("doc_id", F.hex(sinks.encoded(F.col("text"), "utf-16")).alias("content"))
 
@@ -587,7 +608,10 @@ def _as_rtf(text: Column) -> Column:
     return F.concat(F.lit(r"{\rtf1\ansi{\fonttbl{\f0\fcharset0 Roman;}}{\info{\title t}}\f0 "), t, F.lit("}"))
 
 
-@register("q_rtf_text")
+_PY_BLANK = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@register("q_rtf_text", rf"SELECT doc_id, regexp_replace(replace(regexp_replace(text, '\n[ \t\n\x0B\f\r]*\n', chr(10) || chr(10), 'g'), chr(13), ''), '^[{_PY_BLANK}]+|[{_PY_BLANK}]+\z', '', 'g') AS text FROM ({SRC})")
 def q_rtf_text(spark: SparkSession, sf: str) -> DataFrame:
     return sources(spark, sf).filter("text IS NOT NULL").select("doc_id", rtf.rtf_text(_as_rtf(F.col("text"))).alias("text"))
 
@@ -609,7 +633,21 @@ def q_rtf_unicode(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", rtf.rtf_text(F.col("x")).alias("text"))
 
 
-@register("q_run_text")
+_RUN_LINE = WS_SQL.replace("@@", _translate_sql(
+    {"‒": "-", "–": "-", "—": "-", "―": "-", "‖": "|", "‗": "_", "‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "•": "*"},
+    {"€": "EUR", "…": "...", "Œ": "OE", "œ": "oe", "™": "TM", "Ĳ": "IJ", "ĳ": "ij"}, "array_to_string(ts, ' ')",
+))
+_FF_SQL = r"regexp_replace(regexp_replace({0}, '[ \t\n\x0B]*\f[ \t\n\x0B\f]*', chr(12) || chr(10), 'g'), '[ \t\n]*\x0B[ \t\n\x0B]*', chr(11) || chr(10), 'g')"
+_RUN_SQL = f"""WITH nm AS (SELECT doc_id, regexp_replace({NORM.format('text')}, '{TAG_SQL}', ' ', 'g') AS text FROM ({SRC})), {dehyphenate_sql('SELECT doc_id, text FROM nm')},
+    pr AS (SELECT doc_id, {_FF_SQL.format(r"regexp_replace(text, '[\x01-\x08\x0E-\x1F]', '*', 'g')")} AS text FROM dh),
+    {token_sql('SELECT doc_id, text FROM pr', True, True)}, fl AS (SELECT doc_id, sent_no, flatten(list(ts ORDER BY chunk_no, part_no)) AS ts FROM tk GROUP BY doc_id, sent_no),
+    li AS (SELECT doc_id, para_no, sent_no, {_RUN_LINE} || chr(10) AS line FROM fl JOIN se USING (doc_id, sent_no)),
+    pt AS (SELECT doc_id, para_no, string_agg(line, '' ORDER BY sent_no) AS t FROM li GROUP BY doc_id, para_no),
+    tx AS (SELECT doc_id, regexp_replace(string_agg(t, chr(10) ORDER BY para_no), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM pt GROUP BY doc_id)
+    SELECT delivery_id AS doc_id, CASE WHEN sourcefile IS NOT NULL THEN coalesce(text, '') END AS text FROM source_files LEFT JOIN tx ON doc_id = delivery_id"""
+
+
+@register("q_run_text", _RUN_SQL)
 def q_run_text(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run with tokenisation, contractions and folding, one output text per document."""
     table(spark, sf, "feeds")
