@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import broadcast_if_small, spread, table
 
 
 def source_texts(spark: SparkSession, sf: str, *intakes: str) -> DataFrame:
@@ -21,10 +21,11 @@ def source_texts(spark: SparkSession, sf: str, *intakes: str) -> DataFrame:
 
 
 def target_texts(spark: SparkSession, sf: str, *intakes: str) -> DataFrame:
-    """run_id, file_id, text of every run over files of the given intakes."""
+    """run_id, file_id, text of every run over files of the given intakes. The texts stay where they are as long as the ids of
+    the files are few enough to go to every executor; that is measured."""
     runs = table(spark, sf, "target_files").select("run_id", "file_id", F.col("targetfile").alias("text"))
     files = table(spark, sf, "source_files").filter(F.col("intake").isin(*intakes)).select("file_id").distinct()
-    return runs.filter(F.col("text").isNotNull()).join(files, "file_id", "left_semi")
+    return runs.filter(F.col("text").isNotNull()).join(broadcast_if_small(files), "file_id", "left_semi")
 
 
 def field_texts(spark: SparkSession, sf: str, *intakes: str) -> DataFrame:

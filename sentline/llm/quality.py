@@ -71,7 +71,8 @@ def common_words(df: DataFrame, share: float = COMMON_SHARE) -> list[str]:
     """Words that at least a share of the documents of their language hold, by counts over all documents(text, language)."""
     # an empty word in each document counts the documents, so that the texts are read once
     words = F.array_append(F.array_distinct(_tokens(F.lower(F.col("text")))), "")
-    w = stored(df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n")))
+    w = df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n")).filter("n > 1 OR word = ''")
+    w = stored(w)  # without the words of one document, which are most
     n = w.filter("word = ''").select("language", F.col("n").alias("docs"))  # one row per language
     often = w.filter("n > 1").join(F.broadcast(n), "language").filter(F.col("n") >= share * F.col("docs"))
     rows = often.filter(F.col("word").rlike(r"\A[\p{L}\p{M}]+\z")).select("word").distinct().limit(MAX_COMMON + 1).collect()
@@ -171,14 +172,15 @@ def sketches(stats: DataFrame) -> DataFrame:
     """Per language one KLL sketch of each statistic, its quantiles in an even grid (q_), and those of the reference (r_):
     of the language, or of all documents where it has few. Sketches merge, so partial aggregation happens before the
     shuffle, whatever the size of a language."""
-    k = stats.rollup("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in SPREADS])
+    k = stored(stats.groupBy("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(f"sk_{s}") for s in SPREADS]))
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    n_of = lambda s: F.kll_sketch_get_n_double(f"sk_{s}")
-    k = k.select("language", "n", *[F.when(n_of(s) > 0, F.kll_sketch_get_quantile_double(f"sk_{s}", grid)).alias(f"q_{s}") for s in SPREADS])
-    whole = k.filter("language IS NULL").select(*[F.col(f"q_{s}").alias(f"a_{s}") for s in SPREADS])
+    quantiles = lambda s, a: F.when(F.kll_sketch_get_n_double(f"sk_{s}") > 0, F.kll_sketch_get_quantile_double(f"sk_{s}", grid)).alias(f"{a}_{s}")
+    # the sketch of all documents is that of the languages, merged
+    whole = k.agg(*[F.kll_merge_agg_double(f"sk_{s}").alias(f"sk_{s}") for s in SPREADS]).select(*[quantiles(s, "a") for s in SPREADS])
+    k = k.select("language", "n", *[quantiles(s, "q") for s in SPREADS])
     few = F.col("n") < LEAST_GROUP
     # one row of quantiles beside one row per language
-    return k.filter("language IS NOT NULL").join(F.broadcast(whole), F.lit(True)).select("language", *[f"q_{s}" for s in SPREADS], *[F.coalesce(F.when(few, F.col(f"a_{s}")), F.col(f"q_{s}"), F.col(f"a_{s}")).alias(f"r_{s}") for s in SPREADS])
+    return k.join(F.broadcast(whole), F.lit(True)).select("language", *[f"q_{s}" for s in SPREADS], *[F.coalesce(F.when(few, F.col(f"a_{s}")), F.col(f"q_{s}"), F.col(f"a_{s}")).alias(f"r_{s}") for s in SPREADS])
 
 
 def _at_most(value: Column):
