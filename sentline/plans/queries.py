@@ -174,15 +174,17 @@ def q_end_class(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("end_class").agg(F.count("*").alias("n_chunks"))
 
 
-def _boundary_sql(where: str) -> str:
-    return f"WITH {chunks_sql(DOCS)}, {affix_sql()}, {class_sql()} SELECT doc_id, para_no, chunk_no, chunk, next_is_lower, boundary FROM bo WHERE {where}"
+def _boundary_sql(where: str, src: str = DOCS) -> str:
+    return f"WITH {chunks_sql(src)}, {affix_sql()}, {class_sql()} SELECT doc_id, para_no, chunk_no, chunk, next_is_lower, boundary FROM bo WHERE {where}"
 
 
-def _boundary(where: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: S.analysed(documents(spark, sf), "doc_id", ending=".").filter(where).select("doc_id", "para_no", "chunk_no", "chunk", "next_is_lower", "boundary")
+def _boundary(where: str, df: Callable[[SparkSession, str], DataFrame] = documents) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: S.analysed(df(spark, sf), "doc_id", ending=".").filter(where).select("doc_id", "para_no", "chunk_no", "chunk", "next_is_lower", "boundary")
 
 
-for _name, _where in (("q_initials", "end_class = 'INITIAL'"), ("q_number_dot", "end_class = 'NUM_DOT'"), ("q_abbreviation_flag", "end_class = 'ABBR'")):
+# documents hold no initials, so that these are looked for in the source files
+register("q_initials", _boundary_sql("end_class = 'INITIAL'", SRC))(_boundary("end_class = 'INITIAL'", sources))
+for _name, _where in (("q_number_dot", "end_class = 'NUM_DOT'"), ("q_abbreviation_flag", "end_class = 'ABBR'")):
     register(_name, _boundary_sql(_where))(_boundary(_where))
 
 

@@ -26,9 +26,11 @@ SENTENCES = [
     ("a: b", ["a: b"]),
     ("Wait... Now", ["Wait...", "Now"]),
     ("end . Next", ["end .", "Next"]),
-    ("b&amp; C", ["b&amp; C"]),
+    ("R&lt; C", ["R&lt; C"]),
     ("line one\nline two", ["line one line two"]),
     ("Title\n\nBody.", ["Title", "Body."]),
+    ("One.\tTwo?  Three!\nFour", ["One.", "Two?", "Three!", "Four"]),
+    ("E0ff \ue0ff stays. So", ["E0ff \ue0ff stays.", "So"]),
     ("in 1999.", ["in 1999."]),
     ("", []),
     (None, []),
@@ -55,8 +57,10 @@ def test_dictionary(spark, entry, text, want):
 
 
 TOKENS = [
-    ("Hello, world.", "Hello·,·world·."), ("(see)", "(·see·)"), ("Wait...!!", "Wait·...·!!"), ("((a", "(·(·a"), ("ikk'", "ikk'"), ("opfinder(e)", "opfinder(e)"), ("100%", "100·%"),
-    ("http://www.postgirotbank.com/", "http://www.postgirotbank.com/"), ("..[tmp/drive.txt/", "..[tmp/drive.txt/"), ("b&amp;", "b&amp;"), ("&amp;", "&amp;"), ("in 1999. Next", "in·1999·.·Next"), ("den 3. juni", "den·3.·juni"),
+    ("Hello, world.", "Hello·,·world·."), ("(see)", "(·see·)"), ("Wait...!!", "Wait·...·!!"), ("((a", "(·(·a"), ("rock'", "rock'"), ("sort(s)", "sort(s)"), ("75%", "75·%"),
+    ("http://example.org/a/", "http://example.org/a/"), ("..<mail/out.txt/", "..<mail/out.txt/"), ("R&amp;", "R&amp;"), ("&lt;", "&lt;"),
+    ("e.g., this", "e.g.·,·this"), ("U.S., and", "U.S.·,·and"), ("(Ref.) x", "(·Ref.·)·x"), ("f(x,)", "f(x,)"), ("f(x')", "f(x'·)"), ("http://a.b/c/)", "http://a.b/c/·)"), ("http://a.b/c/.", "http://a.b/c/·."),
+    ("end»»»", "end»·»»"), ("so……", "so·……"), ("a--b---c", "a·--·b·---·c"), ("x (1999.), y", "x·(·1999·.·)·,·y"), ("1999.,", "1999·.·,"), ("'o'", "'·o·'"), ("a)(", "a·)·("), ("in 1999. Next", "in·1999·.·Next"), ("den 3. juni", "den·3.·juni"),
 ]
 
 
@@ -67,6 +71,19 @@ def test_tokens(spark):
     assert got == [w for _, w in TOKENS]
 
 
+def test_tokens_with_dictionary(spark):
+    m = S.dictionary_map(spark.createDataFrame([("etc.", False), ("approx.", False), ("no.", True)], "abbr string, expect_cap boolean"))
+    df = spark.createDataFrame([(1, "approx. five, etc., no. It is. No. five")], "doc_id bigint, text string")
+    rows = S.tokens(df, "doc_id", dictionary=m).orderBy("sent_no", "token_no").collect()
+    got = ["·".join(r.token for r in rows if r.sent_no == i) for i in range(rows[-1].sent_no + 1)]
+    assert got == ["approx.·five·,·etc.·,·no.", "It·is·.", "No.·five"]
+
+
+def test_contractions_of_words_beside_marks(spark):
+    df = spark.createDataFrame([(1, "(don’t) cannot, a|b they’re.")], "doc_id bigint, text string")
+    assert "·".join(r.token for r in S.tokens(df, "doc_id", True).orderBy("token_no").collect()) == "(·do·n't·)·can·not·,·a|b·they·'re·."
+
+
 def test_tokens_keep_every_character(spark):
     texts = [t for t, _ in SENTENCES if t]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
@@ -145,6 +162,18 @@ def test_bullets(spark):
     assert kept == {1: "> a\n> b\ntext\n> c", 2: "", 3: None}
 
 
+def test_control_characters_are_bullets_and_five_are_separated(spark):
+    df = spark.createDataFrame([(1, "\n".join(f"\x07 b{i}" for i in range(7)))], "doc_id bigint, text string")
+    assert L.bullet_lines(df, "doc_id").filter("is_bullet").count() == 7
+    got = L.bullets_emitted(df, "doc_id", "drop", separate=True).first().text
+    assert got == "\n".join(f"\nb{i}\n" if i < 5 else f"b{i}" for i in range(7))
+
+
+def test_look_ahead(spark):
+    df = spark.createDataFrame([(1, "ab  \n  \nc")], "doc_id bigint, text string")
+    assert [r.ink_end for r in L.look_ahead(df, "doc_id").orderBy("line_no").collect()] == [2, 0, 1]
+
+
 def test_long_text_and_extra_columns(spark):
     long = "word " * 60_000 + "end. Next."
     df = spark.createDataFrame([(1, long, "x", "y")], "doc_id bigint, text string, sentence string, para_no string")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentline.options import Options, parse_arguments, parse_option_lines
-from sentline.plans.pipeline import run, run_text
+from sentline.plans.pipeline import run, run_files, run_text
 from sentline.sources import readers as R
 from sentline.sources import rtf, sinks
 from sentline.streaming import stream
@@ -37,6 +37,9 @@ def test_list(spark):
         ("{\\rtf1 " + U + "55357 " + U + "56911 }", "\U0001f64f"), ("{\\rtf1 " + U + "55357" + U + "56911}", "\U0001f64f"), ("{\\rtf1 a\\par b\\line c}", "a\n\nb\nc"), ("{\\rtf1{\\fonttbl{\\f0 Roman;}}x}", "x"),
         ("{\\rtf1{\\*\\generator z}x\\{y\\}}", "x{y}"), ("{\\rtf1\\ansicpg1251 \\'cf\\'f0}", "Пр"), ("{\\rtf1\\uc2 " + U + "228??x}", "äx"), ("plain", "plain"), (None, None), ("", ""), ("{\\rtf1", ""),
         ("{\\rtf1{\\fonttbl{\\f1\\fcharset161 Greek;}}\\f1 \\'e1}", "α"),
+        ("{\\rtf1 {\\b Head}\\line Text\\line more}", "Head\n\nText\nmore"), ("{\\rtf1 \\b\\fs36 Head\\pard\\line Text}", "Head\n\nText"), ("{\\rtf1 \\b A\\line B}", "A\nB"),
+        ("{\\rtf1 {\\field{\\*\\fldinst HYP}{\\fldrslt Link}}\\line next\\line x}", "Link\n\nnext\nx"), ("{\\rtf1 see {\\field{\\*\\fldinst HYP}{\\fldrslt Link}}\\line next}", "see Link\nnext"),
+        ("{\\rtf1 a\\bin5 {{}}xb}", "ab"),
     ],
 )
 def test_rtf(text, want):
@@ -92,3 +95,75 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_write_lines(spark, tmp_path):
     sinks.write_lines(run(docs(spark, "One. Two.")), "doc_id", str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["One.", "Two."]
+
+
+def lines_of(df):
+    return [r.sentence for r in df.orderBy("doc_id", "sent_no").collect()]
+
+
+def test_tags_pass_whole(spark):
+    df = docs(spark, 'One <a href="x. y; z">two. Three</a> four.</b> Five--six.', "No tag < 5. And > 3")
+    assert lines_of(run(df, options=Options(markup="html"))) == ['One <a href="x. y; z">two.', "Three</a> four.</b>", "Five -- six.", "No tag < 5.", "And > 3"]
+    toks = lines_of(run(df, options=Options(markup="html", tokenize=True)))
+    assert toks[:3] == ['One <a href="x. y; z"> two .', "Three </a> four .", "</b> Five -- six ."]
+    gone = lines_of(run(df, options=Options(suppress_markup=True)))
+    assert gone[:3] == ["One two.", "Three four.", "Five -- six."]
+
+
+def test_xml_mode(spark):
+    df = docs(spark, "A <!-- no. B> end. --> c. <![CDATA[x. Y]]> D")
+    assert lines_of(run(df, options=Options(markup="xml"))) == ["A <!-- no. B> end. --> c.", "<![CDATA[x. Y]]> D"]
+
+
+def test_phrases_and_dictionary_in_the_run(spark):
+    ph = spark.createDataFrame([("New York",), ("New York City",)], "phrase string")
+    ab = spark.createDataFrame([("approx.", False)], "abbr string, expect_cap boolean")
+    df = docs(spark, "In New York City, approx. Five. New Yorkers in New York.")
+    assert lines_of(run(df, options=Options(tokenize=True), abbreviations=ab, phrases=ph)) == ["In New_York_City , approx. Five .", "New Yorkers in New_York ."]
+
+
+def test_c1_characters_fold_in_rtf_only(spark):
+    df = docs(spark, "a\x93b\x94", "{\\rtf1 a" + U + "147?b}")
+    assert lines_of(run(df, options=Options(ascii_fold=True))) == ["a\x93b\x94", 'a"b']
+
+
+def test_command_line(spark, tmp_path):
+    o = parse_arguments(["-t", "/B", ">", "-a", "abbr.lst", "-m", "mwu.lst", "--", "-in.txt"])
+    assert (o.tokenize, o.bullet_char, o.bullet_mode, o.abbreviation_file, o.phrase_file, o.input_path) == (True, ">", "replace", "abbr.lst", "mwu.lst", "-in.txt")
+    assert parse_arguments(["-w-", "text.txt"]) == Options(unwrap_words=False, input_path="text.txt")
+    assert parse_arguments(["--no-unwrap-words", "--markup=xml"]) == Options(unwrap_words=False, markup="xml")
+    for bad in (["-q"], ["-B"], ["--nothing"], ["-t", "-a"]):
+        with pytest.raises(ValueError):
+            parse_arguments(bad)
+    (tmp_path / "a.txt").write_text("See approx. Five in New York.\n")
+    (tmp_path / "ab.lst").write_text("approx.\n")
+    (tmp_path / "mw.lst").write_text("New York\n")
+    o = parse_arguments(["-a", str(tmp_path / "ab.lst"), "-m", str(tmp_path / "mw.lst"), "-t", str(tmp_path / "a.txt")])
+    assert run_files(spark, o).first().text == "See approx. Five in New_York .\n"
+
+
+def test_no_checkpoint_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from sentline import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+        class _jsc:  # noqa: N801
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_stored_and_measured(spark):
+    from sentline import session
+
+    df = spark.range(100).selectExpr("id", "cast(null as string) AS s")
+    assert sorted(session.stored(df).collect()) == sorted(df.collect())
+    assert session.measured_bytes(df) < 2000 < session.measured_bytes(spark.range(5000))
+    assert session.measured_bytes(df.filter("id < 0")) == 0
