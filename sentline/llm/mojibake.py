@@ -43,7 +43,7 @@ MIN_SUPPORT = 2  # distinct aligned pairs that a transformation must explain
 WIDE_SUPPORT = 10  # distinct tokens with a more frequent twin that a one-byte transformation needs to be taken whatever the ratio
 LIKELIER = 1.5  # pairs of characters of what is then restored are so many times as frequent as those of the token
 BROKEN = "[\\x{80}-\\x{84}\\x{86}-\\x{9F}\\x{FFFD}]"
-TOKEN = r"(\S*(?:[^\x00-\x7F]|&#[0-9]{2,6};)\S*)"
+REFERENCE = "&#[0-9]{2,6};"
 EDGE = r"^[\x21-\x25\x27-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+|[\x21-\x2F\x3A\x3C-\x40\x5B-\x60\x7B-\x7E]+$"
 
 # Scripts without blanks with their marks and width forms (also Hangul), as a class in Java and in Python.
@@ -210,7 +210,8 @@ def _pieces(t):
 def file_tokens(texts: DataFrame) -> DataFrame:
     """file_id, tok, whole: distinct tokens with characters outside ASCII, digits masked; pieces of them are not whole."""
     mask = lambda t: F.when(t.contains("&#"), t).otherwise(F.regexp_replace(F.regexp_replace(t, EDGE, ""), "[0-9]+", "0"))
-    toks = F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 1))
+    # characters outside ASCII take more than a byte; that is told without a pattern
+    toks = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: (F.octet_length(x) > F.length(x)) | (x.contains("&#") & x.rlike(REFERENCE))))
     per = spread(texts.filter("text IS NOT NULL")).select("file_id", toks.alias("toks"))
     both = F.concat(F.transform("toks", lambda t: F.struct(mask(t).alias("tok"), F.lit(1).alias("whole"))), F.transform(F.flatten(F.transform("toks", _pieces)), lambda t: F.struct(mask(t).alias("tok"), F.lit(0).alias("whole"))))
     return per.select("file_id", F.inline(F.array_distinct(both))).filter("tok <> ''").groupBy("file_id", "tok").agg(F.max("whole").alias("whole"))

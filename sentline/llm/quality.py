@@ -130,8 +130,8 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             "_parted": _matches(t, r"[,;|]+(?=[^\s,;|])"),
             # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
             "_numbers": _matches(t, r"[-+0-9n](?<![^\s,;|].)(?:(?<=[0-9])[0-9.]*|(?<=[-+])(?:[0-9][0-9.]*|-|n/a)|(?<=-)|(?<=n)/a)(?![^\s,;|])"),
-            # ASCII goes first, by a class that is one table; the rest is short in most scripts
-            "_symbols": _kept(F.regexp_replace(t, F.lit(r"[a-zA-Z \n\t\r\f\-.,;:!?'\"()0-9]+"), F.lit("")), r"[\p{L}\p{M}\x{A0}\x{3000}\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+"),
+            # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
+            "_marks": F.length(t) - F.length(F.regexp_replace(t, F.lit(r"[-.,;:!?'\"()0123456789]+"), F.lit(""))) + F.when(wide, _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0)),
         }
     )
     # an ideograph takes two bytes more than a character: texts with fewer such bytes than letters can't be mostly ideographs
@@ -144,7 +144,7 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             "word_count": c("_tok.n").cast("bigint"),
             "line_count": lines.cast("bigint"),
             "mean_word_len": _share(ink, c("_tok.n")),
-            "symbol_ratio": _share(c("_symbols"), ink),
+            "symbol_ratio": _share(F.greatest(ink - c("_low.letters") - c("_marks"), F.lit(0)), ink),
             "punct_line_ratio": _share(c("_line.ended"), lines),
             "common_ratio": F.when(mostly_cjk, _share(_kept(t, f"[^{CJK_COMMON}]+"), c("_cjk"))).otherwise(_share(c("_low.common"), n_low)),
             "numeric_ratio": _share(c("_numbers"), cells),
