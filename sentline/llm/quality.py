@@ -61,16 +61,16 @@ def _matches(c: Column, pattern: str) -> Column:
 
 
 def _tokens(t: Column) -> Column:
-    """Array of what stands between blanks."""
+    """Array of what stands between single blanks: the tokens of a text, and empty ones where blanks meet."""
     for blank in ("\n", "\t", "\r", "\f"):
         t = F.replace(t, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(t, " "), "")
+    return F.split(t, " ")
 
 
 def common_words(df: DataFrame, share: float = COMMON_SHARE) -> list[str]:
     """Words that at least a share of the documents of their language hold, by counts over all documents(text, language)."""
     # an empty word in each document counts the documents, so that the texts are read once
-    words = F.array_append(F.array_distinct(_tokens(F.lower(F.col("text")))), "")
+    words = F.array_distinct(F.array_append(_tokens(F.lower(F.col("text"))), ""))
     w = df.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n")).filter("n > 1 OR word = ''")
     w = stored(w)  # without the words of one document, which are most
     n = w.filter("word = ''").select("language", F.col("n").alias("docs"))  # one row per language
@@ -92,11 +92,12 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
     joined = lambda xs: F.length(F.array_join(xs, ""))
 
     def of_tokens(ts: Column) -> Column:
-        # tokens that may be a delimiter alone, or are long: few, so that the others are looked at once
+        # tokens that are empty, may be a delimiter alone, or are long: few, so that the others are looked at once
         def of_odd(odd: Column) -> Column:
             lone = F.filter(odd, lambda x: x.isin("|", ";", ","))
             long = F.filter(odd, lambda x: (F.octet_length(x) >= 30) & x.rlike(LONG_TOKEN))
-            return F.struct(F.size(ts).alias("n"), joined(ts).alias("ink"), F.size(lone).alias("lone"), joined(long).alias("long"))
+            empty = F.size(F.filter(odd, lambda x: x == ""))
+            return F.struct((F.size(ts) - empty).alias("n"), joined(ts).alias("ink"), F.size(lone).alias("lone"), joined(long).alias("long"))
 
         return let(F.filter(ts, lambda x: ~F.octet_length(x).between(2, 29)), of_odd)
 
@@ -129,9 +130,9 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             # cells: words and what delimiters part inside of them, without delimiters that stand alone
             "_parted": _matches(t, r"[,;|]+(?=[^\s,;|])"),
             # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
-            "_numbers": _matches(t, r"[-+0-9n](?<![^\s,;|].)(?:(?<=[0-9])[0-9.]*|(?<=[-+])(?:[0-9][0-9.]*|-|n/a)|(?<=-)|(?<=n)/a)(?![^\s,;|])"),
+            "_numbers": _matches(t, r"[-+0-9](?<![^\s,;|].)(?:(?<=[0-9])[0-9.]*|(?<=[-+])(?:[0-9][0-9.]*|-|n/a)|(?<=-))(?![^\s,;|])") + F.when(t.contains("n/a"), _matches(t, r"(?<![^\s,;|])n/a(?![^\s,;|])")).otherwise(F.lit(0)),
             # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
-            "_marks": F.length(t) - F.length(F.regexp_replace(t, F.lit(r"[-.,;:!?'\"()0123456789]+"), F.lit(""))) + F.when(wide, _matches(t, r"[\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]")).otherwise(F.lit(0)),
+            "_marks": F.length(t) - F.when(wide, _kept(t, r"[-.,;:!?'\"()0-9\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+")).otherwise(_kept(t, r"[-.,;:!?'\"()0123456789]+")),
         }
     )
     # an ideograph takes two bytes more than a character: texts with fewer such bytes than letters can't be mostly ideographs
