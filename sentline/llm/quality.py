@@ -61,10 +61,8 @@ def _matches(c: Column, pattern: str) -> Column:
 
 
 def _tokens(t: Column) -> Column:
-    """Array of what stands between single blanks: the tokens of a text, and empty ones where blanks meet."""
-    for blank in ("\n", "\t", "\r", "\f"):
-        t = F.replace(t, F.lit(blank), F.lit(" "))
-    return F.split(t, " ")
+    """Array of the tokens of a text, what stands between blanks; blanks at its ends give empty ones."""
+    return F.split(t, "[ \n\t\r\f]+")
 
 
 def common_words(df: DataFrame, share: float = COMMON_SHARE) -> list[str]:
@@ -88,7 +86,8 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
     c = F.col
     # Parts that several statistics share are made once, and lists of words and lines are bound inside the expression:
     # as columns they would be copied from step to step. Whole texts are scanned as seldom as can be.
-    wide = F.octet_length(t) > F.length(t)  # characters outside ASCII are looked for only where there are any
+    df = df.withColumn("_len", F.length(t))  # counted once; a text is stored in bytes
+    wide = F.octet_length(t) > c("_len")  # characters outside ASCII are looked for only where there are any
     joined = lambda xs: F.length(F.array_join(xs, ""))
 
     def of_tokens(ts: Column) -> Column:
@@ -126,22 +125,22 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             "_tok": let(_tokens(t), of_tokens),
             "_low": let(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}]+)"), 1), of_words),
             "_line": let(lines_of(F.split(t, "\n")), of_lines),
-            "_blanks": F.when(wide, F.length(t) - F.length(F.replace(F.replace(t, F.lit("\u00a0"), F.lit("")), F.lit("\u3000"), F.lit("")))).otherwise(F.lit(0)),
+            "_blanks": F.when(wide, _matches(t, "[\\x{A0}\\x{3000}]")).otherwise(F.lit(0)),
             # cells: words and what delimiters part inside of them, without delimiters that stand alone
             "_parted": _matches(t, r"[,;|]+(?=[^\s,;|])"),
             # a number that is a cell: nothing but digits, dots and one sign between blanks or delimiters
             "_numbers": _matches(t, r"[-+0-9](?<![^\s,;|].)(?:(?<=[0-9])[0-9.]*|(?<=[-+])(?:[0-9][0-9.]*|-|n/a)|(?<=-))(?![^\s,;|])") + F.when(t.contains("n/a"), _matches(t, r"(?<![^\s,;|])n/a(?![^\s,;|])")).otherwise(F.lit(0)),
             # digits and ASCII marks are one bit class; the other marks are looked for where there can be any
-            "_marks": F.length(t) - F.when(wide, _kept(t, r"[-.,;:!?'\"()0-9\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+")).otherwise(_kept(t, r"[-.,;:!?'\"()0123456789]+")),
+            "_marks": c("_len") - F.when(wide, _kept(t, r"[-.,;:!?'\"()0-9\x{AB}\x{BB}\x{2019}-\x{201D}\x{3001}-\x{300D}\x{FF01}-\x{FF1F}]+")).otherwise(_kept(t, r"[-.,;:!?'\"()0123456789]+")),
         }
     )
     # an ideograph takes two bytes more than a character: texts with fewer such bytes than letters can't be mostly ideographs
     n_low, ink, cells, lines = c("_low.n"), c("_tok.ink") - c("_blanks"), c("_tok.n") - c("_tok.lone") + c("_parted"), c("_line.n")
-    base = base.withColumn("_cjk", F.when(F.octet_length(t) - F.length(t) > c("_low.letters"), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0)))
+    base = base.withColumn("_cjk", F.when(F.octet_length(t) - c("_len") > c("_low.letters"), _kept(t, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+")).otherwise(F.lit(0)))
     mostly_cjk = c("_cjk") * 2 > c("_low.letters")
     base = base.withColumns(
         {
-            "n_chars": F.length(t).cast("bigint"),
+            "n_chars": c("_len").cast("bigint"),
             "word_count": c("_tok.n").cast("bigint"),
             "line_count": lines.cast("bigint"),
             "mean_word_len": _share(ink, c("_tok.n")),
@@ -151,7 +150,7 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             "numeric_ratio": _share(c("_numbers"), cells),
             "unique_ratio": F.when(mostly_cjk, F.lit(0.5)).otherwise(_share(c("_low.distinct"), n_low)),
             "item_ratio": _share(c("_line.items.n"), c("_line.items.of")),
-            "item_share": _share(c("_line.items.chars"), F.length(t)),
+            "item_share": _share(c("_line.items.chars"), c("_len")),
             "row_ratio": _share(c("_line.rows"), lines),
             "sequence_ratio": _share(c("_low.sequence"), c("_low.letters")),
             "long_token_ratio": _share(c("_tok.long"), ink),
@@ -159,7 +158,7 @@ def text_statistics(df: DataFrame, text: str = "text", common: list[str] | None
             "variety_log": F.when(~mostly_cjk & (n_low > 0), F.log(c("_low.distinct") / F.sqrt(n_low))),
         }
     )
-    base = base.drop(*[x for x in base.columns if x.startswith("_") and x not in df.columns])
+    base = base.drop("_len", "_tok", "_low", "_line", "_blanks", "_parted", "_numbers", "_marks", "_cjk")
     return base.withColumn("common_log", F.log(c("common_ratio") + 0.01))
 
 
